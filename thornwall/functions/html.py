@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from thornwall.functions import rules as R
 from thornwall.functions.matching import bind, contains_all, fold_original, spans
@@ -32,7 +33,7 @@ _ENTITIES = {
 _OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e in _ENTITIES) + ");)[A-Za-z#]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html_entities.unescape, na_action="ignore")
 
@@ -80,8 +81,8 @@ def title(html: Column) -> Column:
 def alt_texts(html: Column, images_only: bool = False) -> Column:
     """Values of ``alt`` attributes anywhere; ``images_only`` drops empty ones and other elements."""
     if images_only:
-        pattern = r"<img\b[^>]*?\salt\s*=\s*[\"']([^\"']*)[\"']"
-        found = F.regexp_extract_all(html, F.lit(R.user_regex(pattern)), F.lit(1))
+        pattern = r"<img\s[^>]*?\balt\s*=\s*[\"']([^\"']*)[\"']"
+        found = F.regexp_extract_all(html, F.lit(R.jvm_regex(pattern)), F.lit(1))
         return F.filter(found, lambda a: a != "")
     return F.regexp_extract_all(html, F.lit(R.jvm_regex(r"alt\s*=\s*[\"']([^\"']*)[\"']")), F.lit(1))
 
@@ -174,7 +175,21 @@ def strip_dangerous(html: Column) -> Column:
 # --- Element level: needs a parser, so it runs in Python on the pages that may qualify ------------
 
 HIDDEN_TYPE = "array<struct<tag:string,text:string,hiding_method:string,full_style:string,class:array<string>>>"
-_DOM_TYPE = f"struct<visible_text:string,title:string,alt_texts:array<string>,hidden:{HIDDEN_TYPE}>"
+_HIDDEN = ArrayType(
+    StructType()
+    .add("tag", StringType())
+    .add("text", StringType())
+    .add("hiding_method", StringType())
+    .add("full_style", StringType())
+    .add("class", ArrayType(StringType()))
+)
+_DOM = (
+    StructType()
+    .add("visible_text", StringType())
+    .add("title", StringType())
+    .add("alt_texts", ArrayType(StringType()))
+    .add("hidden", _HIDDEN)
+)
 
 # Elements that never have content.
 _VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr".split())
@@ -269,14 +284,14 @@ def _read_page(html: str) -> dict:
     }
 
 
-@F.pandas_udf(_DOM_TYPE)
+@F.pandas_udf(_DOM)
 def _dom(html: pd.Series) -> pd.DataFrame:
     empty = {"visible_text": None, "title": None, "alt_texts": None, "hidden": None}
     rows = [empty if h is None else _read_page(h) for h in html]
     return pd.DataFrame(rows, columns=["visible_text", "title", "alt_texts", "hidden"])
 
 
-@F.pandas_udf(HIDDEN_TYPE)
+@F.pandas_udf(_HIDDEN)
 def _hidden(html: pd.Series) -> pd.Series:
     return html.map(lambda h: _read_page(h)["hidden"], na_action="ignore")
 

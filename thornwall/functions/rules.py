@@ -245,15 +245,10 @@ def folded_regex(pattern: str) -> str:
 
 
 def user_regex(pattern: str) -> str | None:
-    """A Java pattern for a user's pattern, or None where Python would call it invalid.
+    """A Java pattern with the matches of a valid user pattern, or None where only Python can run it.
 
-    User patterns use Python notation. Word edges and classes get Python's meaning; constructs that
-    Java lacks (conditional groups, for example) are refused when the JVM compiles the pattern.
+    Python runs patterns that match empty text, and conditional groups, which Java lacks.
     """
-    try:
-        compiled = re.compile(pattern, re.IGNORECASE)
-    except re.error:
+    if re.compile(pattern).match("") is not None or re.search(pattern, "") or "(?(" in pattern:
         return None
-    if compiled.match("") is not None:
-        raise ValueError(f"custom pattern may match empty text: {pattern!r}")
     return "(?idu)" + _translate(pattern, literal_first=False)

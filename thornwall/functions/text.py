@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from thornwall.functions import rules as R
 from thornwall.functions.matching import bind
@@ -14,7 +15,7 @@ from thornwall.functions.matching import bind
 _SPACE_BUT_BLANK = R.SPACE.replace(r"\x1c-\x20", r"\x1c-\x1f")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
@@ -74,6 +75,11 @@ def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def encode_base64(content: Column) -> Column:
+    """Base64 in one line (sessions may be set to break it every 76 characters)."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+
+
 def decode_bytes(content: Column) -> Column:
     """UTF-8 bytes as text without the invalid ones (a genuine U+FFFD is dropped with them)."""
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from thornwall.functions import rules as R
 
@@ -31,7 +32,7 @@ def with_model_probability(
     Text is cut to the model's limit before it leaves the JVM. A failing batch scores 0, as does null.
     """
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = load()
         for batch in batches:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from thornwall.config import DEFAULT, ScanConfig
 from thornwall.functions import rules as R
@@ -43,31 +45,70 @@ def _segments(stage: Column, pattern: str, marker: Column, reason: str) -> Colum
     )
 
 
-@F.pandas_udf("array<string>")
-def _usable_patterns(patterns: pd.Series) -> pd.Series:
-    """Java forms of the valid patterns of each row; only the patterns travel, never the text."""
-    known: dict[str, str | None] = {}
-
-    def java(pattern: str) -> str | None:
-        if pattern not in known:
-            known[pattern] = R.user_regex(pattern)
-        return known[pattern]
-
-    return patterns.map(lambda ps: [j for j in map(java, ps) if j is not None], na_action="ignore")
-
-
 def valid_patterns(patterns: list[str]) -> list[str]:
-    """Java forms of the valid patterns of a job; the others are logged and skipped."""
+    """The patterns that compile; the others are logged and skipped."""
     usable = []
     for pattern in patterns:
-        java = R.user_regex(pattern)
-        if java is None:
+        try:
+            re.compile(pattern)
+            usable.append(pattern)
+        except re.error:
             log.warning("invalid custom pattern skipped: %s", pattern)
-        else:
-            usable.append(java)
     return usable
 
 
+_CUSTOM = (
+    StructType()
+    .add("text", StringType())
+    .add(
+        "segments",
+        ArrayType(
+            StructType()
+            .add("original", StringType())
+            .add("sanitized", StringType())
+            .add("start", IntegerType())
+            .add("end", IntegerType())
+            .add("action", StringType())
+            .add("reason", StringType())
+        ),
+    )
+)
+
+
+def _replace_custom(text: str, patterns) -> dict:
+    segments = []
+    for pattern in patterns:
+        try:
+            found = list(re.finditer(pattern, text, re.IGNORECASE))
+        except re.error:
+            continue
+        pieces, at = [], 0
+        for match in found:
+            pieces += [text[at : match.start()], R.CUSTOM_MARKER]
+            at = match.end()
+        for match in reversed(found):
+            segments.append(
+                {
+                    "original": match.group(),
+                    "sanitized": R.CUSTOM_MARKER,
+                    "start": match.start(),
+                    "end": match.end(),
+                    "action": "replaced",
+                    "reason": "Custom pattern match",
+                }
+            )
+        text = "".join(pieces) + text[at:]
+    return {"text": text, "segments": segments}
+
+
+@F.pandas_udf(_CUSTOM)
+def _custom(text: pd.Series, patterns: pd.Series) -> pd.DataFrame:
+    """Patterns that only Python can run: those of single rows, and those that match empty text."""
+    none = {"text": None, "segments": None}
+    rows = [none if t is None or p is None else _replace_custom(t, p) for t, p in zip(text, patterns)]
+    return pd.DataFrame(rows, columns=["text", "segments"])
+
+
 def sanitize(
     df: DataFrame,
     text: str = "text",
@@ -79,8 +120,9 @@ def sanitize(
     """Add ``sanitized_content``, ``segments_modified``, ``warnings`` and the ``sanitized_segments``.
 
     ``mode`` (strict, balanced, permissive) and ``preserve_semantics`` may be columns, so a batch can
-    hold requests of every kind. ``custom_patterns`` is a list for the whole job, or the name of a
-    column with the patterns of each row. Each rule works on the output of the one before it.
+    hold requests of every kind. ``custom_patterns`` is a list for the whole job (run by the
+    JVM), or the name of a column with the patterns of each row (only rows that have any go to Python).
+    Each rule works on the output of the one before it.
     """
     if isinstance(mode, str) and mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
@@ -106,10 +148,15 @@ def sanitize(
         condition = F.coalesce(contains_all(F.col(_T + "folded"), rule.needs), F.lit(False))
         steps.append((condition, marker, R.jvm_regex(rule.pattern)))
         reasons.append(f"Matched dangerous pattern: {rule.pattern[:30]}...")
+    in_python: Column | None = F.col(custom_patterns) if isinstance(custom_patterns, str) else None
     if isinstance(custom_patterns, list):
-        for java in valid_patterns(custom_patterns):
-            steps.append((active, F.lit(R.CUSTOM_MARKER), java))
-            reasons.append("Custom pattern match")
+        usable = valid_patterns(custom_patterns)
+        java_forms = [R.user_regex(p) for p in usable]
+        if None in java_forms:
+            in_python = F.array(*[F.lit(p) for p in usable])
+        else:
+            steps += [(active, F.lit(R.CUSTOM_MARKER), java) for java in java_forms]
+            reasons += ["Custom pattern match"] * len(java_forms)
 
     stage = F.col(_T + "0")
     counts, lists = [], []
@@ -122,15 +169,15 @@ def sanitize(
         df = df.withColumn(f"{_T}{i + 1}", F.when(condition, replaced).otherwise(stage))
         stage = F.col(f"{_T}{i + 1}")
 
-    if isinstance(custom_patterns, str):
-        df = df.withColumn(_T + "patterns", _usable_patterns(F.when(active, F.col(custom_patterns))))
-        df, extra_list = _row_patterns(df, stage)
-        last = F.coalesce(F.col(_T + "custom")["text"], stage)
-        counts.append(F.coalesce(F.size(extra_list), F.lit(0)))
+    last = stage
+    if in_python is not None:
+        wanted = active & (F.size(in_python) > 0)
+        df = df.withColumn(_T + "custom", _custom(F.when(wanted, stage), in_python))
+        custom = F.col(_T + "custom")
+        last = F.coalesce(custom["text"], stage)
+        counts.append(F.coalesce(F.size(custom["segments"]), F.lit(0)))
         if segments:
-            lists.append(F.coalesce(extra_list, F.array().cast(SEGMENT_TYPE)))
-    else:
-        last = stage
+            lists.append(F.coalesce(custom["segments"], F.array().cast(SEGMENT_TYPE)))
 
     total = counts[0]
     for count in counts[1:]:
@@ -143,32 +190,6 @@ def sanitize(
     return df.select(*before, *result)
 
 
-def _row_patterns(df: DataFrame, stage: Column) -> tuple[DataFrame, Column]:
-    """Apply the patterns of each row to that row, one after the other."""
-
-    def step(acc: Column, java: Column) -> Column:
-        found = F.regexp_extract_all(acc["text"], java, F.lit(0))
-        segs = F.transform(
-            found,
-            lambda m: F.struct(
-                m.alias("original"),
-                F.lit(R.CUSTOM_MARKER).alias("sanitized"),
-                F.lit(None).cast("int").alias("start"),
-                F.lit(None).cast("int").alias("end"),
-                F.lit("replaced").alias("action"),
-                F.lit("Custom pattern match").alias("reason"),
-            ),
-        )
-        return F.struct(
-            F.regexp_replace(acc["text"], java, F.lit(R.CUSTOM_MARKER)).alias("text"),
-            F.concat(acc["segments"], F.reverse(segs)).alias("segments"),
-        )
-
-    start = F.struct(stage.alias("text"), F.array().cast(SEGMENT_TYPE).alias("segments"))
-    df = df.withColumn(_T + "custom", F.aggregate(F.col(_T + "patterns"), start, step))
-    return df, F.col(_T + "custom")["segments"]
-
-
 def segment_rows(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """One row per replacement of a table that ``sanitize`` has produced."""
     found = df.select(*keep, F.posexplode("sanitized_segments").alias("segment_no", "segment"))

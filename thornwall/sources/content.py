@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thornwall.functions.text import content_hash, decode_bytes
+from thornwall.functions.text import content_hash, decode_bytes, encode_base64
 from thornwall.operators import html as html_operators
 from thornwall.operators import ocr
 
@@ -106,17 +106,17 @@ def read_files(spark: SparkSession, path: str, content_type: str = "image", glob
 def file_content(files: DataFrame, content_type: str = "image") -> DataFrame:
     """Replace the ``content`` bytes of a file table by its content string."""
     raw = F.col("content")
-    return files.withColumn("content", F.base64(raw) if content_type == "image" else decode_bytes(raw))
+    return files.withColumn("content", encode_base64(raw) if content_type == "image" else decode_bytes(raw))
 
 
-def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, *key: str) -> DataFrame:
     """A Parquet table, spread over all cores where its files are too few to occupy them.
 
     A large table has at least as many splits as there are cores and is left alone. Only an input
-    with fewer (some megabytes per core at most) is shuffled, by a key, so that later work is parallel.
+    with fewer (some megabytes per core at most) is shuffled, by a unique key, so that later work is parallel.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if key is not None and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores * 2, key)
+    if key and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * 2, *key)
     return df

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -79,7 +77,16 @@ def read_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
-def run(query: StreamingQuery, after: Callable[[], DataFrame]) -> DataFrame:
-    """Wait for a query that ends by itself, then read what it wrote."""
-    query.awaitTermination()
-    return after()
+def run_stats(stats: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run windowed statistics over what has arrived and read the totals of all windows.
+
+    Each batch replaces the totals, so windows still open count too (an append-only sink would hold
+    them back until the watermark passes).
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    writer = stats.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stats.sparkSession.read.parquet(path)
