@@ -7,12 +7,12 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from thornwall.functions import rules as R
-from thornwall.functions.matching import bind, contains_all, fold_original, spans
+from thornwall.functions.matching import bind, contains_all_sql, quoted, spans_sql
 from thornwall.functions.text import collapse_space
 
 _SCRIPT_BLOCK = r"(?isu)<script[^>]*>.*?</script>"
@@ -56,22 +56,21 @@ def _without_tags(html: Column) -> Column:
     return F.when(F.contains(html, F.lit(">")), blanked).otherwise(html)
 
 
-def visible_text(html: Column, all_entities: bool = True) -> Column:
-    """Text outside tags, scripts and styles, with entities decoded and white space collapsed.
+def with_visible_text(df: DataFrame, html: str, into: str = "visible_text", all_entities: bool = True) -> DataFrame:
+    """Add the text outside tags, scripts and styles, entities decoded and white space collapsed.
 
     Common entities are decoded by built-in functions. Pages with any other entity go through
     Python's full table, unless ``all_entities`` is off; other pages are not sent to Python.
     """
-
-    def finish(text: Column) -> Column:
-        return bind(text, lambda t: collapse_space(unescape_common(t)))
-
-    plain = bind(without_blocks(html), _without_tags)
-    if not all_entities:
-        return finish(plain)
-    rare = F.rlike(plain, F.lit(_OTHER_ENTITY))
-    decoded = _unescape(F.when(rare, plain))
-    return F.coalesce(collapse_space(decoded), finish(plain))
+    df = df.withColumn("__tw_open", without_blocks(F.col(html)))
+    df = df.withColumn("__tw_plain", _without_tags(F.col("__tw_open")))
+    plain = F.col("__tw_plain")
+    decoded = unescape_common(plain)
+    if all_entities:
+        rare = F.rlike(plain, F.lit(_OTHER_ENTITY))
+        df = df.withColumn("__tw_rare", _unescape(F.when(rare, plain)))
+        decoded = F.coalesce(F.col("__tw_rare"), decoded)
+    return df.withColumn(into, collapse_space(decoded)).drop("__tw_open", "__tw_plain", "__tw_rare")
 
 
 def title(html: Column) -> Column:
@@ -87,27 +86,31 @@ def alt_texts(html: Column, images_only: bool = False) -> Column:
     return F.regexp_extract_all(html, F.lit(R.jvm_regex(r"alt\s*=\s*[\"']([^\"']*)[\"']")), F.lit(1))
 
 
-def _matching_patterns(text: Column, patterns: tuple[str, ...]) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(F.rlike(text, F.lit(R.jvm_regex(p))), F.lit(p)) for p in patterns])
-    )
+def _required_words(pattern: str) -> tuple[str, ...]:
+    """Words of three letters or more that every match holds: outside optional parts and alternatives."""
+    fixed = re.sub(r"\(.*?\)\??|\w\?", " ", pattern.replace("\\s", " ")).lower()
+    return tuple(re.findall(r"[a-z]{3,}", fixed))
 
 
-def hidden_styles(html: Column) -> Column:
-    """The hiding style patterns that occur anywhere in the page, in rule order."""
-    return _matching_patterns(html, R.HIDDEN_STYLES)
+def hidden_styles(html: str, folded: str) -> Column:
+    """The hiding style patterns that occur anywhere in a page, in rule order.
+
+    Takes the names of two columns: the page, and ``fold_original`` of it.
+    """
+    cases = [
+        f"if({contains_all_sql(folded, _required_words(p))} and rlike({html}, {quoted(R.jvm_regex(p))}), {quoted(p)}, null)"
+        for p in R.HIDDEN_STYLES
+    ]
+    return F.expr(f"array_compact(array({', '.join(cases)}))")
 
 
-def suspicious_scripts(html: Column) -> Column:
+def suspicious_scripts(html: str) -> Column:
     """Scripts with at least one sign, as (snippet, patterns_found)."""
-    bodies = F.regexp_extract_all(html, F.lit(r"(?isu)<script[^>]*>(.*?)</script>"), F.lit(1))
-    checked = F.transform(
-        bodies,
-        lambda b: F.struct(
-            F.substring(b, 1, 200).alias("snippet"), _matching_patterns(b, R.SCRIPT_SIGNS).alias("patterns_found")
-        ),
-    )
-    return F.filter(checked, lambda s: F.size(s["patterns_found"]) > 0)
+    bodies = f"regexp_extract_all({html}, '(?isu)<script[^>]*>(.*?)</script>', 1)"
+    cases = [f"if(rlike(b_, {quoted(R.jvm_regex(p))}), {quoted(p)}, null)" for p in R.SCRIPT_SIGNS]
+    found = f"array_compact(array({', '.join(cases)}))"
+    checked = f"transform({bodies}, b_ -> named_struct('snippet', substring(b_, 1, 200), 'patterns_found', {found}))"
+    return F.expr(f"filter({checked}, s_ -> size(s_.patterns_found) > 0)")
 
 
 def decode_base64_preview(encoded: Column) -> Column:
@@ -141,28 +144,22 @@ def base64_content(html: Column) -> Column:
 INDICATOR_TYPE = "array<struct<pattern:string,matched_text:string,position:int,severity:string>>"
 
 
-def injection_indicators(text: Column) -> Column:
-    """All matches of the indicator patterns, by pattern and then position."""
-
-    def search(bound: Column) -> Column:
-        return F.flatten(F.array(*[_indicator(bound["text"], bound["folded"], p) for p in R.INDICATORS]))
+def injection_indicators(text: str, folded: str) -> Column:
+    """All matches of the indicator patterns, by pattern and then position.
 
-    return bind(F.struct(text.alias("text"), fold_original(text).alias("folded")), search)
+    Takes the names of two columns: the text, and ``fold_original`` of it.
+    """
+    return F.expr(f"flatten(array({', '.join(_indicator_sql(text, folded, p) for p in R.INDICATORS)}))")
 
 
-def _indicator(text: Column, folded: Column, pattern: str) -> Column:
-    words = tuple(re.findall(r"[a-z]{3,}", re.sub(r"\(.*?\)\??|\w\?", " ", pattern.replace("\\s", " ")).lower()))
+def _indicator_sql(text: str, folded: str, pattern: str) -> str:
+    words = _required_words(pattern)
     severity = "high" if any(w in pattern for w in R.HIGH_INDICATOR_WORDS) else "medium"
-    found = F.transform(
-        spans(text, text, R.jvm_regex(pattern)),
-        lambda s: F.struct(
-            F.lit(pattern).alias("pattern"),
-            s["text"].alias("matched_text"),
-            s["start"].alias("position"),
-            F.lit(severity).alias("severity"),
-        ),
+    found = (
+        f"transform({spans_sql(text, text, R.jvm_regex(pattern))}, s_ -> named_struct('pattern', {quoted(pattern)}, "
+        f"'matched_text', s_.text, 'position', s_.start, 'severity', '{severity}'))"
     )
-    return F.when(contains_all(folded, words), found).otherwise(F.array().cast(INDICATOR_TYPE))
+    return f"if({contains_all_sql(folded, words)}, {found}, cast(array() as {INDICATOR_TYPE}))"
 
 
 def strip_dangerous(html: Column) -> Column:
@@ -301,17 +298,14 @@ def dom(html: Column) -> Column:
     return _dom(html)
 
 
-def may_hide_elements(html: Column) -> Column:
+def may_hide_elements(html: str) -> Column:
     """Pages on which an element can count as hidden (its attribute may be written with entities)."""
-    conditions = [F.rlike(html, F.lit(R.jvm_regex(p))) for p in (*R.HIDDEN_STYLES, R.HIDDEN_CLASSES)]
-    conditions.append(F.rlike(html, F.lit(r"(?iu)(?:style|class)\s*=[^>]*&")))
-    result = conditions[0]
-    for condition in conditions[1:]:
-        result = result | condition
-    return result
+    patterns = [R.jvm_regex(p) for p in (*R.HIDDEN_STYLES, R.HIDDEN_CLASSES)]
+    patterns.append(r"(?iu)(?:style|class)\s*=[^>]*&")
+    return F.expr(" or ".join(f"rlike({html}, {quoted(p)})" for p in patterns))
 
 
-def hidden_elements(html: Column) -> Column:
+def hidden_elements(html: str) -> Column:
     """Elements hidden by inline style, then by class; only candidate pages are sent to Python."""
-    found = _hidden(F.when(may_hide_elements(html), html))
+    found = _hidden(F.when(may_hide_elements(html), F.col(html)))
     return F.coalesce(found, F.array().cast(HIDDEN_TYPE))

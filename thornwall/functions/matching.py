@@ -1,4 +1,8 @@
-"""Matches with exact positions, from built-in functions only."""
+"""Matches with exact positions, from built-in functions only.
+
+Functions that end in ``_sql`` return SQL text for ``F.expr``: one rule set makes thousands of
+expression nodes, and text reaches the JVM in one call where a node costs one each.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,11 @@ SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
 _BLOCK = 256
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def fold_lower(lowered: Column) -> Column:
     """Lower-cased text with the two letters that equal an ASCII letter when case is ignored."""
     return F.replace(F.replace(lowered, F.lit("ſ"), F.lit("s")), F.lit("ı"), F.lit("i"))
@@ -33,83 +42,48 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def contains_all(text: Column, words: tuple[str, ...]) -> Column:
-    condition = F.contains(text, F.lit(words[0]))
-    for word in words[1:]:
-        condition = condition & F.contains(text, F.lit(word))
-    return condition
-
-
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
 
 
-def empty_spans() -> Column:
-    return F.array().cast(SPAN_TYPE)
+def contains_all_sql(text: str, words: tuple[str, ...]) -> str:
+    return " and ".join(f"contains({text}, {quoted(w)})" for w in words)
 
 
-def spans(original: Column, searched: Column, java_pattern: str) -> Column:
+def spans_sql(original: str, searched: str, java_pattern: str) -> str:
     """All non-overlapping matches of a pattern in ``searched`` as (start, end, text).
 
     Positions count characters of ``searched``; ``text`` is cut from ``original`` at those positions.
-    The pattern must not match empty text.
+    Both are column names. The pattern must not match empty text: match i starts after i + 1 gaps and
+    i matches, and both come from splitting the text at the pattern.
     """
-    pattern = F.lit(java_pattern)
-    found = F.struct(
-        F.transform(F.regexp_extract_all(searched, pattern, F.lit(0)), F.char_length).alias("lengths"),
-        F.transform(F.split(searched, java_pattern, -1), F.char_length).alias("gaps"),
+    pattern = quoted(java_pattern)
+    none = f"cast(array() as {SPAN_TYPE})"
+    found = (
+        f"named_struct('lengths', transform(regexp_extract_all({searched}, {pattern}, 0), m_ -> char_length(m_)), "
+        f"'gaps', transform(split({searched}, {pattern}, -1), g_ -> char_length(g_)))"
     )
-    return bind(found, lambda f: _place(original, f))
-
-
-def _place(original: Column, found: Column) -> Column:
-    count = F.size(found["lengths"])
-
-    def block(start: Column) -> Column:
-        return F.arrays_zip(
-            F.slice(found["gaps"], start + 1, F.least(F.lit(_BLOCK), count - start)).alias("gap"),
-            F.slice(found["lengths"], start + 1, F.lit(_BLOCK)).alias("length"),
-        )
-
-    blocks = F.transform(F.sequence(F.lit(0), count - 1, F.lit(_BLOCK)), block)
-    with_sizes = F.transform(
-        blocks,
-        lambda b: F.struct(
-            b.alias("steps"),
-            F.aggregate(b, F.lit(0), lambda total, s: total + s["gap"] + s["length"]).alias("size"),
-        ),
+    steps = (
+        f"zip_with(slice(f_.gaps, s_ + 1, least({_BLOCK}, size(f_.lengths) - s_)), slice(f_.lengths, s_ + 1, {_BLOCK}), "
+        "(g_, l_) -> named_struct('gap', g_, 'length', l_))"
     )
-
-    def placed(sized: Column) -> Column:
-        starts = F.aggregate(
-            sized,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda acc, b: F.struct(
-                (acc["at"] + b["size"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")
-            ),
-            lambda acc: acc["out"],
-        )
-        return F.flatten(F.zip_with(sized, starts, lambda b, base: _place_block(original, b, base)))
-
-    return F.when(count == 0, empty_spans()).otherwise(bind(with_sizes, placed))
-
-
-def _place_block(original: Column, block: Column, base: Column) -> Column:
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        span = F.struct(
-            (base + start).alias("start"),
-            (base + start + s["length"]).alias("end"),
-            F.substring(acc["piece"], start + 1, s["length"]).alias("text"),
-        )
-        return F.struct(
-            (start + s["length"]).alias("at"), acc["piece"].alias("piece"), F.array_append(acc["out"], span).alias("out")
-        )
-
-    first = F.struct(
-        F.lit(0).alias("at"),
-        F.substring(original, base + 1, block["size"]).alias("piece"),
-        empty_spans().alias("out"),
+    blocks = (
+        f"transform(transform(sequence(0, size(f_.lengths) - 1, {_BLOCK}), s_ -> {steps}), b_ -> "
+        "named_struct('steps', b_, 'size', aggregate(b_, 0, (t_, x_) -> t_ + x_.gap + x_.length)))"
+    )
+    starts = (
+        "aggregate(bs_, named_struct('at', 0, 'out', cast(array() as array<int>)), "
+        "(a_, b_) -> named_struct('at', a_.at + b_.size, 'out', array_append(a_.out, a_.at)), a_ -> a_.out)"
+    )
+    span = (
+        "named_struct('start', base_ + a_.at + x_.gap, 'end', base_ + a_.at + x_.gap + x_.length, "
+        "'text', substring(a_.piece, a_.at + x_.gap + 1, x_.length))"
+    )
+    inside = (
+        f"aggregate(b_.steps, named_struct('at', 0, 'piece', substring({original}, base_ + 1, b_.size), 'out', {none}), "
+        f"(a_, x_) -> named_struct('at', a_.at + x_.gap + x_.length, 'piece', a_.piece, 'out', array_append(a_.out, {span})), "
+        "a_ -> a_.out)"
     )
-    return F.aggregate(block["steps"], first, step, lambda acc: acc["out"])
+    placed = f"transform(array({blocks}), bs_ -> flatten(zip_with(bs_, {starts}, (b_, base_) -> {inside})))[0]"
+    return f"transform(array({found}), f_ -> if(size(f_.lengths) = 0, {none}, {placed}))[0]"

@@ -11,14 +11,12 @@ so that each costly value (lower-cased text, word flags, the rule mask) is compu
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thornwall.config import DEFAULT, ScanConfig
 from thornwall.functions import rules as R
-from thornwall.functions.matching import computed_once, contains_all, fold_lower, spans
+from thornwall.functions.matching import computed_once, contains_all_sql, fold_lower, quoted, spans_sql
 
 SEGMENT_TYPE = (
     "array<struct<text:string,start:int,end:int,reason:string,confidence:double,pattern_type:string>>"
@@ -52,12 +50,12 @@ def combined_text(text: str, ocr_text: str | None) -> Column:
 def _rule_mask() -> Column:
     bits = []
     for i, rule in enumerate(R.DETECTION_RULES):
-        hit = _w("has_" + rule.needs[0])
+        hit = f"{_T}has_{rule.needs[0]}"
         if len(rule.needs) > 1:
-            hit = hit & contains_all(_w("folded"), rule.needs[1:])
-        hit = hit & F.rlike(_w("folded"), F.lit(R.folded_regex(rule.pattern)))
-        bits.append(F.when(hit, F.lit(1 << i)).otherwise(F.lit(0)))
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+            hit += f" and {contains_all_sql(_T + 'folded', rule.needs[1:])}"
+        hit += f" and rlike({_T}folded, {quoted(R.folded_regex(rule.pattern))})"
+        bits.append(f"if({hit}, {1 << i}, 0)")
+    return F.expr(" | ".join(bits))
 
 
 def _mask_of(condition) -> int:
@@ -67,25 +65,26 @@ def _mask_of(condition) -> int:
 def _highest_weight(rules_mask: int) -> Column:
     """The highest weight among the matched rules of a set, found from the mask alone."""
     weights = sorted({r.weight for i, r in enumerate(R.DETECTION_RULES) if rules_mask >> i & 1}, reverse=True)
-    result = F.lit(0.0)
-    for weight in reversed(weights):
+    if not weights:
+        return F.lit(0.0)
+    cases = []
+    for weight in weights:
         bits = rules_mask & _mask_of(lambda r, w=weight: r.weight == w)
-        result = F.when(_w("mask").bitwiseAND(F.lit(bits)) != 0, F.lit(weight)).otherwise(result)
-    return result
+        cases.append(f"when {_T}mask & {bits} <> 0 then {weight}d")
+    return F.expr(f"case {' '.join(cases)} else 0d end")
 
 
 def _keyword_part() -> Column:
-    score = F.lit(0.1)
-    for word in R.KEYWORDS:
-        present = _w("has_" + word) & (_w("same") | F.contains(_w("lower"), F.lit(word)))
-        score = score + F.when(present, F.lit(0.15)).otherwise(F.lit(0.0))
-    return F.least(F.lit(0.8), score)
+    terms = [
+        f"if({_T}has_{w} and ({_T}same or contains({_T}lower, {quoted(w)})), 0.15d, 0d)" for w in R.KEYWORDS
+    ]
+    return F.expr(f"least(0.8d, 0.1d + {' + '.join(terms)})")
 
 
-def _token_present(word: str) -> Column:
+def _token_present(word: str) -> str:
     """Whether a word stands between white space (or the ends) of the lower-cased text."""
     pattern = f"{word}(?<![^{R.SPACE}]{word})(?![^{R.SPACE}])"
-    return F.contains(_w("lower"), F.lit(word)) & F.rlike(_w("lower"), F.lit(pattern))
+    return f"contains({_T}lower, {quoted(word)}) and rlike({_T}lower, {quoted(pattern)})"
 
 
 def _overlap_part() -> Column:
@@ -93,11 +92,9 @@ def _overlap_part() -> Column:
     shares = []
     for phrase in R.ATTACK_PHRASES:
         words = sorted(set(phrase.split()))
-        found = [
-            F.when(_token_present(w), F.lit(1)).otherwise(F.lit(0)) for w in words if w == w.lower()
-        ]
-        shares.append(reduce(lambda a, b: a + b, found) / F.lit(len(words)))
-    return F.greatest(*shares)
+        found = [f"if({_token_present(w)}, 1, 0)" for w in words if w == w.lower()]
+        shares.append(f"({' + '.join(found)}) / {len(words)}")
+    return F.expr(f"greatest({', '.join(shares)})")
 
 
 def _special_count() -> Column:
@@ -119,8 +116,8 @@ def _with_flags(df: DataFrame, text: Column) -> DataFrame:
     df = df.withColumn(_T + "text", text)
     df = df.withColumn(_T + "lower", F.lower(_w("text")))
     df = df.withColumn(_T + "folded", fold_lower(_w("lower")))
-    flags = {_T + "has_" + w: F.contains(_w("folded"), F.lit(w)) for w in _eager_words()}
-    return df.withColumns({**flags, _T + "same": _w("lower") == _w("folded")})
+    flags = [f"contains({_T}folded, {quoted(w)}) as {_T}has_{w}" for w in _eager_words()]
+    return df.selectExpr("*", *flags, f"{_T}lower = {_T}folded as {_T}same")
 
 
 def with_rule_mask(df: DataFrame, text: Column) -> DataFrame:
@@ -162,28 +159,21 @@ def type_score_columns() -> dict[str, Column]:
     return {t: _highest_weight(_mask_of(lambda r, t=t: r.kind == t)) for t in R.PATTERN_TYPES}
 
 
-def _rule_segments(rule: R.Rule) -> Column:
-    return F.transform(
-        spans(_w("text"), _w("folded"), R.folded_regex(rule.pattern)),
-        lambda s: F.struct(
-            s["text"].alias("text"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.lit(f"Matched {rule.kind} pattern").alias("reason"),
-            F.lit(rule.weight).alias("confidence"),
-            F.lit(rule.kind).alias("pattern_type"),
-        ),
+def _rule_segments(rule: R.Rule) -> str:
+    found = spans_sql(_T + "text", _T + "folded", R.folded_regex(rule.pattern))
+    return (
+        f"transform({found}, s_ -> named_struct('text', s_.text, 'start', s_.start, 'end', s_.end, "
+        f"'reason', 'Matched {rule.kind} pattern', 'confidence', {rule.weight}d, 'pattern_type', '{rule.kind}'))"
     )
 
 
 def flagged_segments() -> Column:
     """Every match of every matched rule, by rule and then position."""
-    none = F.array().cast(SEGMENT_TYPE)
+    none = f"cast(array() as {SEGMENT_TYPE})"
     parts = [
-        F.when(_w("mask").bitwiseAND(F.lit(1 << i)) != 0, _rule_segments(rule)).otherwise(none)
-        for i, rule in enumerate(R.DETECTION_RULES)
+        f"if({_T}mask & {1 << i} <> 0, {_rule_segments(rule)}, {none})" for i, rule in enumerate(R.DETECTION_RULES)
     ]
-    return F.when(_w("mask") == 0, none).otherwise(F.flatten(F.array(*parts)))
+    return F.expr(f"if({_T}mask = 0, {none}, flatten(array({', '.join(parts)})))")
 
 
 def risk_category(score: Column, config: ScanConfig = DEFAULT) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thornwall.functions import html as H
-from thornwall.functions.matching import computed_once
+from thornwall.functions.matching import computed_once, fold_original
 
 
 def extract(
@@ -23,7 +23,9 @@ def extract(
     text of hidden elements counts as visible, comments and ``noscript`` do not, alt texts come from
     images only, and hidden content lists elements instead of style patterns.
     """
-    page = F.coalesce(F.col(html), F.lit(""))
+    df = df.withColumn("__tw_page", F.coalesce(F.col(html), F.lit("")))
+    df = df.withColumn("__tw_page_fold", fold_original(F.col("__tw_page")))
+    page = F.col("__tw_page")
     no_texts = F.array().cast("array<string>")
     no_hidden = F.array().cast(H.HIDDEN_TYPE)
     if mode == "dom":
@@ -33,37 +35,40 @@ def extract(
         alts = dom["alt_texts"] if extract_alt_text else no_texts
         hidden = dom["hidden"] if detect_hidden else no_hidden
     elif mode == "regex":
-        text, title = H.visible_text(page, all_entities), F.lit(None).cast("string")
+        df = H.with_visible_text(df, "__tw_page", "__tw_text", all_entities)
+        text, title = F.col("__tw_text"), F.lit(None).cast("string")
         alts = H.alt_texts(page) if extract_alt_text else no_texts
-        hidden = H.hidden_styles(page) if detect_hidden else no_texts
+        hidden = H.hidden_styles("__tw_page", "__tw_page_fold") if detect_hidden else no_texts
     else:
         raise ValueError(f"unknown mode {mode!r}")
     df = df.withColumns({"visible_text": text, "title": title, "alt_texts": alts, "hidden_content": hidden})
     df = df.withColumns(
         {
-            "suspicious_scripts": H.suspicious_scripts(page),
+            "suspicious_scripts": H.suspicious_scripts("__tw_page"),
             "base64_content": H.base64_content(page),
             "has_hidden_divs": F.size("hidden_content") > 0,
         }
     )
     all_text = F.concat(F.col("visible_text"), F.lit(" "), F.array_join("alt_texts", " "))
-    return df.withColumns(
-        {
-            "has_suspicious_scripts": F.size("suspicious_scripts") > 0,
-            "injection_indicators": H.injection_indicators(all_text),
-        }
-    ).drop("__tw_dom")
+    df = df.withColumn("has_suspicious_scripts", F.size("suspicious_scripts") > 0)
+    return _with_indicators(df, all_text).drop("__tw_dom", "__tw_page", "__tw_page_fold", "__tw_text")
+
+
+def _with_indicators(df: DataFrame, text: Column) -> DataFrame:
+    df = df.withColumn("__tw_all", text).withColumn("__tw_fold", fold_original(F.col("__tw_all")))
+    df = df.withColumn("injection_indicators", H.injection_indicators("__tw_all", "__tw_fold"))
+    return df.drop("__tw_all", "__tw_fold")
 
 
 def hidden_elements(df: DataFrame, keep: tuple[str, ...], html: str = "html") -> DataFrame:
     """One row per hidden element."""
-    found = df.select(*keep, F.posexplode(H.hidden_elements(F.col(html))).alias("element_no", "element"))
+    found = df.select(*keep, F.posexplode(H.hidden_elements(html)).alias("element_no", "element"))
     return found.select(*keep, "element_no", "element.*")
 
 
 def scripts(df: DataFrame, keep: tuple[str, ...], html: str = "html") -> DataFrame:
     """One row per suspicious script."""
-    found = df.select(*keep, F.posexplode(H.suspicious_scripts(F.col(html))).alias("script_no", "script"))
+    found = df.select(*keep, F.posexplode(H.suspicious_scripts(html)).alias("script_no", "script"))
     return found.select(*keep, "script_no", "script.*")
 
 
@@ -75,17 +80,19 @@ def base64_runs(df: DataFrame, keep: tuple[str, ...], html: str = "html") -> Dat
 
 def indicators(df: DataFrame, text: Column, keep: tuple[str, ...]) -> DataFrame:
     """One row per injection indicator in a text."""
-    df = df.select(*keep, text.alias("__tw_all"))
-    found = df.select(*keep, F.posexplode(H.injection_indicators(F.col("__tw_all"))).alias("indicator_no", "indicator"))
+    df = _with_indicators(df, text)
+    found = df.select(*keep, F.posexplode("injection_indicators").alias("indicator_no", "indicator"))
     return found.select(*keep, "indicator_no", "indicator.*")
 
 
 def extract_for_scan(df: DataFrame, html: str) -> DataFrame:
     """The columns that scoring a page needs, each evaluated once."""
-    page = F.coalesce(F.col(html), F.lit(""))
+    df = df.withColumn("__tw_page", F.coalesce(F.col(html), F.lit("")))
+    df = H.with_visible_text(df, "__tw_page", "raw_text")
+    df = df.withColumn("__tw_page_fold", fold_original(F.col("__tw_page")))
     columns = {
-        "has_hidden_divs": F.size(H.hidden_styles(page)) > 0,
-        "has_suspicious_scripts": F.size(H.suspicious_scripts(page)) > 0,
-        "alt_texts": H.alt_texts(page),
+        "has_hidden_divs": F.size(H.hidden_styles("__tw_page", "__tw_page_fold")) > 0,
+        "has_suspicious_scripts": F.size(H.suspicious_scripts("__tw_page")) > 0,
+        "alt_texts": H.alt_texts(F.col("__tw_page")),
     }
-    return computed_once(df.withColumn("raw_text", H.visible_text(page)), columns)
+    return computed_once(df, columns).drop("__tw_page", "__tw_page_fold")

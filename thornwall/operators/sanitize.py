@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from thornwall.config import DEFAULT, ScanConfig
 from thornwall.functions import rules as R
-from thornwall.functions.matching import computed_once, contains_all, fold_original, spans
+from thornwall.functions.matching import computed_once, contains_all_sql, fold_original, quoted, spans_sql
 from thornwall.functions.text import head
 from thornwall.operators.detect import score
 
@@ -28,20 +28,11 @@ def _column(value: str | bool | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def _segments(stage: Column, pattern: str, marker: Column, reason: str) -> Column:
+def _segments_sql(stage: str, pattern: str, marker: str, reason: str) -> str:
     """The replacements of one rule; the last match is replaced, and listed, first."""
-    return F.reverse(
-        F.transform(
-            spans(stage, stage, pattern),
-            lambda s: F.struct(
-                s["text"].alias("original"),
-                marker.alias("sanitized"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                F.lit("replaced").alias("action"),
-                F.lit(reason).alias("reason"),
-            ),
-        )
+    return (
+        f"reverse(transform({spans_sql(stage, stage, pattern)}, s_ -> named_struct('original', s_.text, "
+        f"'sanitized', {marker}, 'start', s_.start, 'end', s_.end, 'action', 'replaced', 'reason', {quoted(reason)})))"
     )
 
 
@@ -134,20 +125,19 @@ def sanitize(
             _T + "keep": _column(preserve_semantics),
         }
     )
-    active = F.col(_T + "mode") != "permissive"
-    strict = F.col(_T + "mode") == "strict"
     # No marker contains a word that a later rule needs, so the words of the original decide.
+    active = F.col(_T + "mode") != "permissive"
     df = df.withColumn(_T + "folded", F.when(active, fold_original(F.col(_T + "0"))))
 
-    steps: list[tuple[Column, Column, str]] = []  # condition, marker, Java pattern, by stage
-    reasons = []
+    steps: list[tuple[str, str, str, str]] = []  # condition, marker, Java pattern and reason of each stage
     for rule in R.SANITIZE_RULES:
-        marker = F.when(strict, F.lit(R.STRICT_MARKER)).when(
-            F.col(_T + "keep"), F.lit(rule.marker)
-        ).otherwise(F.lit(R.PLAIN_MARKER))
-        condition = F.coalesce(contains_all(F.col(_T + "folded"), rule.needs), F.lit(False))
-        steps.append((condition, marker, R.jvm_regex(rule.pattern)))
-        reasons.append(f"Matched dangerous pattern: {rule.pattern[:30]}...")
+        marker = (
+            f"case when {_T}mode = 'strict' then '{R.STRICT_MARKER}' when {_T}keep then '{rule.marker}' "
+            f"else '{R.PLAIN_MARKER}' end"
+        )
+        condition = f"coalesce({contains_all_sql(_T + 'folded', rule.needs)}, false)"
+        reason = f"Matched dangerous pattern: {rule.pattern[:30]}..."
+        steps.append((condition, marker, R.jvm_regex(rule.pattern), reason))
     in_python: Column | None = F.col(custom_patterns) if isinstance(custom_patterns, str) else None
     if isinstance(custom_patterns, list):
         usable = valid_patterns(custom_patterns)
@@ -155,19 +145,19 @@ def sanitize(
         if None in java_forms:
             in_python = F.array(*[F.lit(p) for p in usable])
         else:
-            steps += [(active, F.lit(R.CUSTOM_MARKER), java) for java in java_forms]
-            reasons += ["Custom pattern match"] * len(java_forms)
+            always = f"{_T}mode <> 'permissive'"
+            steps += [(always, f"'{R.CUSTOM_MARKER}'", java, "Custom pattern match") for java in java_forms]
 
-    stage = F.col(_T + "0")
+    none = f"cast(array() as {SEGMENT_TYPE})"
     counts, lists = [], []
-    for i, (condition, marker, java) in enumerate(steps):
-        none = F.array().cast(SEGMENT_TYPE)
+    for i, (condition, marker, java, reason) in enumerate(steps):
+        stage = f"{_T}{i}"
         if segments:
-            lists.append(F.when(condition, _segments(stage, java, marker, reasons[i])).otherwise(none))
-        counts.append(F.when(condition, F.regexp_count(stage, F.lit(java))).otherwise(F.lit(0)))
-        replaced = F.regexp_replace(stage, F.lit(java), marker)
-        df = df.withColumn(f"{_T}{i + 1}", F.when(condition, replaced).otherwise(stage))
-        stage = F.col(f"{_T}{i + 1}")
+            lists.append(F.expr(f"if({condition}, {_segments_sql(stage, java, marker, reason)}, {none})"))
+        counts.append(F.expr(f"if({condition}, regexp_count({stage}, {quoted(java)}), 0)"))
+        replaced = f"regexp_replace({stage}, {quoted(java)}, {marker})"
+        df = df.withColumn(f"{_T}{i + 1}", F.expr(f"if({condition}, {replaced}, {stage})"))
+    stage = F.col(f"{_T}{len(steps)}")
 
     last = stage
     if in_python is not None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thornwall.config import shared_folder
 from thornwall.functions import html as H
 from thornwall.functions import text as T
+from thornwall.functions.matching import fold_original
 from thornwall.functions.vectors import cosine_similarity
 from thornwall.operators import detect as D
 from thornwall.operators import guard as G
@@ -219,7 +220,7 @@ def escape_llm_triggers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def html_visible_text(spark: SparkSession, sf: str) -> DataFrame:
-    return pages(spark, sf).select("page_id", H.visible_text(F.col("html")).alias("visible_text"))
+    return H.with_visible_text(pages(spark, sf), "html").select("page_id", "visible_text")
 
 
 @query
@@ -243,7 +244,9 @@ def html_hidden_styles(spark: SparkSession, sf: str) -> DataFrame:
         "concat(html, case page_id % 4 when 0 then '<p style=\"opacity: 0; color:rgba(1,2, 0)\">' "
         "when 1 then '<i style=\"position :absolute; left:-99px; Font-Size:0\">' else '' end)"
     )
-    return pages(spark, sf).select("page_id", F.posexplode(H.hidden_styles(more)).alias("style_no", "pattern"))
+    table = pages(spark, sf).select("page_id", more.alias("html"))
+    table = table.withColumn("folded", fold_original(F.col("html")))
+    return table.select("page_id", F.posexplode(H.hidden_styles("html", "folded")).alias("style_no", "pattern"))
 
 
 @query
@@ -277,10 +280,9 @@ def base64_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def html_injection_indicators(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(
-        H.visible_text(F.col("html")), F.lit(" "), F.array_join(H.alt_texts(F.col("html")), " ")
-    )
-    return HO.indicators(pages(spark, sf), text, ("page_id",))
+    table = H.with_visible_text(pages(spark, sf), "html")
+    text = F.concat(F.col("visible_text"), F.lit(" "), F.array_join(H.alt_texts(F.col("html")), " "))
+    return HO.indicators(table, text, ("page_id",))
 
 
 @query
