@@ -23,14 +23,14 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def fold_lower(lowered: Column) -> Column:
+def fold_lower_sql(lowered: str) -> str:
     """Lower-cased text with the two letters that equal an ASCII letter when case is ignored."""
-    return F.replace(F.replace(lowered, F.lit("ſ"), F.lit("s")), F.lit("ı"), F.lit("i"))
+    return f"replace(replace({lowered}, 'ſ', 's'), 'ı', 'i')"
 
 
-def fold_original(text: Column) -> Column:
+def fold_original_sql(text: str) -> str:
     """Folded text for rules that match before lower-casing, where capital dotted I is an i too."""
-    return fold_lower(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))))
+    return fold_lower_sql(f"lower(replace({text}, 'İ', 'i'))")
 
 
 def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

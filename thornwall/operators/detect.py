@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from thornwall.config import DEFAULT, ScanConfig
 from thornwall.functions import rules as R
-from thornwall.functions.matching import computed_once, contains_all_sql, fold_lower, quoted, spans_sql
+from thornwall.functions.matching import computed_once, contains_all_sql, fold_lower_sql, quoted, spans_sql
 
 SEGMENT_TYPE = (
     "array<struct<text:string,start:int,end:int,reason:string,confidence:double,pattern_type:string>>"
@@ -113,11 +113,14 @@ def _anomaly_part() -> Column:
 
 
 def _with_flags(df: DataFrame, text: Column) -> DataFrame:
-    df = df.withColumn(_T + "text", text)
-    df = df.withColumn(_T + "lower", F.lower(_w("text")))
-    df = df.withColumn(_T + "folded", fold_lower(_w("lower")))
-    flags = [f"contains({_T}folded, {quoted(w)}) as {_T}has_{w}" for w in _eager_words()]
-    return df.selectExpr("*", *flags, f"{_T}lower = {_T}folded as {_T}same")
+    """Text, lower-cased text, folded text and word flags; each column builds on the ones before it."""
+    return df.withColumn(_T + "text", text).selectExpr(
+        "*",
+        f"lower({_T}text) as {_T}lower",
+        f"{fold_lower_sql(_T + 'lower')} as {_T}folded",
+        f"{_T}lower = {_T}folded as {_T}same",
+        *[f"contains({_T}folded, {quoted(w)}) as {_T}has_{w}" for w in _eager_words()],
+    )
 
 
 def with_rule_mask(df: DataFrame, text: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from thornwall.config import DEFAULT, ScanConfig
 from thornwall.functions import rules as R
-from thornwall.functions.matching import computed_once, contains_all_sql, fold_original, quoted, spans_sql
+from thornwall.functions.matching import computed_once, contains_all_sql, fold_original_sql, quoted, spans_sql
 from thornwall.functions.text import head
 from thornwall.operators.detect import score
 
@@ -127,7 +127,7 @@ def sanitize(
     )
     # No marker contains a word that a later rule needs, so the words of the original decide.
     active = F.col(_T + "mode") != "permissive"
-    df = df.withColumn(_T + "folded", F.when(active, fold_original(F.col(_T + "0"))))
+    stages = [f"if({_T}mode <> 'permissive', {fold_original_sql(_T + '0')}, null) as {_T}folded"]
 
     steps: list[tuple[str, str, str, str]] = []  # condition, marker, Java pattern and reason of each stage
     for rule in R.SANITIZE_RULES:
@@ -156,7 +156,8 @@ def sanitize(
             lists.append(F.expr(f"if({condition}, {_segments_sql(stage, java, marker, reason)}, {none})"))
         counts.append(F.expr(f"if({condition}, regexp_count({stage}, {quoted(java)}), 0)"))
         replaced = f"regexp_replace({stage}, {quoted(java)}, {marker})"
-        df = df.withColumn(f"{_T}{i + 1}", F.expr(f"if({condition}, {replaced}, {stage})"))
+        stages.append(f"if({condition}, {replaced}, {stage}) as {_T}{i + 1}")
+    df = df.selectExpr("*", *stages)  # each stage names the one before it
     stage = F.col(f"{_T}{len(steps)}")
 
     last = stage

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from thornwall.config import shared_folder
 from thornwall.functions import html as H
 from thornwall.functions import text as T
-from thornwall.functions.matching import fold_original
+from thornwall.functions.matching import fold_original_sql
 from thornwall.functions.vectors import cosine_similarity
 from thornwall.operators import detect as D
 from thornwall.operators import guard as G
@@ -245,7 +245,7 @@ def html_hidden_styles(spark: SparkSession, sf: str) -> DataFrame:
         "when 1 then '<i style=\"position :absolute; left:-99px; Font-Size:0\">' else '' end)"
     )
     table = pages(spark, sf).select("page_id", more.alias("html"))
-    table = table.withColumn("folded", fold_original(F.col("html")))
+    table = table.selectExpr("*", f"{fold_original_sql('html')} as folded")
     return table.select("page_id", F.posexplode(H.hidden_styles("html", "folded")).alias("style_no", "pattern"))
 
 
@@ -598,8 +598,9 @@ def _analysis(spark: SparkSession, sf: str, segments: bool = False) -> DataFrame
 def report(spark: SparkSession, sf: str) -> DataFrame:
     """Reports of the analyses of English documents, looked up by id."""
     wanted = raw_documents(spark, sf).filter(F.col("lang") == "en")
-    ids = wanted.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("analysis_id"))
-    df = RP.reports(RP.lookup(_analysis(spark, sf, True), ids))
+    ids = wanted.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("content_id"))
+    content = RP.lookup(document_content(spark, sf), ids, "content_id")  # before the scan, not after it
+    df = RP.reports(analyze(content))
     return df.select(
         "report_id",
         "analysis_id",
@@ -642,7 +643,7 @@ def soci_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def list_reports(spark: SparkSession, sf: str) -> DataFrame:
-    return RP.list_reports(_analysis(spark, sf))
+    return RP.list_reports(_analysis(spark, sf), items=document_content(spark, sf))
 
 
 @query

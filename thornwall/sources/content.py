@@ -110,13 +110,13 @@ def file_content(files: DataFrame, content_type: str = "image") -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, *key: str) -> DataFrame:
-    """A Parquet table, spread over all cores where its files are too few to occupy them.
+    """A Parquet table, spread over all cores where it has far fewer splits than there are cores.
 
-    A large table has at least as many splits as there are cores and is left alone. Only an input
-    with fewer (some megabytes per core at most) is shuffled, by a unique key, so that later work is parallel.
+    A table at scale has more splits than cores and is read as it is, without a shuffle. The exception
+    is for small tables (here: a single row group), whose later work would otherwise run in one task.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if key and df.rdd.getNumPartitions() < cores:
+    if key and df.rdd.getNumPartitions() <= cores // 2:
         return df.repartition(cores * 2, *key)
     return df
