@@ -21,6 +21,8 @@ PAGES = [
     "",
     "<!-- comment --><noscript>ns</noscript><p>a<!-- b -->c</p><p style='display:none'>  </p>",
     "<" * 300 + "b>x</b>" + "<" * 300,
+    "<script>eval(1)</script>" + "<script>" * 2000 + " x <style " + "<style>p" * 1000,
+    "<script>a</script>b<script <script>c</SCRIPT>d<style>e</style><script>f<b>g",
     "<p>AT&T &copy &nbsp;x&amp;lt; &unknown; &#0;</p>",
 ]
 

@@ -15,8 +15,11 @@ from thornwall.functions import rules as R
 from thornwall.functions.matching import bind, contains_all_sql, quoted, spans_sql
 from thornwall.functions.text import collapse_space
 
-_SCRIPT_BLOCK = r"(?isu)<script[^>]*>.*?</script>"
-_STYLE_BLOCK = r"(?isu)<style[^>]*>.*?</style>"
+# Where a block is opened but never closed, no later one is closed either. The second alternative then
+# takes the whole rest at once (and puts it back), so a page full of openings is still read once.
+_SCRIPT_BLOCK = r"(?isu)<script[^>]*>.*?</script>|(<script.*\z)"
+_STYLE_BLOCK = r"(?isu)<style[^>]*>.*?</style>|(<style.*\z)"
+_SCRIPT_BODY = r"(?isu)<script[^>]*>(.*?)</script>|<script.*\z"
 
 # Entities that built-in functions replace; the ampersand comes last so that nothing is read twice.
 _ENTITIES = {
@@ -45,7 +48,7 @@ def unescape_common(text: Column) -> Column:
 
 
 def without_blocks(html: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(html, _SCRIPT_BLOCK, ""), _STYLE_BLOCK, "")
+    return F.regexp_replace(F.regexp_replace(html, _SCRIPT_BLOCK, "$1"), _STYLE_BLOCK, "$1")
 
 
 def _without_tags(html: Column) -> Column:
@@ -74,7 +77,7 @@ def with_visible_text(df: DataFrame, html: str, into: str = "visible_text", all_
 
 
 def title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?isu)<title[^>]*>(.*?)</title>", 1))
+    return F.trim(F.regexp_extract(html, r"(?isu)<title[^>]*>(.*?)</title>|<title.*\z", 1))
 
 
 def alt_texts(html: Column, images_only: bool = False) -> Column:
@@ -106,7 +109,7 @@ def hidden_styles(html: str, folded: str) -> Column:
 
 def suspicious_scripts(html: str) -> Column:
     """Scripts with at least one sign, as (snippet, patterns_found)."""
-    bodies = f"regexp_extract_all({html}, '(?isu)<script[^>]*>(.*?)</script>', 1)"
+    bodies = f"regexp_extract_all({html}, {quoted(_SCRIPT_BODY)}, 1)"
     cases = [f"if(rlike(b_, {quoted(R.jvm_regex(p))}), {quoted(p)}, null)" for p in R.SCRIPT_SIGNS]
     found = f"array_compact(array({', '.join(cases)}))"
     checked = f"transform({bodies}, b_ -> named_struct('snippet', substring(b_, 1, 200), 'patterns_found', {found}))"
@@ -164,7 +167,7 @@ def _indicator_sql(text: str, folded: str, pattern: str) -> str:
 
 def strip_dangerous(html: Column) -> Column:
     """Without scripts and inline event handlers, and with script links pointing nowhere."""
-    html = F.regexp_replace(html, _SCRIPT_BLOCK, "")
+    html = F.regexp_replace(html, _SCRIPT_BLOCK, "$1")
     html = F.regexp_replace(html, R.jvm_regex(r"\s+on\w+\s*=\s*[\"'][^\"']*[\"']"), "")
     return F.regexp_replace(html, R.jvm_regex(r"href\s*=\s*[\"']javascript:[^\"']*[\"']"), 'href="#"')
 
