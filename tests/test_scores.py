@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from thornwall.config import ScanConfig
 from thornwall.functions.vectors import cosine_similarity
 from thornwall.operators import guard as G
 from thornwall.operators import report as RP
@@ -42,6 +43,24 @@ def test_analysis_cuts_texts_and_counts_images_twice(spark):
     assert [(s.start, s.end) for s in rows["i1"].flagged_segments] == [(0, 9), (10, 19)]
 
 
+def test_alt_texts_score_only_on_request(spark):
+    pages = spark.createDataFrame([("p", '<p>hi</p><img alt="jailbreak">')], "content_id string, content string")
+    content = C.from_requests(pages.withColumn("content_type", F.lit("html")))
+    assert analyze(content).first().injection_score == 3.5
+    assert analyze(content, config=ScanConfig(score_hidden=True)).first().injection_score == 48.5
+
+
+def test_mixed_requests_equal_typed_sources(spark):
+    rows = [("t", "text", "a jailbreak"), ("h", "html", '<p style="display:none">x</p><script>eval(1)</script>'), ("p", "pdf", "<b>y"), ("i", "image", "AAAA"), ("n", None, None)]
+    df = spark.createDataFrame(rows, "content_id string, content_type string, content string")
+    got = {r.content_id: r for r in C.from_requests(df).collect()}
+    assert set(got) == {"t", "h", "p", "n"}
+    assert (got["h"].raw_text, got["h"].has_hidden_divs, got["h"].has_suspicious_scripts) == ("x", True, True)
+    assert (got["p"].raw_text, got["p"].simulated, got["t"].char_count, got["n"].raw_text) == ("<b>y", True, 11, "")
+    typed = C.from_html(df.filter("content_type = 'html'"), F.col("content_id"), "content").first()
+    assert typed == got["h"]
+
+
 def test_guard_decisions(spark):
     prompts = spark.createDataFrame(
         [

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
@@ -40,11 +41,9 @@ class ScanConfig:
     audit_text_limit: int = 200
     service_name: str = "the content guard"
 
-    # also score what an HTML page hides (alt texts and hidden styles do not count otherwise)
+    # also score the alt texts of HTML pages, which do not count otherwise
     score_hidden: bool = False
 
-    extra: dict = field(default_factory=dict)
-
 
 DEFAULT = ScanConfig()
 
@@ -79,6 +78,4 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix="thornwall-")
-    import uuid
-
     return f"{base.rstrip('/')}/thornwall-{uuid.uuid4().hex}"

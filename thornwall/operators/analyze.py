@@ -55,7 +55,7 @@ def with_safety(
 
 
 def scan_text(config: ScanConfig) -> Column:
-    """The text that counts: visible text, and alt texts too where hidden text is scored."""
+    """The text that counts: visible text, and alt texts too where they are scored."""
     if not config.score_hidden:
         return F.col("raw_text")
     return F.concat_ws(" ", "raw_text", F.array_join("alt_texts", " "))

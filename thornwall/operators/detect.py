@@ -128,24 +128,36 @@ def with_rule_mask(df: DataFrame, text: Column) -> DataFrame:
     return computed_once(_with_flags(df, text), {_T + "mask": _rule_mask()})
 
 
-def with_signals(df: DataFrame, text: Column, model_probability: Column | None = None) -> DataFrame:
-    """Working columns with the four raw signals, each from 0 to 1 (all 0 for empty text)."""
-    df = _with_flags(df, text).withColumn(_T + "special", _special_count())
+SIGNALS = ("pattern", "model", "embedding", "anomaly")
+
+
+def with_signals(
+    df: DataFrame,
+    text: Column,
+    model_probability: Column | None = None,
+    wanted: tuple[str, ...] = SIGNALS,
+) -> DataFrame:
+    """Working columns with the raw signals, each from 0 to 1 (all 0 for empty text)."""
+    df = _with_flags(df, text)
     empty = _w("text") == ""
-    model = _keyword_part()
-    if model_probability is not None:
-        model = F.coalesce(model_probability.cast("double"), model)
     zero = F.lit(0.0)
-    df = computed_once(
-        df,
-        {
-            _T + "mask": _rule_mask(),
-            _T + "model": F.when(empty, zero).otherwise(model),
-            _T + "embedding": F.when(empty, zero).otherwise(_overlap_part()),
-            _T + "anomaly": _anomaly_part(),
-        },
-    )
-    return df.withColumn(_T + "pattern", _highest_weight(_mask_of(lambda r: True)))
+    once = {}
+    if "pattern" in wanted:
+        once[_T + "mask"] = _rule_mask()
+    if "model" in wanted:
+        model = _keyword_part()
+        if model_probability is not None:
+            model = F.coalesce(model_probability.cast("double"), model)
+        once[_T + "model"] = F.when(empty, zero).otherwise(model)
+    if "embedding" in wanted:
+        once[_T + "embedding"] = F.when(empty, zero).otherwise(_overlap_part())
+    if "anomaly" in wanted:
+        df = df.withColumn(_T + "special", _special_count())
+        once[_T + "anomaly"] = _anomaly_part()
+    df = computed_once(df, once)
+    if "pattern" in wanted:
+        df = df.withColumn(_T + "pattern", _highest_weight(_mask_of(lambda r: True)))
+    return df
 
 
 def injection_score(config: ScanConfig = DEFAULT) -> Column:
@@ -243,10 +255,10 @@ def type_scores(df: DataFrame, text: str = "text") -> DataFrame:
     return _drop(df.withColumns(type_score_columns()))
 
 
-def raw_signals(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the four signals from 0 to 1 as ``pattern``, ``model``, ``embedding``, ``anomaly``."""
-    df = with_signals(df, combined_text(text, None))
-    return _drop(df.withColumns({n: _w(n) for n in ("pattern", "model", "embedding", "anomaly")}))
+def raw_signals(df: DataFrame, text: str = "text", wanted: tuple[str, ...] = SIGNALS) -> DataFrame:
+    """Add signals from 0 to 1: ``pattern``, ``model`` (keywords), ``embedding`` (overlap), ``anomaly``."""
+    df = with_signals(df, combined_text(text, None), wanted=wanted)
+    return _drop(df.withColumns({n: _w(n) for n in wanted}))
 
 
 def segment_severity(confidence: Column) -> Column:

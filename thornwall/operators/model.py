@@ -19,8 +19,8 @@ Predictor = Callable[[Sequence[str]], Sequence[float]]
 
 def first_tokens(text: Column, limit: int) -> Column:
     """The first white-space separated tokens; the rest is dropped, as a model's input limit does."""
-    pattern = rf"^[{R.SPACE}]*(?:[^{R.SPACE}]+[{R.SPACE}]*+){{0,{limit}}}"
-    return F.regexp_extract(text, pattern, 0)
+    tokens = F.split(F.regexp_replace(text, rf"^[{R.SPACE}]+", ""), rf"[{R.SPACE}]+", limit + 1)
+    return F.array_join(F.slice(tokens, 1, limit), " ")
 
 
 def with_model_probability(

@@ -338,6 +338,10 @@ def build() -> dict[str, str]:
     """SQL by query name."""
     sql: dict[str, str] = {}
     sql["content_union"] = f"{_content()} select content_id, content_type, content_hash, raw_text, char_count, simulated from cnt"
+    sql["content_requests"] = (
+        f"{_content()} select content_id, content_type, content_hash, raw_text, char_count, simulated, "
+        "ext in (75, 50) as has_hidden_divs, ext in (65, 50) as has_suspicious_scripts from cnt where content_type <> 'image'"
+    )
     sql["text_extract"] = (
         f"with {DOCS} select concat('doc-', doc_id) as content_id, text as raw_text, cast(length(text) as integer) as char_count from docs"
     )
@@ -627,8 +631,8 @@ def build() -> dict[str, str]:
     )
     evt = f"evt as (select ts, {planted_text('event_id', 'event_type')} as prompt from events)"
     sql["stream_stats"] = (
-        f"{guard(q('strict'), evt, 'evt', 'prompt', 'ts')} select date_trunc('day', ts)::timestamp as window_start, "
-        f"date_trunc('day', ts)::timestamp + interval 1 day as window_end, {_TOTALS} from out group by all"
+        f"{guard(q('strict'), evt, 'evt', 'prompt', 'ts')} select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, "
+        f"strftime(date_trunc('day', ts) + interval 1 day, '%Y-%m-%d %H:%M:%S') as window_end, {_TOTALS} from out group by all"
     )
     return sql
 

@@ -124,6 +124,30 @@ def content_union(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def content_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, pages and PDF text in one table of requests with a type each."""
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    requests = C.union(
+        documents(spark, sf).select(
+            F.concat(F.lit("doc-"), "doc_id").alias("content_id"), F.lit("text").alias("content_type"), F.col("text").alias("content")
+        ),
+        pages(spark, sf).select(
+            F.concat(F.lit("page-"), "page_id").alias("content_id"), F.lit("html").alias("content_type"), F.col("html").alias("content")
+        ),
+        benchmark.select(
+            F.concat(F.lit("pdf-"), "item_id").alias("content_id"),
+            F.lit("pdf").alias("content_type"),
+            F.expr(planted_text("item_id")).alias("content"),
+        ),
+    )
+    return C.from_requests(requests).select(
+        "content_id", "content_type", "content_hash", "raw_text", "char_count", "simulated",
+        F.coalesce("has_hidden_divs", F.lit(False)).alias("has_hidden_divs"),
+        F.coalesce("has_suspicious_scripts", F.lit(False)).alias("has_suspicious_scripts"),
+    )
+
+
 @query
 def text_extract(spark: SparkSession, sf: str) -> DataFrame:
     return document_content(spark, sf).select("content_id", "raw_text", "char_count")
@@ -334,22 +358,22 @@ def pattern_type_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pattern_score(spark: SparkSession, sf: str) -> DataFrame:
-    return D.raw_signals(documents(spark, sf)).select("doc_id", F.col("pattern").alias("pattern_score"))
+    return D.raw_signals(documents(spark, sf), wanted=("pattern",)).select("doc_id", F.col("pattern").alias("pattern_score"))
 
 
 @query
 def keyword_score(spark: SparkSession, sf: str) -> DataFrame:
-    return D.raw_signals(documents(spark, sf)).select("doc_id", F.round("model", 4).alias("keyword_score"))
+    return D.raw_signals(documents(spark, sf), wanted=("model",)).select("doc_id", F.round("model", 4).alias("keyword_score"))
 
 
 @query
 def attack_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return D.raw_signals(documents(spark, sf)).select("doc_id", F.round("embedding", 6).alias("attack_overlap"))
+    return D.raw_signals(documents(spark, sf), wanted=("embedding",)).select("doc_id", F.round("embedding", 6).alias("attack_overlap"))
 
 
 @query
 def anomaly_score(spark: SparkSession, sf: str) -> DataFrame:
-    return D.raw_signals(documents(spark, sf)).select("doc_id", F.round("anomaly", 4).alias("anomaly_score"))
+    return D.raw_signals(documents(spark, sf), wanted=("anomaly",)).select("doc_id", F.round("anomaly", 4).alias("anomaly_score"))
 
 
 @query
@@ -727,4 +751,6 @@ def stream_stats(spark: SparkSession, sf: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"), F.expr(planted_text("event_id", "event_type")).alias("prompt")
     )
     guarded = G.decide(table, "prompt", "strict")
-    return ST.run_stats(ST.stream_stats(guarded, "ts", "1 day"), f"{folder}/stats", f"{folder}/checkpoint")
+    stats = ST.run_stats(ST.stream_stats(guarded, "ts", "1 day"), f"{folder}/stats", f"{folder}/checkpoint")
+    day = {n: F.date_format(n, "yyyy-MM-dd HH:mm:ss") for n in ("window_start", "window_end")}
+    return stats.withColumns(day)

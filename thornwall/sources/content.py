@@ -35,7 +35,7 @@ def _conform(df: DataFrame, content_type: str, columns: dict[str, Column | str])
     for name in ("source", "user_reputation", "has_metadata"):
         if name in df.columns:
             columns.setdefault(name, F.col(name))
-    columns["content_type"] = F.lit(content_type)
+    columns.setdefault("content_type", F.lit(content_type))
     chosen = []
     for name, kind in SCHEMA.items():
         value = columns.get(name, F.lit(None))
@@ -90,6 +90,36 @@ def from_ocr_words(words: DataFrame, content_id: Column, images: DataFrame | Non
     return _conform(df, "image", columns)
 
 
+def from_requests(df: DataFrame) -> DataFrame:
+    """Requests of mixed type (content_id, content_type, content) but images, in one pass over the table.
+
+    Each extraction sees only the content of its type; for other rows its input is empty. Images need
+    their OCR words (``from_ocr_words``).
+    """
+    kind = F.coalesce(F.col("content_type"), F.lit("text"))
+    df = df.filter(kind != "image").withColumns(
+        {
+            "content_type": kind,
+            "content": F.coalesce("content", F.lit("")),
+            "__tw_html": F.when(kind == "html", F.col("content")),
+        }
+    )
+    df = html_operators.extract_for_scan(df, "__tw_html")
+    is_html = F.col("content_type") == "html"
+    columns = {
+        "content_id": "content_id",
+        "content_type": F.col("content_type"),
+        "content_hash": content_hash(F.col("content")),
+        "raw_text": F.when(is_html, F.col("raw_text")).otherwise(F.col("content")),
+        "char_count": F.when(F.col("content_type") == "text", F.char_length("content")),
+        "has_hidden_divs": F.when(is_html, F.col("has_hidden_divs")),
+        "has_suspicious_scripts": F.when(is_html, F.col("has_suspicious_scripts")),
+        "alt_texts": F.when(is_html, F.col("alt_texts")),
+        "simulated": F.when(F.col("content_type") == "pdf", F.lit(True)),
+    }
+    return _conform(df, "text", columns)
+
+
 def union(*parts: DataFrame) -> DataFrame:
     """One content table; every part keeps its own scan and its own extraction."""
     return reduce(DataFrame.unionByName, parts)
