@@ -95,13 +95,17 @@ def _required_words(pattern: str) -> tuple[str, ...]:
     return tuple(re.findall(r"[a-z]{3,}", fixed))
 
 
+def _found_sql(text: str, pattern: str) -> str:
+    return " or ".join(f"rlike({text}, {quoted(java)})" for java in R.search_regexes(pattern))
+
+
 def hidden_styles(html: str, folded: str) -> Column:
     """The hiding style patterns that occur anywhere in a page, in rule order.
 
     Takes the names of two columns: the page, and ``fold_original_sql`` of it.
     """
     cases = [
-        f"if({contains_all_sql(folded, _required_words(p))} and rlike({html}, {quoted(R.jvm_regex(p))}), {quoted(p)}, null)"
+        f"if({contains_all_sql(folded, _required_words(p))} and ({_found_sql(html, p)}), {quoted(p)}, null)"
         for p in R.HIDDEN_STYLES
     ]
     return F.expr(f"array_compact(array({', '.join(cases)}))")
@@ -168,7 +172,9 @@ def _indicator_sql(text: str, folded: str, pattern: str) -> str:
 def strip_dangerous(html: Column) -> Column:
     """Without scripts and inline event handlers, and with script links pointing nowhere."""
     html = F.regexp_replace(html, _SCRIPT_BLOCK, "$1")
-    html = F.regexp_replace(html, R.jvm_regex(r"\s+on\w+\s*=\s*[\"'][^\"']*[\"']"), "")
+    # a run of white space is tried once, from its start
+    handler = R.jvm_regex(r"(?<!\s)\s++on\w+\s*=\s*[\"'][^\"']*[\"']")
+    html = F.regexp_replace(html, handler, "")
     return F.regexp_replace(html, R.jvm_regex(r"href\s*=\s*[\"']javascript:[^\"']*[\"']"), 'href="#"')
 
 
@@ -303,9 +309,9 @@ def dom(html: Column) -> Column:
 
 def may_hide_elements(html: str) -> Column:
     """Pages on which an element can count as hidden (its attribute may be written with entities)."""
-    patterns = [R.jvm_regex(p) for p in (*R.HIDDEN_STYLES, R.HIDDEN_CLASSES)]
-    patterns.append(r"(?iu)(?:style|class)\s*=[^>]*&")
-    return F.expr(" or ".join(f"rlike({html}, {quoted(p)})" for p in patterns))
+    rules = " or ".join(_found_sql(html, p) for p in (*R.HIDDEN_STYLES, R.HIDDEN_CLASSES))
+    entity = quoted(r"(?iu)(?:style|class)\s*=[^>&]*&")
+    return F.expr(f"{rules} or rlike({html}, {entity})")
 
 
 def hidden_elements(html: str) -> Column:

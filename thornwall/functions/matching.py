@@ -51,9 +51,11 @@ def contains_all_sql(text: str, words: tuple[str, ...]) -> str:
     return " and ".join(f"contains({text}, {quoted(w)})" for w in words)
 
 
-def spans_sql(original: str, searched: str, java_pattern: str) -> str:
+def spans_sql(original: str, searched: str, java_pattern: str, grouped: bool = False) -> str:
     """All non-overlapping matches of a pattern in ``searched`` as (start, end, text).
 
+    With ``grouped``, only matches in which the pattern's first group is set count.
+
     Positions count characters of ``searched``; ``text`` is cut from ``original`` at those positions.
     Both are column names. The pattern must not match empty text: match i starts after i + 1 gaps and
     i matches, and both come from splitting the text at the pattern.
@@ -62,7 +64,8 @@ def spans_sql(original: str, searched: str, java_pattern: str) -> str:
     none = f"cast(array() as {SPAN_TYPE})"
     found = (
         f"named_struct('lengths', transform(regexp_extract_all({searched}, {pattern}, 0), m_ -> char_length(m_)), "
-        f"'gaps', transform(split({searched}, {pattern}, -1), g_ -> char_length(g_)))"
+        f"'gaps', transform(split({searched}, {pattern}, -1), g_ -> char_length(g_))"
+        + (f", 'real', regexp_extract_all({searched}, {pattern}, 1))" if grouped else ")")
     )
     steps = (
         f"zip_with(slice(f_.gaps, s_ + 1, least({_BLOCK}, size(f_.lengths) - s_)), slice(f_.lengths, s_ + 1, {_BLOCK}), "
@@ -86,4 +89,6 @@ def spans_sql(original: str, searched: str, java_pattern: str) -> str:
         "a_ -> a_.out)"
     )
     placed = f"transform(array({blocks}), bs_ -> flatten(zip_with(bs_, {starts}, (b_, base_) -> {inside})))[0]"
+    if grouped:
+        placed = f"array_compact(zip_with({placed}, f_.real, (s_, r_) -> if(r_ = '', null, s_)))"
     return f"transform(array({found}), f_ -> if(size(f_.lengths) = 0, {none}, {placed}))[0]"

@@ -223,25 +223,56 @@ def _translate(pattern: str, literal_first: bool = True) -> str:
 
 
 def jvm_regex(pattern: str, ignore_case: bool = True) -> str:
-    """A Java pattern with the matches of a rule of this module.
+    """A Java pattern with the matches of a rule of this module."""
+    # d: only \n ends a line; i + u: ignore case for all of Unicode
+    return ("(?idu)" if ignore_case else "(?d)") + _translate(pattern)
 
-    The parts after a lazy gap become atomic: if no later part follows the nearest match of a part,
-    none follows a farther one, so giving up at once loses nothing and keeps long lines linear.
-    """
+
+def _gapped(pattern: str) -> list[str]:
+    """The parts of a rule around its lazy gaps; a single part where a gap lies in a group."""
     parts = pattern.split(".*?")
-    simple = not any(c in parts[0] for c in "([")
-    if len(parts) > 1 and simple:
-        body = _translate(parts[0]) + "".join(f"(?>.*?{_translate(p)})" for p in parts[1:])
-    else:
-        body = _translate(pattern)
-    # d: only \n ends a line; i + u: ignore case for all of Unicode
-    return ("(?idu)" if ignore_case else "(?d)") + body
+    return [pattern] if {"(", "["} & set(_tokens(parts[0])) else parts
+
+
+def _lower(pattern: str) -> str:
+    return "".join(t if t.startswith("\\") else t.lower() for t in _tokens(pattern))
+
+
+# In a rule with gaps, part follows part on one line. If the nearest next part is not followed by the
+# rest, no farther one is, and if the first opening of a line has no match, no later opening has one.
+# So every part may be atomic, and a line may be given up after its first opening: the cost of a rule
+# is one pass over the text, where plain backtracking grows with the square of the openings or worse.
 
 
-def folded_regex(pattern: str) -> str:
-    """A Java pattern for text that ``fold_case`` has already brought to lower case."""
-    lowered = "".join(t if t.startswith("\\") else t.lower() for t in _tokens(pattern))
-    return jvm_regex(lowered, ignore_case=False)
+def _search(pattern: str, flags: str) -> str:
+    parts = _gapped(pattern)
+    if len(parts) == 1:
+        return f"(?{flags})" + _translate(pattern)
+    return f"(?m{flags})^" + "".join(f"(?>.*?{_translate(p)})" for p in parts)
+
+
+def search_regexes(pattern: str) -> list[str]:
+    """Java patterns for the original text; the rule matches somewhere if one of them does."""
+    group = re.fullmatch(r"([^()|]*)\(\?:(.*\.\*\?.*)\)", pattern)
+    if group is None:
+        return [_search(pattern, "idu")]
+    return [_search(group.group(1) + option, "idu") for option in group.group(2).split("|")]
+
+
+def folded_search_regex(pattern: str) -> str:
+    """A Java pattern that finds whether a rule matches in text that ``fold_lower_sql`` has folded."""
+    return _search(_lower(pattern), "d")
+
+
+def folded_spans_regex(pattern: str) -> str:
+    """A Java pattern whose first group is, where set, a match of the rule in folded text.
+
+    Where the group is not set, it has passed over an opening without a match and the rest of its line.
+    """
+    head, *rest = [_translate(p) for p in _gapped(_lower(pattern))]
+    if not rest:
+        return f"(?d)({head})"
+    return f"(?d)({head}" + "".join(f"(?>.*?{p})" for p in rest) + f")|{head}.*"
 
 
 def user_regex(pattern: str) -> str | None:

@@ -53,7 +53,7 @@ def _rule_mask() -> Column:
         hit = f"{_T}has_{rule.needs[0]}"
         if len(rule.needs) > 1:
             hit += f" and {contains_all_sql(_T + 'folded', rule.needs[1:])}"
-        hit += f" and rlike({_T}folded, {quoted(R.folded_regex(rule.pattern))})"
+        hit += f" and rlike({_T}folded, {quoted(R.folded_search_regex(rule.pattern))})"
         bits.append(f"if({hit}, {1 << i}, 0)")
     return F.expr(" | ".join(bits))
 
@@ -175,7 +175,7 @@ def type_score_columns() -> dict[str, Column]:
 
 
 def _rule_segments(rule: R.Rule) -> str:
-    found = spans_sql(_T + "text", _T + "folded", R.folded_regex(rule.pattern))
+    found = spans_sql(_T + "text", _T + "folded", R.folded_spans_regex(rule.pattern), grouped=True)
     return (
         f"transform({found}, s_ -> named_struct('text', s_.text, 'start', s_.start, 'end', s_.end, "
         f"'reason', 'Matched {rule.kind} pattern', 'confidence', {rule.weight}d, 'pattern_type', '{rule.kind}'))"
