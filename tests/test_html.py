@@ -98,6 +98,18 @@ def test_dom_variant(dom):
     assert dom[8].visible_text == "a c" and not dom[8].has_hidden_divs
 
 
+def test_hidden_elements_match_the_dom_reading(spark, dom):
+    extra = {100: '<i style="display&#58;none">one</i>', 101: "<i class=x-&#104;idden>two</i>", 102: "<i style='a' class='b'>no</i>"}
+    rows = [*enumerate(PAGES), *extra.items()]
+    df = spark.createDataFrame(rows, "i int, html string").repartition(4)
+    found = {i: [] for i, _ in rows}
+    for r in HO.hidden_elements(df, ("i",)).orderBy("i", "element_no").collect():
+        found[r.i].append((r.tag, r.text))
+    for i in range(len(PAGES)):
+        assert found[i] == [(h.tag, h.text) for h in dom[i].hidden_content]
+    assert (found[100], found[101], found[102]) == ([("i", "one")], [("i", "two")], [])
+
+
 def test_flags_switch_parts_off(spark):
     df = spark.createDataFrame([(PAGES[1] + PAGES[2],)], "html string")
     row = HO.extract(df, extract_alt_text=False, detect_hidden=False).first()

@@ -8,6 +8,7 @@ from thornwall.functions import text as T
 from thornwall.operators import detect as D
 from thornwall.operators import model as M
 from thornwall.operators import ocr as O
+from thornwall.operators import report as RP
 from thornwall.operators.analyze import analyze
 from thornwall.sources import content as C
 from thornwall.sources import sinks
@@ -89,6 +90,14 @@ def test_sink_round_trip_prunes_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(risk_category" in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_reports_are_written_one_per_line(spark, tmp_path):
+    texts = spark.createDataFrame([("a", "jailbreak"), ("b", "hi")], "id string, text string")
+    reports = RP.report_html(RP.reports(analyze(C.from_text(texts, F.col("id")))))
+    sinks.write_reports(reports, str(tmp_path / "html"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "html")).collect()]
+    assert len(lines) == 2 and all(line.startswith("<!DOCTYPE html>") and line.endswith("</html>") for line in lines)
+
+
 class _CountsExclamations:
     def __call__(self, texts):
         if any("boom" in t for t in texts):

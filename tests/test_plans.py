@@ -36,6 +36,28 @@ def test_filters_on_results_do_not_repeat_the_scan(docs):
     assert plan(guarded.filter("sanitization_action = 'BLOCKED'")).count("regexp_replace") == replaced
 
 
+def test_filters_on_input_columns_reach_the_scan(docs):
+    for df in (D.detect(docs), S.rescore(docs), G.decide(docs, "text")):
+        assert "EqualTo(lang,en)" in plan(df.filter("lang = 'en'"))
+
+
+def test_one_conversation_with_most_turns_spreads_over_all_tasks(spark):
+    turns = spark.range(40000).select(
+        F.when(F.col("id") < 30000, 0).otherwise(F.col("id")).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("x").alias("text"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in G.conversation_prompts(turns).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 8 and max(sizes) < 1.3 * 20000 / 8
+
+
 def test_unused_results_are_not_computed(docs):
     slim = plan(D.detect(docs).select("doc_id", "injection_score"))
     assert "regexp_extract_all" not in slim

@@ -310,7 +310,8 @@ def dom(html: Column) -> Column:
 def may_hide_elements(html: str) -> Column:
     """Pages on which an element can count as hidden (its attribute may be written with entities)."""
     rules = " or ".join(_found_sql(html, p) for p in (*R.HIDDEN_STYLES, R.HIDDEN_CLASSES))
-    entity = quoted(r"(?iu)(?:style|class)\s*=[^>&]*&")
+    # a value written with entities, whatever they stand for
+    entity = quoted(r"""(?iu)(?:style|class)\s*=\s*(?:"[^"]*&|'[^']*&|[^"'\s][^\s>]*&)""")
     return F.expr(f"{rules} or rlike({html}, {entity})")
 
 

@@ -602,7 +602,7 @@ def build() -> dict[str, str]:
     )
     no_meta = f"{doc_signals()}, {safety('90::double', '80::double')}"
     sql["risk_summary"] = (
-        f"{no_meta} select lang, {category()} as risk_category, cast(count(*) as bigint) as items, "
+        f"{no_meta} select lang, source, {category()} as risk_category, cast(count(*) as bigint) as items, "
         "round(cast(sum(cast(round(score * 100) as bigint)) as double) / (count(*) * 100.0::double), 4) as mean_injection_score, "
         "round(quantile_cont(round(score * 100), 0.5) / 100.0::double, 4) as median_injection_score, "
         f"max(score) as max_injection_score, {means}, cast(count(*) filter ({action()} = 'BLOCK') as bigint) as blocked, "

@@ -686,9 +686,9 @@ def segment_severity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def risk_summary(spark: SparkSession, sf: str) -> DataFrame:
     table = documents(spark, sf, "lang", "source")
-    scored = with_safety(D.detect(table.drop("source"), segments=False))
+    scored = with_safety(D.detect(table, segments=False))
     scored = scored.withColumn("risk_category", D.risk_category(F.col("injection_score")))
-    return RP.risk_summary(scored, "lang")
+    return RP.risk_summary(scored, "lang", "source")
 
 
 # --- OCR words ------------------------------------------------------------------------------------
