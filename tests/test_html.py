@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thornwall.functions import html as H
 from thornwall.functions import rules as R
-from thornwall.functions.matching import fold_original_sql
+from thornwall.functions.matching import with_folded
 from thornwall.operators import html as HO
 
 PAGES = [
@@ -68,7 +68,7 @@ def test_every_hidden_style_matches_like_python(spark):
         "font-size: 0", "color: transparent", "color:rgba(0,0,0, 0)", "color:rgba(0,0,0,\n0)", "opacity:0\n",
         "position:absolute; left:-9px", "position:absolute;\ntop:-9px", "position: absolute; top : -٣", "vısıbılıty:hidden",
     ]
-    df = spark.createDataFrame(list(enumerate(samples)), "i int, html string").selectExpr("*", f"{fold_original_sql('html')} as low")
+    df = with_folded(spark.createDataFrame(list(enumerate(samples)), "i int, html string"), "html", "low")
     for r in df.select("i", "html", H.hidden_styles("html", "low").alias("found")).collect():
         assert r.found == [p for p in R.HIDDEN_STYLES if re.search(p, r.html, re.I)], r.html
 

@@ -102,7 +102,7 @@ def _found_sql(text: str, pattern: str) -> str:
 def hidden_styles(html: str, folded: str) -> Column:
     """The hiding style patterns that occur anywhere in a page, in rule order.
 
-    Takes the names of two columns: the page, and ``fold_original_sql`` of it.
+    Takes the names of two columns: the page, and what ``with_folded`` makes of it.
     """
     cases = [
         f"if({contains_all_sql(folded, _required_words(p))} and ({_found_sql(html, p)}), {quoted(p)}, null)"
@@ -154,7 +154,7 @@ INDICATOR_TYPE = "array<struct<pattern:string,matched_text:string,position:int,s
 def injection_indicators(text: str, folded: str) -> Column:
     """All matches of the indicator patterns, by pattern and then position.
 
-    Takes the names of two columns: the text, and ``fold_original_sql`` of it.
+    Takes the names of two columns: the text, and what ``with_folded`` makes of it.
     """
     return F.expr(f"flatten(array({', '.join(_indicator_sql(text, folded, p) for p in R.INDICATORS)}))")
 

@@ -25,12 +25,14 @@ def quoted(text: str) -> str:
 
 def fold_lower_sql(lowered: str) -> str:
     """Lower-cased text with the two letters that equal an ASCII letter when case is ignored."""
-    return f"replace(replace({lowered}, 'ſ', 's'), 'ı', 'i')"
+    rare = f"contains({lowered}, 'ſ') or contains({lowered}, 'ı')"
+    return f"if({rare}, replace(replace({lowered}, 'ſ', 's'), 'ı', 'i'), {lowered})"
 
 
-def fold_original_sql(text: str) -> str:
-    """Folded text for rules that match before lower-casing, where capital dotted I is an i too."""
-    return fold_lower_sql(f"lower(replace({text}, 'İ', 'i'))")
+def with_folded(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Add folded text for rules that match before lower-casing, where capital dotted I is an i too."""
+    df = df.selectExpr("*", f"lower(if(contains({text}, 'İ'), replace({text}, 'İ', 'i'), {text})) as __tw_low")
+    return df.selectExpr("*", f"{fold_lower_sql('__tw_low')} as {into}").drop("__tw_low")
 
 
 def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -83,8 +83,11 @@ def _keyword_part() -> Column:
 
 def _token_present(word: str) -> str:
     """Whether a word stands between white space (or the ends) of the lower-cased text."""
-    pattern = f"{word}(?<![^{R.SPACE}]{word})(?![^{R.SPACE}])"
-    return f"contains({_T}lower, {quoted(word)}) and rlike({_T}lower, {quoted(pattern)})"
+    pattern = f"{word}(?![^{R.SPACE}])(?<![^{R.SPACE}]{word})"
+    known = [w for w in _eager_words() if w in word]
+    first = f"{_T}has_{known[0]}" if known else f"contains({_T}lower, {quoted(word)})"
+    usual = f"contains({_T}lower, {quoted(f' {word} ')})"
+    return f"{first} and ({usual} or rlike({_T}lower, {quoted(pattern)}))"
 
 
 def _overlap_part() -> Column:
@@ -98,9 +101,13 @@ def _overlap_part() -> Column:
 
 
 def _special_count() -> Column:
-    """Characters that are neither letter, digit nor space; runs of them are rare, so they are cut out."""
-    kept = F.regexp_replace(_w("text"), rf"[^\p{{L}}\p{{N}}{R.SPACE}]+", "")
-    return F.char_length(_w("text")) - F.char_length(kept)
+    """Characters that are neither letter, digit nor space.
+
+    The first pass leaves little behind and uses a class of three parts only, which the JVM tests far
+    faster than the full list of spaces; the second takes the other spaces out of the rest.
+    """
+    rest = F.regexp_replace(_w("text"), r"[\p{L}\p{N} ]+", "")
+    return F.char_length(F.regexp_replace(rest, f"[{R.SPACE}]+", ""))
 
 
 def _anomaly_part() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thornwall.functions import html as H
-from thornwall.functions.matching import computed_once, fold_original_sql
+from thornwall.functions.matching import computed_once, with_folded
 
 
 def extract(
@@ -24,7 +24,7 @@ def extract(
     images only, and hidden content lists elements instead of style patterns.
     """
     df = df.withColumn("__tw_page", F.coalesce(F.col(html), F.lit("")))
-    df = df.selectExpr("*", f"{fold_original_sql('__tw_page')} as __tw_page_fold")
+    df = with_folded(df, "__tw_page", "__tw_page_fold")
     page = F.col("__tw_page")
     no_texts = F.array().cast("array<string>")
     no_hidden = F.array().cast(H.HIDDEN_TYPE)
@@ -55,7 +55,7 @@ def extract(
 
 
 def _with_indicators(df: DataFrame, text: Column) -> DataFrame:
-    df = df.withColumn("__tw_all", text).selectExpr("*", f"{fold_original_sql('__tw_all')} as __tw_fold")
+    df = with_folded(df.withColumn("__tw_all", text), "__tw_all", "__tw_fold")
     df = df.withColumn("injection_indicators", H.injection_indicators("__tw_all", "__tw_fold"))
     return df.drop("__tw_all", "__tw_fold")
 
@@ -89,7 +89,7 @@ def extract_for_scan(df: DataFrame, html: str) -> DataFrame:
     """The columns that scoring a page needs, each evaluated once."""
     df = df.withColumn("__tw_page", F.coalesce(F.col(html), F.lit("")))
     df = H.with_visible_text(df, "__tw_page", "raw_text")
-    df = df.selectExpr("*", f"{fold_original_sql('__tw_page')} as __tw_page_fold")
+    df = with_folded(df, "__tw_page", "__tw_page_fold")
     columns = {
         "has_hidden_divs": F.size(H.hidden_styles("__tw_page", "__tw_page_fold")) > 0,
         "has_suspicious_scripts": F.size(H.suspicious_scripts("__tw_page")) > 0,

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from thornwall.config import DEFAULT, ScanConfig
 from thornwall.functions import rules as R
-from thornwall.functions.matching import computed_once, contains_all_sql, fold_original_sql, quoted, spans_sql
+from thornwall.functions.matching import computed_once, contains_all_sql, quoted, spans_sql, with_folded
 from thornwall.functions.text import head
 from thornwall.operators.detect import score
 
@@ -127,7 +127,9 @@ def sanitize(
     )
     # No marker contains a word that a later rule needs, so the words of the original decide.
     active = F.col(_T + "mode") != "permissive"
-    stages = [f"if({_T}mode <> 'permissive', {fold_original_sql(_T + '0')}, null) as {_T}folded"]
+    df = df.withColumn(_T + "wanted", F.when(active, F.col(_T + "0")))
+    df = with_folded(df, _T + "wanted", _T + "folded")
+    stages = []
 
     steps: list[tuple[str, str, str, str]] = []  # condition, marker, Java pattern and reason of each stage
     for rule in R.SANITIZE_RULES:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from thornwall.config import shared_folder
 from thornwall.functions import html as H
 from thornwall.functions import text as T
-from thornwall.functions.matching import fold_original_sql
+from thornwall.functions.matching import with_folded
 from thornwall.functions.vectors import cosine_similarity
 from thornwall.operators import detect as D
 from thornwall.operators import guard as G
@@ -269,7 +269,7 @@ def html_hidden_styles(spark: SparkSession, sf: str) -> DataFrame:
         "when 1 then '<i style=\"position :absolute; left:-99px; Font-Size:0\">' else '' end)"
     )
     table = pages(spark, sf).select("page_id", more.alias("html"))
-    table = table.selectExpr("*", f"{fold_original_sql('html')} as folded")
+    table = with_folded(table, "html", "folded")
     return table.select("page_id", F.posexplode(H.hidden_styles("html", "folded")).alias("style_no", "pattern"))
 
 
