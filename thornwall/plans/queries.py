@@ -101,9 +101,15 @@ def all_content(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A table as a stream. The path is written as a pattern, so a single file works like a folder."""
-    return ST.read_stream(spark, f"{path[:-1]}[{path[-1]}]")
+def table_stream(spark: SparkSession, path: str, *key: str) -> DataFrame:
+    """A table as a stream, spread as ``read_table`` does where the table is small.
+
+    The path is written as a pattern, so a single file works like a folder.
+    """
+    stream = ST.read_stream(spark, f"{path[:-1]}[{path[-1]}]")
+    if C.is_small(spark.read.parquet(path)):
+        return stream.repartition(spark.sparkContext.defaultParallelism * 2, *key)
+    return stream
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
@@ -716,7 +722,7 @@ def ocr_hidden(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_analyze(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark)
-    stream = table_stream(spark, f"{sf}/documents.parquet")
+    stream = table_stream(spark, f"{sf}/documents.parquet", "doc_id")
     table = stream.select("doc_id", "source", F.expr(planted_text("doc_id")).alias("text"))
     content = C.from_text(table.withColumns(metadata_columns()), F.concat(F.lit("doc-"), F.col("doc_id")))
     running = ST.write_stream(ST.stream_analyze(content), f"{folder}/analysis", f"{folder}/checkpoint")
@@ -734,7 +740,7 @@ def stream_analyze(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_guard(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark)
-    stream = table_stream(spark, f"{sf}/conversations.parquet").filter(F.col("role") == "user")
+    stream = table_stream(spark, f"{sf}/conversations.parquet", "conv_id", "turn").filter(F.col("role") == "user")
     table = stream.select("conv_id", "turn", F.expr(planted_text("(conv_id + turn)")).alias("prompt"))
     ST.stream_guard(table, folder, f"{folder}/checkpoint", mode=guard_mode()).awaitTermination()
     return spark.read.parquet(f"{folder}/audit").select(
@@ -746,7 +752,7 @@ def stream_guard(spark: SparkSession, sf: str) -> DataFrame:
 def stream_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Event types as prompts, with planted payloads, counted per day."""
     folder = shared_folder(spark)
-    stream = table_stream(spark, f"{sf}/events.parquet")
+    stream = table_stream(spark, f"{sf}/events.parquet", "event_id")
     table = stream.select(
         F.col("ts").cast("timestamp").alias("ts"), F.expr(planted_text("event_id", "event_type")).alias("prompt")
     )

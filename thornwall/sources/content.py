@@ -145,8 +145,16 @@ def read_table(spark: SparkSession, path: str, *key: str) -> DataFrame:
     A table at scale has more splits than cores and is read as it is, without a shuffle. The exception
     is for small tables (here: a single row group), whose later work would otherwise run in one task.
     """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if key and df.rdd.getNumPartitions() <= cores // 2:
-        return df.repartition(cores * 2, *key)
+    return spread(spark.read.parquet(path), *key)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a scan has too few splits to occupy more than half of the cores."""
+    return df.rdd.getNumPartitions() <= df.sparkSession.sparkContext.defaultParallelism // 2
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """A small table hashed by a unique key over twice as many tasks as there are cores."""
+    if key and is_small(df):
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2, *key)
     return df
