@@ -28,6 +28,7 @@ def scan(df: DataFrame, prompt: str = "prompt", config: ScanConfig = DEFAULT) ->
 
 
 def blocked_message(score: Column, category: Column, config: ScanConfig = DEFAULT) -> Column:
+    """The answer to a blocked prompt. Its wording and the tags below are fixed values."""
     return F.concat(
         F.lit(
             "[REQUEST BLOCKED]\n"
