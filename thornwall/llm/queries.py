@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thornwall.llm import simhash
+from thornwall.llm import lines, shards, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,9 +15,39 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"), words=3, bits=64, radius=3)
 
 
+def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.shard_by_bytes(_table(spark, folder, "documents"), shards=24)
+
+
+def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(_table(spark, folder, "documents"), min_chars=10)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op9_shards": op9_shards,
+    "op10_lines": op10_lines,
 }
 
 #: Queries that SQL can express; the others are tested against brute force, round trips or held-out rows.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_lines": """
+with lined as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+    from documents
+), keyed as (
+    select doc_id, pos, line,
+        translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key
+    from lined
+), marked as (
+    select doc_id, pos, line,
+        length(line_key) < 10 or doc_id = min(doc_id) over (partition by line_key) as stays
+    from keyed
+)
+select doc_id, count(*) as n_lines, count(*) filter (not stays) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by pos) filter (stays), '')) as kept_sha256
+from marked group by doc_id
+""",
+}
