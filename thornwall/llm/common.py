@@ -65,3 +65,22 @@ def components(edges: DataFrame) -> DataFrame:
 def blocks_of(total: int, size: int) -> int:
     """How many blocks of ``size`` hold ``total`` rows, at least one."""
     return max(1, math.ceil(total / size))
+
+
+def file_system(uri: str):
+    """(file system, path) for a folder or file of the shared storage, for tasks that write their own formats."""
+    from pyarrow.fs import FileSystem
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3" + uri[3:]
+    return FileSystem.from_uri(uri)
+
+
+def task_name() -> tuple[int, int]:
+    """(partition, attempt) of the running task; attempts differ, so a repeated task never meets its old file."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    return task.partitionId(), task.taskAttemptId()

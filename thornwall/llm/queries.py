@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thornwall.llm import lines, shards, simhash
+from thornwall.llm import lines, packing, shards, simhash, warc, wavelet
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,25 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"), words=3, bits=64, radius=3)
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = _tokenizer("byte_bpe_50k.json")
+    return packing.pack(_table(spark, folder, "documents"), tokenizer, capacity=1024, end_id=0)
+
+
+def op7_wavelet(spark: SparkSession, folder: str) -> DataFrame:
+    return wavelet.token_files(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+
+
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_report(_table(spark, folder, "pages"), min_bytes=0)
+
+
 def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_by_bytes(_table(spark, folder, "documents"), shards=24)
 
@@ -25,6 +44,9 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_packing": op4_packing,
+    "op7_wavelet": op7_wavelet,
+    "op8_warc": op8_warc,
     "op9_shards": op9_shards,
     "op10_lines": op10_lines,
 }
