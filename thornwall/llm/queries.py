@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thornwall.llm import lines, packing, shards, simhash, warc, wavelet
+from thornwall.llm import ann, decontam, lines, packing, shards, simhash, warc, wavelet
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"), words=3, bits=64, radius=3)
 
 
+def op2_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(_table(spark, folder, "embeddings"), k=20, every=20)
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -44,6 +52,8 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_multi_index": op2_multi_index,
+    "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op7_wavelet": op7_wavelet,
     "op8_warc": op8_warc,
