@@ -1,25 +1,59 @@
-"""A corpus from raw documents to packed sequences: each stage works on all that the one before it kept."""
+"""A corpus from raw documents to packed sequences: each stage works on all that the one before it kept.
+
+The stages drop toxic documents, drop repeated lines, keep one document of each class of near copies, drop documents
+that hold a benchmark item, and pack the tokens of the rest. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thornwall.llm import simhash
+from thornwall.llm import decontam, lines, packing, simhash, toxicity
 from thornwall.llm.common import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity of 0.7 or more go. The network learns from all labels that the folder has."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, labels, threshold=0.7)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of ten characters or more that several documents hold stay in the first only; n_chars follows the text."""
+    return lines.deduplicate_lines(docs, min_chars=10).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.deduplicate(docs)
+    return simhash.deduplicate(docs, words=5, least=0.8)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go: five-word shingles, a similarity of 0.8 or more."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), words=5, least=0.8)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, in sequences of at most 1024 ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
-#: Fingerprints, the network and the linear program have no SQL form; tests compare with brute force.
+#: The network, the fingerprints and the linear program have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thornwall.llm import ann, decontam, lines, packing, shards, simhash, warc, wavelet
+from thornwall.llm import ann, decontam, langid, lines, packing, shards, simhash, toxicity, warc, wavelet
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer, capacity=1024, end_id=0)
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_report(_table(spark, folder, "documents"), per_language=400)
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.7)
+
+
 def op7_wavelet(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.token_files(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
 
@@ -55,6 +63,8 @@ QUERIES = {
     "op2_multi_index": op2_multi_index,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op5_language": op5_language,
+    "op6_toxicity": op6_toxicity,
     "op7_wavelet": op7_wavelet,
     "op8_warc": op8_warc,
     "op9_shards": op9_shards,
