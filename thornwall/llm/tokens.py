@@ -11,6 +11,7 @@ import os
 import re
 import struct
 from collections.abc import Iterable
+from itertools import chain
 
 #: Pieces that a worker remembers; beyond that it starts anew.
 MEMO = 400_000
@@ -20,6 +21,8 @@ HELD = 2_000_000
 _ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _RUNS = re.compile(r"^\s|\s\s|\s$|\t")
+#: One word of Latin letters, on which all agree: the pre-tokenizers keep it whole.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Marks a piece that is encoded as it is; other pieces of byte-level tokenizers follow a space.
 _BARE = "\0"
 
@@ -35,6 +38,10 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         # Without a normalizer white space becomes tokens; with one that folds it, words stand alone.
         self.spaces = self.library.normalizer is None
+        # Byte-level models see each byte as a letter: visible ones of Latin-1 as themselves, others from 256 on.
+        shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
         self.memo: dict[str, bytes] = {}
         self.ends = {mark: self._whole([mark])[0] for mark in ".,"}
 
@@ -42,11 +49,17 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
 
+    def _word(self, word: str) -> bytes:
+        """A word straight through the library's model, which is all that its pipeline would do with it."""
+        text = " " + word if self.spaces else word.lower()
+        ids = [token.id for token in self.library.model.tokenize("".join(map(self.letters.__getitem__, text.encode())))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _pieces(self, text: str) -> list[str]:
         if not self.spaces:
             return text.split()
         if _RUNS.search(text):
-            return [p[1:] if len(p) > 1 and p[0] == " " else _BARE + p for p in _PIECES.findall(text)]
+            return [p[1:] if p[0] == " " and p[1:].strip() else _BARE + p for p in _PIECES.findall(text)]
         pieces = text.replace("\n", " \n").split(" ")
         pieces[0] = _BARE + pieces[0]
         return pieces
@@ -67,7 +80,10 @@ class Encoder:
                     continue
             plain.append(piece)
         plain = list(dict.fromkeys(plain))
-        self.memo.update(zip(plain, self._whole([self._text(p) for p in plain]), strict=True))
+        words = [p for p in plain if _WORD.fullmatch(p)]
+        others = [p for p in plain if not _WORD.fullmatch(p)]
+        self.memo.update((p, self._word(p)) for p in words)
+        self.memo.update(zip(others, self._whole([self._text(p) for p in others]), strict=True))
         for piece in ended:
             self.memo[piece] = self.memo[piece[:-1]] + self.ends[piece[-1]]
 
@@ -92,10 +108,10 @@ class Encoder:
     def _ids(self, held: list[list[str] | bytes]) -> Iterable[bytes]:
         memo = self.memo
         lists = [x for x in held if isinstance(x, list)]
-        new = {piece for pieces in lists for piece in pieces if piece not in memo}
+        new = set(chain.from_iterable(lists)).difference(memo)
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = {piece for pieces in lists for piece in pieces}
+            new = set(chain.from_iterable(lists))
         self._learn(new)
         for x in held:
             yield b"".join(map(memo.__getitem__, x)) if isinstance(x, list) else x
