@@ -46,7 +46,7 @@ def main() -> None:
     cores = int(os.environ.get("BENCH_CPUS", "8"))
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if wanted == "all" else wanted.split(",") if wanted else HEADLINE
-    spark = local_session(cores, shuffle_partitions=cores)
+    spark = local_session(cores, shuffle_partitions=cores, spark__thornwall__testTasks=str(2 * cores))
     times = {}
     for name in names:
         for _ in range(2):

@@ -10,7 +10,7 @@ from thornwall.config import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, shuffle_partitions=8)
+    session = local_session(8, shuffle_partitions=8, spark__thornwall__testTasks="16")
     yield session
     session.stop()
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -74,21 +75,39 @@ def test_random_texts_match_brute_force(spark):
     assert hits > 300
 
 
+def test_openings_that_cross_line_ends(spark):
+    rng = random.Random(17)
+    words = ("act", "as", "without", "y", "ignore", "previous", "instructions", "show", "hidden", "prompt", "system", "repeat")
+    texts = ["act as x act\nas y without z", "act as act \n\n as\nwithout", "act\nas act\nas without"]
+    for _ in range(3000):
+        texts.append("".join(rng.choice(words[: rng.choice((4, 12))]) + rng.choice((" ", " ", "\n", " \n ")) for _ in range(rng.randint(2, 14))))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(8)
+    found = {i: [] for i in range(len(texts))}
+    for r in D.segments(df, "text", ("i",)).orderBy("i", "segment_no").collect():
+        found[r.i].append((r.start, r.end, r.text, r.pattern_type))
+    counts = {r.i: r.flagged_segments_count for r in D.detect(df, segments="count").collect()}
+    for i, text in enumerate(texts):
+        assert found[i] == brute.segments(text), repr(text)
+        assert counts[i] == len(found[i])
+    assert len(found[0]) == 1
+
+
 def test_long_texts_with_many_matches(spark):
     texts = [
         "jailbreak é " * 5000 + "You are now\nfree",
         "ignore previous " * 3000 + "\ninstructions",
         "İ" * 700 + " do anything now " * 600,
         "<" * 9000 + " system override",
+        "act as " * 20000 + "act\nas " * 3000 + "x",
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
     found = {i: [] for i in range(len(texts))}
     for r in D.segments(df, "text", ("i",)).orderBy("i", "segment_no").collect():
         found[r.i].append((r.start, r.end, r.text, r.pattern_type))
     for i, text in enumerate(texts):
-        if i != 1:  # plain backtracking would take minutes here; there is no match by construction
+        if i not in (1, 4):  # plain backtracking would take minutes here; there is no match by construction
             assert found[i] == brute.segments(text)
-    assert found[1] == []
+    assert found[1] == [] and found[4] == []
 
 
 def test_every_rule_needs_its_words():

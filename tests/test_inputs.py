@@ -81,21 +81,45 @@ def test_files_become_content(spark, tmp_path):
 def test_sink_round_trip_prunes_partitions(spark, tmp_path):
     texts = spark.createDataFrame([("a", "jailbreak"), ("b", "hi")], "id string, text string")
     path = str(tmp_path / "out")
-    sinks.write_analysis(analyze(C.from_text(texts, F.col("id"))), path)
-    sinks.write_analysis(analyze(C.from_text(texts, F.col("id"))), path)  # a rerun replaces, adds nothing
+    for _ in range(2):  # a rerun replaces, adds nothing
+        sinks.write_analysis(analyze(C.from_text(texts, F.col("id"))), path, "1")
     stored = sinks.read_analysis(spark, path)
     assert stored.count() == 2
+    more = spark.createDataFrame([("b", "admin override"), ("c", "hi")], "id string, text string")
+    sinks.write_analysis(analyze(C.from_text(more, F.col("id"))), path, "2")
+    stored = sinks.read_analysis(spark, path)
+    assert stored.count() == 4  # the next corpus is added
+    latest = {r.analysis_id: r.raw_text for r in sinks.read_analysis(spark, path, latest=True).collect()}
+    assert latest == {"a": "jailbreak", "b": "admin override", "c": "hi"}
     plan = stored.filter("risk_category = 'Medium'")
-    assert plan.count() == 1 and len(plan.inputFiles()) < len(stored.inputFiles()) + 1
+    assert plan.count() == 2 and len(plan.inputFiles()) < len(stored.inputFiles()) + 1
     assert "PartitionFilters: [isnotnull(risk_category" in plan._jdf.queryExecution().executedPlan().toString()
 
 
-def test_reports_are_written_one_per_line(spark, tmp_path):
+def test_reports_are_written_by_id(spark, tmp_path):
     texts = spark.createDataFrame([("a", "jailbreak"), ("b", "hi")], "id string, text string")
     reports = RP.report_html(RP.reports(analyze(C.from_text(texts, F.col("id")))))
     sinks.write_reports(reports, str(tmp_path / "html"))
-    lines = [r.value for r in spark.read.text(str(tmp_path / "html")).collect()]
-    assert len(lines) == 2 and all(line.startswith("<!DOCTYPE html>") and line.endswith("</html>") for line in lines)
+    pages = {r.report_id: r.report_html for r in spark.read.parquet(str(tmp_path / "html")).collect()}
+    assert set(pages) == {"RPT-a", "RPT-b"}
+    assert all(p.startswith("<!DOCTYPE html>") and p.endswith("</html>") for p in pages.values())
+
+
+def test_no_request_is_lost(spark):
+    rows = [("t", "text", "hi"), ("i", "image", "QUJD"), ("j", "image", "QUJE"), ("h", "html", "<p style='display:none'>x</p>"), ("n", None, None)]
+    requests = spark.createDataFrame(rows, "content_id string, content_type string, content string").coalesce(1)
+    words = spark.createDataFrame([("i", 0, "jailbreak", 90.0)], "image_id string, word_idx int, text string, conf double")
+    for mode in ("regex", "dom"):
+        assert C.from_requests(requests, mode=mode).count() == 5
+        got = {r.content_id: r for r in C.from_requests(requests, words, mode).collect()}
+        assert set(got) == {"t", "i", "j", "h", "n"}
+        assert (got["i"].raw_text, got["i"].ocr_text, got["j"].raw_text) == ("jailbreak", "jailbreak", None)
+        assert got["j"].content_hash is not None and got["h"].has_hidden_divs
+
+
+def test_replacement_characters_of_valid_files_stay(spark):
+    df = spark.createDataFrame([(b"a\xef\xbf\xbdb",), (b"a\xff\xef\xbf\xbdb",)], "c binary").coalesce(1)
+    assert [r[0] for r in df.select(T.decode_bytes(F.col("c"))).collect()] == ["a\ufffdb", "ab"]
 
 
 class _CountsExclamations:
@@ -108,8 +132,11 @@ class _CountsExclamations:
 def test_pluggable_model(spark):
     df = spark.createDataFrame([("wow!!!",), (None,), ("a " * 600 + "!",)], "text string").coalesce(1)
     got = [r.model_probability for r in M.with_model_probability(df, _CountsExclamations).collect()]
+    assert got == [0.3, 0.0, 0.1]
+    got = [r.model_probability for r in M.with_model_probability(df, _CountsExclamations, max_tokens=512).collect()]
     assert got == [0.3, 0.0, 0.0]  # the last text is cut before its mark
     scored = D.detect(M.with_model_probability(df, _CountsExclamations), model_probability="model_probability").collect()
     assert scored[0].model_score == 30.0 and scored[0].ml_enabled
-    broken = spark.createDataFrame([("boom!",)], "text string")
-    assert M.with_model_probability(broken, _CountsExclamations).first().model_probability == 0.0
+    broken = spark.createDataFrame([("boom!",), ("a!!",)], "text string").coalesce(1)
+    got = [r.model_probability for r in M.with_model_probability(broken, _CountsExclamations).collect()]
+    assert got == [0.0, 0.2]  # one bad text costs only itself

@@ -63,8 +63,36 @@ def test_unused_results_are_not_computed(docs):
     assert "regexp_extract_all" not in slim
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in slim
     content = C.from_text(docs, F.col("doc_id").cast("string"))
-    listed = RP.list_reports(analyze(content), items=content)
-    assert "ReadSchema: struct<>" in plan(listed)
+    items = RP.first_items(content)
+    listed = plan(RP.list_reports(analyze(items, segments=False), total=F.lit(1)))
+    scan = listed.index("RLIKE", listed.index("Project"))  # plans read from the result down to the table
+    assert listed.rindex("TakeOrderedAndProject") > scan
+
+
+def test_small_scores_do_not_read_texts(spark, sf):
+    for name in ("extraction_score", "metadata_score"):
+        text = plan(QUERIES[name](spark, sf))
+        assert "RLIKE" not in text and "text:string" not in text
+    assert plan(QUERIES["drift_score"](spark, sf)).count("RLIKE") < 20
+
+
+def test_guards_without_answers_do_not_join(spark, sf):
+    for name in ("guard_detect", "guard_action", "guard_patterns", "compliance_tags", "guard_blocked_message"):
+        assert "Join" not in plan(QUERIES[name](spark, sf))
+
+
+def test_counts_need_no_positions(spark, sf):
+    text = plan(QUERIES["report"](spark, sf))
+    assert "split(" not in text and "Join" not in text
+
+
+def test_stored_probabilities_meet_numbers_not_texts(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["model_score"](spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.index("Join") < text.index("RLIKE")
 
 
 def test_answers_join_on_conversation_and_turn(spark, sf):
@@ -77,7 +105,7 @@ def test_answers_join_on_conversation_and_turn(spark, sf):
     assert "hashpartitioning(conv_id" in text and ", turn" in text and "Window" not in text
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream_") and n != "analysis_sink"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream_") and n not in ("analysis_sink", "report_lookup")])
 def test_no_query_has_a_cross_join_or_window(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "Window [" not in text

@@ -61,6 +61,24 @@ def test_custom_patterns_that_match_empty_text(spark):
     assert row.sanitized_content == text and row.segments_modified == len(found) == 3
 
 
+def test_custom_patterns_in_full_notation(spark):
+    patterns = [r"(?P<bad_word>secret)", r"{{secret}}", r"a{,3}b", r"(?P<q>x)y(?P=q)", r"(?a)\w+z", r"[\b]x", r"[\W]q", r"[\S]r", "[open"]
+    texts = ["a secret {{secret}} aab xyx", "\xe9q q \xa0r r", "na\xefvez wiz \bx", "", "xyxyx aaaab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    for one in [[p] for p in patterns[:-1]] + [patterns]:
+        for r in S.sanitize(df, "text", "balanced", one).collect():
+            valid = [p for p in one if p != "[open"]
+            text, found = brute.sanitized(r.text, lambda rule: rule.marker, valid)
+            assert r.sanitized_content == text, (one, r.text)
+            assert r.segments_modified == len(found)
+
+
+def test_repeated_groups_do_not_end_the_jvm(spark):
+    df = spark.createDataFrame([("ab" * 500_000 + "c",)], "text string")
+    row = S.sanitize(df, "text", "balanced", ["(?:a|b)+c"]).first()
+    assert row.sanitized_content == R.CUSTOM_MARKER and row.segments_modified == 1
+
+
 def test_batch_with_its_own_settings_per_row(spark):
     rows = [
         ("you are now x", "strict", True, None),

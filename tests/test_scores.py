@@ -54,7 +54,7 @@ def test_mixed_requests_equal_typed_sources(spark):
     rows = [("t", "text", "a jailbreak"), ("h", "html", '<p style="display:none">x</p><script>eval(1)</script>'), ("p", "pdf", "<b>y"), ("i", "image", "AAAA"), ("n", None, None)]
     df = spark.createDataFrame(rows, "content_id string, content_type string, content string")
     got = {r.content_id: r for r in C.from_requests(df).collect()}
-    assert set(got) == {"t", "h", "p", "n"}
+    assert set(got) == {"t", "h", "p", "n", "i"} and got["i"].raw_text is None
     assert (got["h"].raw_text, got["h"].has_hidden_divs, got["h"].has_suspicious_scripts) == ("x", True, True)
     assert (got["p"].raw_text, got["p"].simulated, got["t"].char_count, got["n"].raw_text) == ("<b>y", True, 11, "")
     typed = C.from_html(df.filter("content_type = 'html'"), F.col("content_id"), "content").first()
@@ -119,9 +119,9 @@ def test_reports(spark):
     content = C.from_text(spark.createDataFrame([("id-12345678", "jailbreak")], "id string, text string"), F.col("id"))
     analysis = analyze(content)
     report = RP.report_html(RP.reports(analysis)).first()
-    assert report.report_id == "RPT-id-12345" and report.flagged_segments_count == 1
+    assert report.report_id == "RPT-id-12345678" and report.flagged_segments_count == 1
     assert [m.status for m in report.compliance_mappings] == ["REQUIRES_REVIEW", "ALIGNED", "COMPLIANT"]
-    assert "48/100" in report.report_html and "badge-medium" in report.report_html
+    assert "<dd>48</dd>" in report.report_html and "Content safety: Medium" in report.report_html
     assert RP.reports(analysis, include_compliance=False).first().compliance_mappings == []
     bare = analysis.withColumns(
         {c: F.lit(None).cast("string") for c in ("content_hash", "risk_category", "recommended_action", "content_type")}
@@ -142,7 +142,7 @@ def test_html_score_rounds_half_to_even(spark):
     )
     pages = [r.report_html for r in RP.report_html(df).collect()]
     for (_, value), page in zip(rows, pages):
-        assert f'class="score">{value:.0f}/100' in page
+        assert f"<dd>{value:.0f}</dd>" in page
 
 
 def test_cosine(spark):

@@ -29,20 +29,21 @@ def test_stream_guard_separates_blocked_prompts(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     _texts(spark).withColumnRenamed("text", "prompt").write.parquet(source)
     stream = ST.read_stream(spark, source, maxFilesPerTrigger="2")
-    ST.stream_guard(stream, out, checkpoint, mode="strict").awaitTermination()
+    for _ in range(2):  # a restart finds nothing new
+        ST.stream_guard(stream, out, checkpoint, mode="strict").awaitTermination()
     stored = spark.read.parquet(f"{out}/audit")
     assert stored.count() == 60
     assert stored.filter("sanitization_action = 'BLOCKED'").count() == 40
-    assert stored.select("batch_id").distinct().count() == 2
 
 
 def test_stream_stats_cover_all_windows(spark, tmp_path):
     source = str(tmp_path / "in")
     timed = _texts(spark).withColumn("ts", F.timestamp_seconds(F.col("id") * 600 + 1_700_000_000))
     timed.withColumnRenamed("text", "prompt").write.parquet(source)
-    stream = ST.read_stream(spark, source)
-    stats = ST.stream_stats(G.decide(stream, "prompt", "balanced"), "ts", "1 hour")
-    rows = ST.run_stats(stats, str(tmp_path / "stats"), str(tmp_path / "checkpoint")).collect()
+    stream = ST.read_stream(spark, source, maxFilesPerTrigger="1")
+    stats = ST.stream_stats(G.decide(stream, "prompt", "balanced"), "ts", "1 hour", late="1 day")
+    for _ in range(2):  # a restart finds nothing new
+        rows = ST.run_stats(stats, str(tmp_path / "stats"), str(tmp_path / "checkpoint")).collect()
     assert sum(r.total_requests for r in rows) == 60 and sum(r.requests_sanitized for r in rows) == 40
     batch = G.decide(spark.read.parquet(source), "prompt", "balanced")
     expected = ST.stream_stats(batch, "ts", "1 hour").collect()

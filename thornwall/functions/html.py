@@ -203,12 +203,18 @@ _UNSEEN = frozenset(("script", "style", "noscript", "template"))
 
 
 class _Page(HTMLParser):
-    """Collects the text pieces of a page and, per element of interest, the range it spans."""
+    """Collects the text pieces of a page and, per element of interest, the range it spans.
+
+    Work is in proportion to the page: an end tag is looked up by name, and pieces know by counters whether
+    they stand inside something unseen.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.pieces: list[tuple[str, frozenset[str]]] = []
+        self.pieces: list[list[str]] = []  # the parts of each piece
+        self.seen: list[int] = []  # 0 shown, 1 inside noscript only, 2 unseen
         self.stack: list[tuple[str, int]] = []
+        self.depths: dict[str, list[int]] = {}  # open elements by name: their places on the stack
         self.elements: list[list] = []  # tag, attributes, first piece, end piece
         self.alts: list[str] = []
         self._joined = False
@@ -223,16 +229,18 @@ class _Page(HTMLParser):
         if tag in _VOID:
             element[3] = len(self.pieces)
         else:
+            self.depths.setdefault(tag, []).append(len(self.stack))
             self.stack.append((tag, len(self.elements) - 1))
 
     def handle_endtag(self, tag):
         self._joined = False
-        depth = next((d for d in range(len(self.stack) - 1, -1, -1) if self.stack[d][0] == tag), None)
-        if depth is None:
+        if not self.depths.get(tag):
             return
-        for _, index in self.stack[depth:]:
+        depth = self.depths[tag][-1]
+        while len(self.stack) > depth:
+            name, index = self.stack.pop()
+            self.depths[name].pop()
             self.elements[index][3] = len(self.pieces)
-        del self.stack[depth:]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -244,20 +252,34 @@ class _Page(HTMLParser):
 
     def handle_data(self, data):
         if self._joined:
-            text, inside = self.pieces[-1]
-            self.pieces[-1] = (text + data, inside)
+            self.pieces[-1].append(data)
             return
-        self.pieces.append((data, frozenset(name for name, _ in self.stack) & _UNSEEN))
+        inside = {name for name in _UNSEEN if self.depths.get(name)}
+        self.pieces.append([data])
+        self.seen.append(0 if not inside else 1 if inside == {"noscript"} else 2)
         self._joined = True
 
-    def text(self, start: int, end: int | None, separator: str, with_noscript: bool) -> str:
-        chosen = []
-        for piece, inside in self.pieces[start:end]:
-            if inside and not (with_noscript and inside == {"noscript"}):
-                continue
-            if stripped := piece.strip():
-                chosen.append(stripped)
-        return separator.join(chosen)
+    def finish(self) -> None:
+        """Strip the pieces, and note for each place the next one that holds text, for either reading."""
+        self.texts = ["".join(parts).strip() for parts in self.pieces]
+        self.next = []
+        for most in (0, 1):
+            following, after = [0] * len(self.texts), len(self.texts)
+            for i in range(len(self.texts) - 1, -1, -1):
+                if self.texts[i] and self.seen[i] <= most:
+                    after = i
+                following[i] = after
+            self.next.append(following)
+
+    def text(self, start: int, end: int | None, separator: str, with_noscript: bool, limit: int | None = None) -> str:
+        """The text of a range, read only as far as ``limit`` characters need."""
+        following, chosen, length = self.next[with_noscript], [], 0
+        end = len(self.texts) if end is None else end
+        while start < end and (start := following[start]) < end and (limit is None or length < limit):
+            chosen.append(self.texts[start])
+            length += len(self.texts[start])
+            start += 1
+        return separator.join(chosen)[:limit]
 
 
 _STYLES = [(p, re.compile(p, re.IGNORECASE)) for p in R.HIDDEN_STYLES]
@@ -268,6 +290,7 @@ def _read_page(html: str) -> dict:
     page = _Page()
     page.feed(html)
     page.close()
+    page.finish()
     by_style, by_class = [], []
     heading = next((e for e in page.elements if e[0] == "title"), None)
     for tag, attributes, start, end in page.elements:
@@ -277,7 +300,7 @@ def _read_page(html: str) -> dict:
         named = any(_CLASSES.search(c) for c in classes)
         if method is None and not named:
             continue
-        text = page.text(start, end, "", True)[:100]
+        text = page.text(start, end, "", True, 100)
         if text and method is not None:
             by_style.append({"tag": tag, "text": text, "hiding_method": method, "full_style": style[:100], "class": None})
         if text and named:

@@ -219,7 +219,7 @@ def _translate(pattern: str, literal_first: bool = True) -> str:
                 inside_class = False
             out.append(token)
         i += 1
-    return "".join(out).replace("(?P<", "(?<").replace("(?P=", "\\k<")
+    return "".join(out)
 
 
 def jvm_regex(pattern: str, ignore_case: bool = True) -> str:
@@ -239,16 +239,29 @@ def _lower(pattern: str) -> str:
 
 
 # In a rule with gaps, part follows part on one line. If the nearest next part is not followed by the
-# rest, no farther one is, and if the first opening of a line has no match, no later opening has one.
-# So every part may be atomic, and a line may be given up after its first opening: the cost of a rule
-# is one pass over the text, where plain backtracking grows with the square of the openings or worse.
+# rest, no farther one is; and of all openings that end on a line, the first has a match if any has. So
+# every part may be atomic, and a line may be given up after its first opening: the cost of a rule is one
+# pass over the text, where plain backtracking grows with the square of the openings or worse.
+# An opening with white space in it may begin on one line and end on the next. It counts for the line
+# where it ends, so it is tried even where the line on which it begins has been given up.
+
+_LINE_SPACE = SPACE.replace(r"\t-\r", r"\t\x0b-\r")
+
+
+def _crossing(head: str) -> str | None:
+    """A Java look-ahead for an opening (in Java notation) that crosses the end of a line, if it can."""
+    if SPACE not in head:
+        return None
+    return f"(?={head})(?!{head.replace(SPACE, _LINE_SPACE)})"
 
 
 def _search(pattern: str, flags: str) -> str:
-    parts = _gapped(pattern)
-    if len(parts) == 1:
-        return f"(?{flags})" + _translate(pattern)
-    return f"(?m{flags})^" + "".join(f"(?>.*?{_translate(p)})" for p in parts)
+    head, *rest = [_translate(p) for p in _gapped(pattern)]
+    if not rest:
+        return f"(?{flags}){head}"
+    tail = "".join(f"(?>.*?{p})" for p in rest)
+    crossing = _crossing(head)
+    return f"(?m{flags})^(?>.*?{head}){tail}" + (f"|{crossing}{head}{tail}" if crossing else "")
 
 
 def search_regexes(pattern: str) -> list[str]:
@@ -272,14 +285,20 @@ def folded_spans_regex(pattern: str) -> str:
     head, *rest = [_translate(p) for p in _gapped(_lower(pattern))]
     if not rest:
         return f"(?d)({head})"
-    return f"(?d)({head}" + "".join(f"(?>.*?{p})" for p in rest) + f")|{head}.*"
+    crossing = _crossing(head)
+    given_up = f"(?>.*?(?={crossing})|.*)" if crossing else ".*"
+    return f"(?d)({head}" + "".join(f"(?>.*?{p})" for p in rest) + f")|{head}{given_up}"
 
 
-def user_regex(pattern: str) -> str | None:
-    """A Java pattern with the matches of a valid user pattern, or None where only Python can run it.
+# What Java is trusted with in a user pattern: ASCII letters and signs, escaped signs, the three classes,
+# the dot, quantifiers of one such item, word edges, and groups of alternatives that are not repeated. Java
+# recurses on repeated groups and reads names, braces, brackets and flags in its own way.
+_ITEM = r"""(?:[A-Za-z0-9_ ,;:!@%=~'"<>/-]|\\[swd]|\\[!-/:-@\[-`{-~]|\.)(?:[*+?]\??)?"""
+_PLAIN = re.compile(rf"(?:{_ITEM}(?![*+?{{])|\\b(?![*+?{{])|\||\(\?:|\)(?![*+?{{]))*")
 
-    Python runs patterns that match empty text, and conditional groups, which Java lacks.
-    """
-    if re.compile(pattern).match("") is not None or re.search(pattern, "") or "(?(" in pattern:
+
+def user_regex(pattern: str) -> str | None:
+    """A Java pattern with the matches of a valid user pattern, or None where Python has to run it."""
+    if not _PLAIN.fullmatch(pattern) or re.search(pattern, "", re.IGNORECASE):
         return None
     return "(?idu)" + _translate(pattern, literal_first=False)

@@ -81,8 +81,10 @@ def encode_base64(content: Column) -> Column:
 
 
 def decode_bytes(content: Column) -> Column:
-    """UTF-8 bytes as text without the invalid ones (a genuine U+FFFD is dropped with them)."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    """UTF-8 bytes as text without the invalid ones; a genuine U+FFFD goes only where others are invalid."""
+    text = content.cast("string")
+    repaired = F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).otherwise(repaired)
 
 
 def data_url_metadata(image: Column) -> Column:

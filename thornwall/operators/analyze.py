@@ -65,12 +65,13 @@ def analyze(
     content: DataFrame,
     model_probability: str | None = None,
     config: ScanConfig = DEFAULT,
-    segments: bool = True,
+    segments: bool | str = True,
 ) -> DataFrame:
     """Analyse extracted content (see ``thornwall.sources.content``).
 
     One row per item with scores, category, action, breakdown and flagged segments. The id is the
-    content id, so a rerun writes the same rows. Map-only: no row leaves its task.
+    content id, so a rerun writes the same rows. Map-only: no row leaves its task. ``segments="count"``
+    gives the number of segments instead of the segments.
     """
     df = content.withColumn("__tw_scan", scan_text(config))
     df = detect(df, "__tw_scan", "ocr_text", model_probability, config, segments)
@@ -105,4 +106,5 @@ def analyze(
         "confidence_scores",
         "ml_enabled",
     ]
-    return df.select(*columns, *(["flagged_segments"] if segments else []))
+    listed = {"count": ["flagged_segments_count"], True: ["flagged_segments"], False: []}[segments]
+    return df.select(*columns, *listed)

@@ -198,6 +198,15 @@ def flagged_segments() -> Column:
     return F.expr(f"if({_T}mask = 0, {none}, flatten(array({', '.join(parts)})))")
 
 
+def segment_count() -> Column:
+    """How many segments ``flagged_segments`` would list, without their positions."""
+    parts = []
+    for i, rule in enumerate(R.DETECTION_RULES):
+        found = f"regexp_extract_all({_T}folded, {quoted(R.folded_spans_regex(rule.pattern))}, 1)"
+        parts.append(f"if({_T}mask & {1 << i} <> 0, size(filter({found}, m_ -> m_ <> '')), 0)")
+    return F.expr(f"if({_T}mask = 0, 0, {' + '.join(parts)})")
+
+
 def risk_category(score: Column, config: ScanConfig = DEFAULT) -> Column:
     return (
         F.when(score >= config.critical_from, F.lit("Critical"))
@@ -213,13 +222,14 @@ def detect(
     ocr_text: str | None = None,
     model_probability: str | None = None,
     config: ScanConfig = DEFAULT,
-    segments: bool = True,
+    segments: bool | str = True,
 ) -> DataFrame:
     """Add the detection result to every row.
 
     Adds ``injection_score`` (0 to 100), the breakdown ``pattern_score``, ``model_score``,
     ``embedding_score``, ``anomaly_score`` (each times 100), ``confidence_scores`` (highest weight
-    per pattern type), ``ml_enabled`` and, unless switched off, ``flagged_segments``.
+    per pattern type), ``ml_enabled`` and, unless switched off, ``flagged_segments``; with ``segments="count"``
+    only their number, ``flagged_segments_count``.
     """
     probability = None if model_probability is None else F.col(model_probability)
     df = with_signals(df, combined_text(text, ocr_text), probability)
@@ -235,7 +245,9 @@ def detect(
         "confidence_scores": F.when(_w("text") == "", none).otherwise(scores),
         "ml_enabled": F.lit(False) if probability is None else probability.isNotNull(),
     }
-    if segments:
+    if segments == "count":
+        columns["flagged_segments_count"] = segment_count()
+    elif segments:
         columns["flagged_segments"] = flagged_segments()
     return _drop(df.withColumns(columns))
 
@@ -268,6 +280,23 @@ def raw_signals(df: DataFrame, text: str = "text", wanted: tuple[str, ...] = SIG
     return _drop(df.withColumns({n: _w(n) for n in wanted}))
 
 
+def combined(df: DataFrame, model_probability: str, config: ScanConfig = DEFAULT) -> DataFrame:
+    """The scores of rows that ``raw_signals`` has read, with a model's probability in place of the keywords.
+
+    The text need not be there any more; a null probability leaves the keyword score.
+    """
+    probability = F.col(model_probability).cast("double")
+    df = df.withColumns({_T + n: F.col(n) for n in SIGNALS if n != "model"})
+    silent = F.col("model") == 0  # only empty text has no keyword score at all
+    df = df.withColumn(_T + "model", F.when(silent, F.lit(0.0)).otherwise(F.coalesce(probability, F.col("model"))))
+    columns = {
+        "injection_score": injection_score(config),
+        "model_score": F.round(_w("model") * 100, 2),
+        "ml_enabled": probability.isNotNull(),
+    }
+    return _drop(df.withColumns(columns))
+
+
 def segment_severity(confidence: Column) -> Column:
     return (
         F.when(confidence >= 0.8, F.lit("critical"))

@@ -85,14 +85,27 @@ def indicators(df: DataFrame, text: Column, keep: tuple[str, ...]) -> DataFrame:
     return found.select(*keep, "indicator_no", "indicator.*")
 
 
-def extract_for_scan(df: DataFrame, html: str) -> DataFrame:
-    """The columns that scoring a page needs, each evaluated once."""
+def extract_for_scan(df: DataFrame, html: str, mode: str = "regex") -> DataFrame:
+    """The columns that scoring a page needs, each evaluated once; ``mode`` as in ``extract``."""
     df = df.withColumn("__tw_page", F.coalesce(F.col(html), F.lit("")))
+    scripts_found = F.size(H.suspicious_scripts("__tw_page")) > 0
+    if mode == "dom":
+        df = df.withColumn("__tw_dom", H.dom(F.when(F.col(html).isNotNull(), F.col("__tw_page"))))
+        dom = F.col("__tw_dom")
+        columns = {
+            "raw_text": F.coalesce(dom["visible_text"], F.lit("")),
+            "has_hidden_divs": F.coalesce(F.size(dom["hidden"]) > 0, F.lit(False)),
+            "has_suspicious_scripts": scripts_found,
+            "alt_texts": F.coalesce(dom["alt_texts"], F.array().cast("array<string>")),
+        }
+        return computed_once(df, columns).drop("__tw_page", "__tw_dom")
+    if mode != "regex":
+        raise ValueError(f"unknown mode {mode!r}")
     df = H.with_visible_text(df, "__tw_page", "raw_text")
     df = with_folded(df, "__tw_page", "__tw_page_fold")
     columns = {
         "has_hidden_divs": F.size(H.hidden_styles("__tw_page", "__tw_page_fold")) > 0,
-        "has_suspicious_scripts": F.size(H.suspicious_scripts("__tw_page")) > 0,
+        "has_suspicious_scripts": scripts_found,
         "alt_texts": H.alt_texts(F.col("__tw_page")),
     }
     return computed_once(df, columns).drop("__tw_page", "__tw_page_fold")

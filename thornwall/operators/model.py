@@ -24,26 +24,35 @@ def first_tokens(text: Column, limit: int) -> Column:
 
 
 def with_model_probability(
-    df: DataFrame, load: Callable[[], Predictor], text: str = "text", into: str = "model_probability", max_tokens: int = 512
+    df: DataFrame, load: Callable[[], Predictor], text: str = "text", into: str = "model_probability", max_tokens: int | None = None
 ) -> DataFrame:
     """Add a classifier's risk probability.
 
-    ``load`` runs once per Python worker task and returns the predictor, which gets batches of texts.
-    Text is cut to the model's limit before it leaves the JVM. A failing batch scores 0, as does null.
+    ``load`` runs once per Python worker task and returns the predictor, which gets batches of texts. A model with
+    a limit on its input states it as ``max_tokens``; text is then cut before it leaves the JVM. Where a batch fails,
+    its texts are tried one by one, and only those that fail alone score 0. Null reads as empty text.
     """
 
     @F.pandas_udf(DoubleType())
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = load()
         for batch in batches:
-            texts = batch.fillna("")
+            texts = batch.fillna("").tolist()
             try:
-                yield pd.Series(list(predict(texts.tolist())), index=batch.index, dtype="float64")
+                values = list(predict(texts))
             except Exception:
-                log.exception("model failed on a batch")
-                yield pd.Series(0.0, index=batch.index, dtype="float64")
-
-    return df.withColumn(into, probability(first_tokens(F.col(text), max_tokens)))
+                values = [alone(predict, text) for text in texts]
+            yield pd.Series(values, index=batch.index, dtype="float64")
+
+    def alone(predict: Predictor, text: str) -> float:
+        try:
+            return float(predict([text])[0])
+        except Exception as error:
+            log.warning("model failed on a text of %d characters: %s", len(text), error)
+            return 0.0
+
+    read = F.col(text) if max_tokens is None else first_tokens(F.col(text), max_tokens)
+    return df.withColumn(into, probability(read))
 
 
 def with_external_probability(df: DataFrame, scores: DataFrame, key: str, into: str = "model_probability") -> DataFrame:

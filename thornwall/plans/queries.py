@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thornwall.config import shared_folder
 from thornwall.functions import html as H
+from thornwall.functions import safety as S
 from thornwall.functions import text as T
 from thornwall.functions.matching import with_folded
 from thornwall.functions.vectors import cosine_similarity
@@ -29,6 +30,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 CUSTOM_PATTERNS = [r"\s(?:the|que|und)\s", r"filtered", r"[unclosed"]
+# Notation that only Python reads as meant: a named group, a repeated group, literal braces.
+PYTHON_PATTERNS = [r"(?P<word>filtered)", r"(?:an|th)+e", r"{{x}}|qu{1,2}e"]
 
 
 def query(function: Query) -> Query:
@@ -39,8 +42,18 @@ def query(function: Query) -> Query:
 # --- Planted inputs ------------------------------------------------------------------------------
 
 
+def test_tasks(spark: SparkSession) -> int | None:
+    """Tests and the benchmark set this for their tables of one row group; other sessions read tables as they are."""
+    tasks = spark.conf.get("spark.thornwall.testTasks", None)
+    return None if tasks is None else int(tasks)
+
+
+def table(spark: SparkSession, sf: str, name: str, *key: str) -> DataFrame:
+    return C.read_table(spark, f"{sf}/{name}.parquet", *key, tasks=test_tasks(spark))
+
+
 def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return C.read_table(spark, f"{sf}/documents.parquet", "doc_id")
+    return table(spark, sf, "documents", "doc_id")
 
 
 def documents(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
@@ -52,13 +65,12 @@ def dirty_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    table = C.read_table(spark, f"{sf}/pages.parquet", "page_id")
-    return table.select("page_id", F.expr(planted_html()).alias("html"))
+    return table(spark, sf, "pages", "page_id").select("page_id", F.expr(planted_html()).alias("html"))
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    table = C.read_table(spark, f"{sf}/conversations.parquet", "conv_id", "turn")
-    return table.select("conv_id", "turn", "role", F.expr(planted_text("(conv_id + turn)")).alias("text"))
+    rows = table(spark, sf, "conversations", "conv_id", "turn")
+    return rows.select("conv_id", "turn", "role", F.expr(planted_text("(conv_id + turn)")).alias("text"))
 
 
 def metadata_columns() -> dict[str, Column]:
@@ -71,24 +83,33 @@ def metadata_columns() -> dict[str, Column]:
 
 
 def document_content(spark: SparkSession, sf: str) -> DataFrame:
-    table = documents(spark, sf, "source").withColumns(metadata_columns())
-    return C.from_text(table, F.concat(F.lit("doc-"), F.col("doc_id")))
+    rows = documents(spark, sf, "source").withColumns(metadata_columns())
+    return C.from_text(rows, F.concat(F.lit("doc-"), F.col("doc_id")))
 
 
 def page_content(spark: SparkSession, sf: str) -> DataFrame:
     return C.from_html(pages(spark, sf), F.concat(F.lit("page-"), F.col("page_id")))
 
 
+def image_id() -> Column:
+    return F.concat_ws("-", F.lit("image"), F.col("conv_id"), F.col("turn"))
+
+
 def ocr_words(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns read as images: one row per word, with a confidence made from its place."""
-    image = F.concat_ws("-", F.lit("image"), F.col("conv_id"), F.col("turn")).alias("image_id")
     words = turns(spark, sf).select(
-        image, "conv_id", "turn", F.posexplode(F.split("text", " ")).alias("word_idx", "text")
+        image_id().alias("image_id"), "conv_id", "turn", F.posexplode(F.split("text", " ")).alias("word_idx", "text")
     )
     conf = (F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("word_idx") * 13) % 107 - 6
     return words.select("image_id", "word_idx", "text", conf.cast("double").alias("conf"))
 
 
+def images(spark: SparkSession, sf: str) -> DataFrame:
+    """The images themselves: the turns in base64."""
+    content = T.encode_base64(F.encode("text", "UTF-8"))
+    return turns(spark, sf).select(image_id().alias("image_id"), content.alias("content"))
+
+
 def all_content(spark: SparkSession, sf: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet").select(
         "item_id", F.expr(planted_text("item_id")).alias("text")
@@ -97,22 +118,23 @@ def all_content(spark: SparkSession, sf: str) -> DataFrame:
         document_content(spark, sf),
         page_content(spark, sf),
         C.from_text(benchmark, F.concat(F.lit("pdf-"), F.col("item_id")), "text", "pdf"),
-        C.from_ocr_words(ocr_words(spark, sf), F.col("image_id")),
+        C.from_ocr_words(ocr_words(spark, sf), F.col("image_id"), images(spark, sf)),
     )
 
 
 def table_stream(spark: SparkSession, path: str, *key: str) -> DataFrame:
-    """A table as a stream, spread as ``read_table`` does where the table is small.
-
-    The path is written as a pattern, so a single file works like a folder.
-    """
+    """A table as a stream. The path is written as a pattern, so a single file works like a folder."""
     stream = ST.read_stream(spark, f"{path[:-1]}[{path[-1]}]")
-    if C.is_small(spark.read.parquet(path)):
-        return stream.repartition(spark.sparkContext.defaultParallelism * 2, *key)
-    return stream
+    tasks = test_tasks(spark)
+    return stream if tasks is None else stream.repartition(tasks, *key)
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns alone; only the audit needs the answers."""
+    return turns(spark, sf).filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+
+
+def answered_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return G.conversation_prompts(turns(spark, sf))
 
 
@@ -132,7 +154,7 @@ def content_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def content_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents, pages and PDF text in one table of requests with a type each."""
+    """Documents, pages, PDF text and images in one table of requests with a type each."""
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
     requests = C.union(
         documents(spark, sf).select(
@@ -146,8 +168,9 @@ def content_requests(spark: SparkSession, sf: str) -> DataFrame:
             F.lit("pdf").alias("content_type"),
             F.expr(planted_text("item_id")).alias("content"),
         ),
+        images(spark, sf).select(F.col("image_id").alias("content_id"), F.lit("image").alias("content_type"), "content"),
     )
-    return C.from_requests(requests).select(
+    return C.from_requests(requests, ocr_words(spark, sf)).select(
         "content_id", "content_type", "content_hash", "raw_text", "char_count", "simulated",
         F.coalesce("has_hidden_divs", F.lit(False)).alias("has_hidden_divs"),
         F.coalesce("has_suspicious_scripts", F.lit(False)).alias("has_suspicious_scripts"),
@@ -161,11 +184,12 @@ def text_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def file_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Bytes of text files with invalid UTF-8 at both ends, and the same bytes as image content."""
-    table = raw_documents(spark, sf)
-    files = table.select(
+    """Bytes of texts with invalid UTF-8 at both ends or, every second one, with a genuine U+FFFD; and as image content."""
+    broken = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"), F.unhex(F.lit("C3")))
+    sound = F.encode(F.concat("text", F.lit("\ufffd")), "UTF-8")
+    files = raw_documents(spark, sf).select(
         "doc_id",
-        F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"), F.unhex(F.lit("C3"))).alias("content"),
+        F.when(F.col("doc_id") % 2 == 0, broken).otherwise(sound).alias("content"),
         F.encode("text", "UTF-8").alias("image"),
     )
     as_text = C.file_content(files, "text")
@@ -181,10 +205,12 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def analysis_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored by category; reading two categories touches only their folders."""
+    """Two corpora stored one after the other, the second one twice: nothing is lost and nothing comes double."""
     path = f"{shared_folder(spark)}/analysis"
-    sinks.write_analysis(analyze(document_content(spark, sf)), path)
-    stored = sinks.read_analysis(spark, path).filter(F.col("risk_category").isin("High", "Critical"))
+    sinks.write_analysis(analyze(document_content(spark, sf)), path, "documents")
+    for _ in range(2):
+        sinks.write_analysis(analyze(page_content(spark, sf)), path, "pages")
+    stored = sinks.read_analysis(spark, path)
     return stored.select("analysis_id", "risk_category", "injection_score", "recommended_action")
 
 
@@ -197,8 +223,7 @@ def data_url_metadata(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("page_id") % 4 == 2, F.lit("data:image/gif"))
         .otherwise(data)
     )
-    table = C.read_table(spark, f"{sf}/pages.parquet", "page_id")
-    return table.select("page_id", T.data_url_metadata(image).alias("m")).select("page_id", "m.*")
+    return table(spark, sf, "pages", "page_id").select("page_id", T.data_url_metadata(image).alias("m")).select("page_id", "m.*")
 
 
 # --- Text -----------------------------------------------------------------------------------------
@@ -214,9 +239,9 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def extract_urls(spark: SparkSession, sf: str) -> DataFrame:
-    table = C.read_table(spark, f"{sf}/pages.parquet", "page_id")
     text = F.concat(F.col("html"), F.lit(" see "), F.col("url"), F.lit(" or <https://a.example/x?y=[1]> end"))
-    return table.select("page_id", F.posexplode(T.extract_urls(text)).alias("url_no", "url"))
+    rows = table(spark, sf, "pages", "page_id")
+    return rows.select("page_id", F.posexplode(T.extract_urls(text)).alias("url_no", "url"))
 
 
 @query
@@ -272,11 +297,11 @@ def html_alt_texts(spark: SparkSession, sf: str) -> DataFrame:
 def html_hidden_styles(spark: SparkSession, sf: str) -> DataFrame:
     more = F.expr(
         "concat(html, case page_id % 4 when 0 then '<p style=\"opacity: 0; color:rgba(1,2, 0)\">' "
-        "when 1 then '<i style=\"position :absolute; left:-99px; Font-Size:0\">' else '' end)"
+        "when 1 then '<i style=\"position :absolute; left:-99px; Font-Size:0\">' "
+        "when 2 then '<i style=\"color:rgba(1,2,3,1); color:\nrgba(1,2,3,0)\">' else '' end)"
     )
-    table = pages(spark, sf).select("page_id", more.alias("html"))
-    table = with_folded(table, "html", "folded")
-    return table.select("page_id", F.posexplode(H.hidden_styles("html", "folded")).alias("style_no", "pattern"))
+    rows = with_folded(pages(spark, sf).select("page_id", more.alias("html")), "html", "folded")
+    return rows.select("page_id", F.posexplode(H.hidden_styles("html", "folded")).alias("style_no", "pattern"))
 
 
 @query
@@ -296,8 +321,9 @@ def html_base64(spark: SparkSession, sf: str) -> DataFrame:
     """Base64 runs of whole pages, each page with one more at its end."""
     run = T.encode_base64(F.encode(F.concat(F.lit("the address of this page is "), F.col("url")), "UTF-8"))
     html = F.concat(F.col("html"), F.lit("<img src='data:image/png;base64,"), run, F.lit("'>"))
-    table = C.read_table(spark, f"{sf}/pages.parquet", "page_id").select("page_id", html.alias("html"))
-    return HO.base64_runs(table, ("page_id",)).drop("decoded_preview")
+    runs = HO.base64_runs(table(spark, sf, "pages", "page_id").select("page_id", html.alias("html")), ("page_id",))
+    # a run that is no text is a preview with replacement characters, which SQL has no name for
+    return runs.withColumn("decoded_preview", F.when(~F.contains("decoded_preview", F.lit("\ufffd")), F.col("decoded_preview")))
 
 
 @query
@@ -310,9 +336,9 @@ def base64_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def html_injection_indicators(spark: SparkSession, sf: str) -> DataFrame:
-    table = H.with_visible_text(pages(spark, sf), "html")
+    rows = H.with_visible_text(pages(spark, sf), "html")
     text = F.concat(F.col("visible_text"), F.lit(" "), F.array_join(H.alt_texts(F.col("html")), " "))
-    return HO.indicators(table, text, ("page_id",))
+    return HO.indicators(rows, text, ("page_id",))
 
 
 @query
@@ -338,17 +364,33 @@ def html_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def html_extract_dom(spark: SparkSession, sf: str) -> DataFrame:
-    df = HO.extract(pages(spark, sf), mode="dom")
+    """Element-level reading of pages wrapped in a head, an unseen part and an image each."""
+    wrapped = F.concat(
+        F.lit("<html><head><title> Page "), "page_id", F.lit("</title><script>unseen()</script></head><body><p>"), "url",
+        F.lit("</p><noscript>off</noscript><!-- note --><img src=a alt=' pic '><img alt=''><area alt=map>"),
+        F.when(F.col("page_id") % 2 == 0, "<div style='display : none'>in <b>the</b> dark</div>").otherwise(""),
+        F.lit("<i class='note sr-only'>quiet</i></body></html>"),
+    )
+    rows = table(spark, sf, "pages", "page_id").select("page_id", wrapped.alias("html"))
+    df = HO.extract(rows, mode="dom")
+    hidden = F.transform("hidden_content", lambda h: F.concat_ws(":", h["tag"], h["hiding_method"], h["text"]))
     return df.select(
         "page_id",
         "title",
+        "visible_text",
         F.array_join("alt_texts", "|").alias("alt_texts"),
         "has_hidden_divs",
-        F.size("hidden_content").alias("n_hidden"),
-        F.char_length("visible_text").alias("visible_chars"),
+        F.array_join(hidden, "|").alias("hidden"),
     )
 
 
+@query
+def content_dom(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages read by element on their way into the analysis."""
+    df = C.from_html(pages(spark, sf), F.concat(F.lit("page-"), F.col("page_id")), mode="dom")
+    return df.select("content_id", "has_hidden_divs", "has_suspicious_scripts")
+
+
 # --- Detection ------------------------------------------------------------------------------------
 
 
@@ -395,7 +437,24 @@ def model_score(spark: SparkSession, sf: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf}/labels.parquet").select(
         "doc_id", ((F.col("toxic") + F.col("quality")) / 2.0).alias("probability")
     )
-    df = M.with_external_probability(documents(spark, sf), labels, "doc_id")
+    # Signals first, so that numbers and not texts meet the labels.
+    df = M.with_external_probability(D.raw_signals(documents(spark, sf)).drop("text"), labels, "doc_id")
+    return D.combined(df, "model_probability").select("doc_id", "injection_score", "model_score", "ml_enabled")
+
+
+@query
+def model_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A model that runs on whole texts; it fails on some texts, which alone score 0."""
+
+    def load():
+        def predict(texts):
+            if any(len(t) % 7 == 3 for t in texts):
+                raise ValueError("cannot read this")
+            return [min(1.0, t.count("e") // 100 / 10) for t in texts]
+
+        return predict
+
+    df = M.with_model_probability(documents(spark, sf), load)
     return D.detect(df, model_probability="model_probability", segments=False).select(
         "doc_id", "injection_score", "model_score", "ml_enabled"
     )
@@ -404,9 +463,9 @@ def model_score(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def embed_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector with the one numbered next."""
-    table = C.read_table(spark, f"{sf}/embeddings.parquet", "vec_id")
-    following = table.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return table.join(following, "vec_id").select(
+    rows = table(spark, sf, "embeddings", "vec_id")
+    following = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rows.join(following, "vec_id").select(
         "vec_id", F.round(cosine_similarity(F.col("embedding"), F.col("other")), 6).alias("similarity")
     )
 
@@ -420,31 +479,37 @@ def risk_category(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("doc_id", "injection_score", D.risk_category(F.col("injection_score")).alias("risk_category"))
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    table = documents(spark, sf, "source").withColumns(metadata_columns())
-    table = table.withColumns(
+def _flagged(spark: SparkSession, sf: str) -> DataFrame:
+    rows = documents(spark, sf, "source").withColumns(metadata_columns())
+    return rows.withColumns(
         {
             "has_hidden_text": F.expr("doc_id % 2 = 0"),
             "has_hidden_divs": F.expr("doc_id % 3 = 0"),
             "has_suspicious_scripts": F.expr("doc_id % 11 = 0"),
         }
     )
-    return with_safety(D.detect(table, segments=False))
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return with_safety(D.detect(_flagged(spark, sf), segments=False))
 
 
 @query
 def extraction_score(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).select("doc_id", F.col("extraction_quality").alias("extraction_score"))
+    score = S.extraction_score(F.col("has_hidden_text"), F.col("has_hidden_divs"), F.col("has_suspicious_scripts"))
+    return _flagged(spark, sf).select("doc_id", F.round(score, 2).alias("extraction_score"))
 
 
 @query
 def drift_score(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).select("doc_id", F.col("embedding_drift").alias("drift_score"))
+    df = D.raw_signals(documents(spark, sf), wanted=("embedding",))
+    return df.select("doc_id", F.round(S.drift_score(F.round(F.col("embedding") * 100, 2)), 2).alias("drift_score"))
 
 
 @query
 def metadata_score(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).select("doc_id", F.col("metadata_risk").alias("metadata_score"))
+    score = S.metadata_score(F.col("has_metadata"), F.col("source"), F.col("user_reputation"))
+    return _flagged(spark, sf).select("doc_id", F.round(score, 2).alias("metadata_score"))
 
 
 @query
@@ -467,7 +532,7 @@ def recommended_action(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def analyze_content(spark: SparkSession, sf: str) -> DataFrame:
-    df = analyze(all_content(spark, sf))
+    df = analyze(all_content(spark, sf), segments="count")
     return df.select(
         "analysis_id",
         "content_type",
@@ -478,7 +543,7 @@ def analyze_content(spark: SparkSession, sf: str) -> DataFrame:
         "risk_category",
         F.col("safety_score_exact").alias("safety_score"),
         "recommended_action",
-        F.size("flagged_segments").alias("n_segments"),
+        F.col("flagged_segments_count").alias("n_segments"),
     )
 
 
@@ -520,6 +585,11 @@ def sanitize_custom(spark: SparkSession, sf: str) -> DataFrame:
     return _sanitized(spark, sf, mode="balanced", custom_patterns=CUSTOM_PATTERNS)
 
 
+@query
+def sanitize_custom_python(spark: SparkSession, sf: str) -> DataFrame:
+    return _sanitized(spark, sf, mode="balanced", custom_patterns=PYTHON_PATTERNS)
+
+
 def _batch(spark: SparkSession, sf: str) -> DataFrame:
     requests = dirty_documents(spark, sf).select(
         "doc_id",
@@ -581,7 +651,7 @@ def guard_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def guard_audit(spark: SparkSession, sf: str) -> DataFrame:
-    df = G.guard(prompts(spark, sf), mode=guard_mode(), response="response")
+    df = G.guard(answered_prompts(spark, sf), mode=guard_mode(), response="response")
     return df.select(
         "conv_id",
         "turn",
@@ -600,7 +670,7 @@ def guard_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def guard_blocked_message(spark: SparkSession, sf: str) -> DataFrame:
-    df = G.guard(prompts(spark, sf), mode="strict", response="response")
+    df = G.guard(prompts(spark, sf), mode="strict")
     return df.filter(F.col("sanitization_action") == "BLOCKED").select("conv_id", "turn", "llm_response")
 
 
@@ -612,25 +682,22 @@ def compliance_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def guard_stats(spark: SparkSession, sf: str) -> DataFrame:
-    table = documents(spark, sf, "lang", "source")
-    guarded = G.decide(table, "text", F.expr("case when doc_id % 2 = 0 then 'strict' else 'balanced' end"))
+    rows = documents(spark, sf, "lang", "source")
+    guarded = G.decide(rows, "text", F.expr("case when doc_id % 2 = 0 then 'strict' else 'balanced' end"))
     return G.stats(guarded, "lang", "source")
 
 
 # --- Reports --------------------------------------------------------------------------------------
 
 
-def _analysis(spark: SparkSession, sf: str, segments: bool = False) -> DataFrame:
+def _analysis(spark: SparkSession, sf: str, segments: bool | str = False) -> DataFrame:
     return analyze(document_content(spark, sf), segments=segments)
 
 
 @query
 def report(spark: SparkSession, sf: str) -> DataFrame:
-    """Reports of the analyses of English documents, looked up by id."""
-    wanted = raw_documents(spark, sf).filter(F.col("lang") == "en")
-    ids = wanted.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("content_id"))
-    content = RP.lookup(document_content(spark, sf), ids, "content_id")  # before the scan, not after it
-    df = RP.reports(analyze(content))
+    """A report of every document."""
+    df = RP.reports(_analysis(spark, sf, "count"))
     return df.select(
         "report_id",
         "analysis_id",
@@ -673,12 +740,25 @@ def soci_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def list_reports(spark: SparkSession, sf: str) -> DataFrame:
-    return RP.list_reports(_analysis(spark, sf), items=document_content(spark, sf))
+    items = RP.first_items(document_content(spark, sf))  # narrow until here: only these are scanned
+    total = items.select("total").limit(1).scalar()
+    return RP.list_reports(analyze(items, segments=False), total=total)
+
+
+@query
+def report_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Analyses stored once; the reports of English documents come from the store, by id."""
+    path = f"{shared_folder(spark)}/analysis"
+    sinks.write_analysis(_analysis(spark, sf, "count"), path, "documents")
+    wanted = table(spark, sf, "documents", "doc_id").filter(F.col("lang") == "en")
+    ids = wanted.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("analysis_id"))
+    df = RP.reports(RP.lookup(sinks.read_analysis(spark, path), ids))
+    return df.select("report_id", "analysis_id", "injection_score", "risk_category", "flagged_segments_count", "input_hash")
 
 
 @query
 def report_html(spark: SparkSession, sf: str) -> DataFrame:
-    return RP.report_html(RP.reports(_analysis(spark, sf, True))).select("analysis_id", "report_html")
+    return RP.report_html(RP.reports(_analysis(spark, sf, "count"))).select("analysis_id", "report_html")
 
 
 @query
@@ -691,8 +771,8 @@ def segment_severity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def risk_summary(spark: SparkSession, sf: str) -> DataFrame:
-    table = documents(spark, sf, "lang", "source")
-    scored = with_safety(D.detect(table, segments=False))
+    rows = documents(spark, sf, "lang", "source")
+    scored = with_safety(D.detect(rows, segments=False))
     scored = scored.withColumn("risk_category", D.risk_category(F.col("injection_score")))
     return RP.risk_summary(scored, "lang", "source")
 
@@ -723,8 +803,8 @@ def ocr_hidden(spark: SparkSession, sf: str) -> DataFrame:
 def stream_analyze(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark)
     stream = table_stream(spark, f"{sf}/documents.parquet", "doc_id")
-    table = stream.select("doc_id", "source", F.expr(planted_text("doc_id")).alias("text"))
-    content = C.from_text(table.withColumns(metadata_columns()), F.concat(F.lit("doc-"), F.col("doc_id")))
+    rows = stream.select("doc_id", "source", F.expr(planted_text("doc_id")).alias("text"))
+    content = C.from_text(rows.withColumns(metadata_columns()), F.concat(F.lit("doc-"), F.col("doc_id")))
     running = ST.write_stream(ST.stream_analyze(content), f"{folder}/analysis", f"{folder}/checkpoint")
     running.awaitTermination()
     return spark.read.parquet(f"{folder}/analysis").select(
@@ -741,8 +821,8 @@ def stream_analyze(spark: SparkSession, sf: str) -> DataFrame:
 def stream_guard(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark)
     stream = table_stream(spark, f"{sf}/conversations.parquet", "conv_id", "turn").filter(F.col("role") == "user")
-    table = stream.select("conv_id", "turn", F.expr(planted_text("(conv_id + turn)")).alias("prompt"))
-    ST.stream_guard(table, folder, f"{folder}/checkpoint", mode=guard_mode()).awaitTermination()
+    rows = stream.select("conv_id", "turn", F.expr(planted_text("(conv_id + turn)")).alias("prompt"))
+    ST.stream_guard(rows, folder, f"{folder}/checkpoint", mode=guard_mode()).awaitTermination()
     return spark.read.parquet(f"{folder}/audit").select(
         "conv_id", "turn", "injection_score", "sanitization_action", "input_hash"
     )
@@ -753,10 +833,10 @@ def stream_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Event types as prompts, with planted payloads, counted per day."""
     folder = shared_folder(spark)
     stream = table_stream(spark, f"{sf}/events.parquet", "event_id")
-    table = stream.select(
+    rows = stream.select(
         F.col("ts").cast("timestamp").alias("ts"), F.expr(planted_text("event_id", "event_type")).alias("prompt")
     )
-    guarded = G.decide(table, "prompt", "strict")
+    guarded = G.decide(rows, "prompt", "strict")
     stats = ST.run_stats(ST.stream_stats(guarded, "ts", "1 day"), f"{folder}/stats", f"{folder}/checkpoint")
     day = {n: F.date_format(n, "yyyy-MM-dd HH:mm:ss") for n in ("window_start", "window_end")}
     return stats.withColumns(day)

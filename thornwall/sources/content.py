@@ -57,8 +57,9 @@ def from_text(df: DataFrame, content_id: Column, text: str = "text", content_typ
     return _conform(df, content_type, columns)
 
 
-def from_html(df: DataFrame, content_id: Column, html: str = "html") -> DataFrame:
-    df = html_operators.extract_for_scan(df, html)
+def from_html(df: DataFrame, content_id: Column, html: str = "html", mode: str = "regex") -> DataFrame:
+    """Pages; ``mode`` is that of ``thornwall.operators.html.extract``."""
+    df = html_operators.extract_for_scan(df, html, mode)
     columns = {
         "content_id": content_id,
         "content_hash": content_hash(F.coalesce(F.col(html), F.lit(""))),
@@ -90,33 +91,46 @@ def from_ocr_words(words: DataFrame, content_id: Column, images: DataFrame | Non
     return _conform(df, "image", columns)
 
 
-def from_requests(df: DataFrame) -> DataFrame:
-    """Requests of mixed type (content_id, content_type, content) but images, in one pass over the table.
+def from_requests(df: DataFrame, words: DataFrame | None = None, mode: str = "regex") -> DataFrame:
+    """Requests of mixed type (content_id, content_type, content), in one pass over the table; none is lost.
 
-    Each extraction sees only the content of its type; for other rows its input is empty. Images need
-    their OCR words (``from_ocr_words``).
+    Each extraction sees only the content of its type; for other rows its input is empty. ``words`` are the OCR
+    words of images, by ``image_id`` (the content id); an image without words keeps its row, with no text.
     """
     kind = F.coalesce(F.col("content_type"), F.lit("text"))
-    df = df.filter(kind != "image").withColumns(
+    df = df.withColumns(
         {
             "content_type": kind,
             "content": F.coalesce("content", F.lit("")),
             "__tw_html": F.when(kind == "html", F.col("content")),
         }
     )
-    df = html_operators.extract_for_scan(df, "__tw_html")
-    is_html = F.col("content_type") == "html"
+    df = html_operators.extract_for_scan(df, "__tw_html", mode)
+    is_html, is_image = F.col("content_type") == "html", F.col("content_type") == "image"
     columns = {
         "content_id": "content_id",
         "content_type": F.col("content_type"),
         "content_hash": content_hash(F.col("content")),
-        "raw_text": F.when(is_html, F.col("raw_text")).otherwise(F.col("content")),
+        "raw_text": F.when(is_html, F.col("raw_text")).when(~is_image, F.col("content")),
         "char_count": F.when(F.col("content_type") == "text", F.char_length("content")),
         "has_hidden_divs": F.when(is_html, F.col("has_hidden_divs")),
         "has_suspicious_scripts": F.when(is_html, F.col("has_suspicious_scripts")),
         "alt_texts": F.when(is_html, F.col("alt_texts")),
         "simulated": F.when(F.col("content_type") == "pdf", F.lit(True)),
     }
+    if words is not None:
+        # only images meet their words: the other rows stay where they are
+        kept = df.columns
+        read = ocr.images(words).select(
+            F.col("image_id").alias("content_id"),
+            F.col("text").alias("ocr_text"),
+            F.col("confidence").alias("ocr_confidence"),
+            "has_hidden_text",
+        )
+        images = df.filter(is_image).select(*kept).join(read, "content_id", "left")
+        seen = {"raw_text": "ocr_text", "ocr_text": "ocr_text", "ocr_confidence": "ocr_confidence", "has_hidden_text": "has_hidden_text"}
+        rest = _conform(df.filter(~is_image), "text", dict(columns))
+        return rest.unionByName(_conform(images, "image", columns | seen))
     return _conform(df, "text", columns)
 
 
@@ -139,22 +153,7 @@ def file_content(files: DataFrame, content_type: str = "image") -> DataFrame:
     return files.withColumn("content", encode_base64(raw) if content_type == "image" else decode_bytes(raw))
 
 
-def read_table(spark: SparkSession, path: str, *key: str) -> DataFrame:
-    """A Parquet table, spread over all cores where it has far fewer splits than there are cores.
-
-    A table at scale has more splits than cores and is read as it is, without a shuffle. The exception
-    is for small tables (here: a single row group), whose later work would otherwise run in one task.
-    """
-    return spread(spark.read.parquet(path), *key)
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a scan has too few splits to occupy more than half of the cores."""
-    return df.rdd.getNumPartitions() <= df.sparkSession.sparkContext.defaultParallelism // 2
-
-
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """A small table hashed by a unique key over twice as many tasks as there are cores."""
-    if key and is_small(df):
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2, *key)
-    return df
+def read_table(spark: SparkSession, path: str, *key: str, tasks: int | None = None) -> DataFrame:
+    """A Parquet table as it is. ``tasks`` is for test files of one row group: it deals the rows by key."""
+    table = spark.read.parquet(path)
+    return table if tasks is None else table.repartition(tasks, *key)

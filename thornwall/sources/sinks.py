@@ -6,15 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_analysis(analysis: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store analyses by risk category, so that readers of one category skip the others."""
-    analysis.write.mode(mode).partitionBy("risk_category").parquet(path)
+def write_analysis(analysis: DataFrame, path: str, run: str) -> None:
+    """Add the analyses of one run to a store, partitioned by run and risk category.
 
+    Earlier runs stay. Writing a run again replaces that run's partitions, so a repeated job adds nothing.
+    """
+    rows = analysis.withColumn("run", F.lit(run))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run", "risk_category").parquet(path)
 
-def read_analysis(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+
+def read_analysis(spark: SparkSession, path: str, latest: bool = False) -> DataFrame:
+    """The stored analyses; ``latest`` keeps of each id the one of the last run by name."""
+    stored = spark.read.parquet(path)
+    if not latest:
+        return stored
+    newest = F.max_by(F.struct(*[F.col(c) for c in stored.columns]), F.col("run").cast("string"))
+    return stored.groupBy("analysis_id").agg(newest.alias("row")).select("row.*")
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Store rendered reports as text, one document per line break-free row."""
-    reports.select(F.regexp_replace("report_html", r"\n", " ").alias("value")).write.mode("overwrite").text(path)
+    """Store rendered reports by id."""
+    reports.select("report_id", "analysis_id", "report_html").write.mode("overwrite").parquet(path)

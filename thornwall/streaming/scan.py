@@ -32,20 +32,16 @@ def stream_guard(
     trigger: dict | None = None,
     config: ScanConfig = DEFAULT,
 ) -> StreamingQuery:
-    """Guard a prompt stream into ``path/audit``, partitioned by batch and action.
+    """Guard a prompt stream into ``path/audit``, partitioned by action.
 
-    Blocked prompts are the partition ``sanitization_action=BLOCKED`` of the same table, so each batch
-    is computed and written once. A batch replaces its own partitions, so a repeated batch adds nothing.
+    Blocked prompts are the partition ``sanitization_action=BLOCKED`` of the same table. The file sink logs what
+    each batch wrote, so a repeated batch adds nothing; there are as many directories as actions, and batches set
+    the number of files (choose the trigger accordingly).
     """
     guarded = G.guard(prompts, prompt, mode, response, config)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch_id", F.lit(batch_id))
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch_id", "sanitization_action").parquet(f"{path}/audit")
-
-    writer = guarded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    writer = guarded.writeStream.format("parquet").outputMode("append").partitionBy("sanitization_action")
+    writer = writer.option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start(f"{path}/audit")
 
 
 def stream_stats(
@@ -80,13 +76,21 @@ def read_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
 def run_stats(stats: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run windowed statistics over what has arrived and read the totals of all windows.
 
-    Each batch replaces the totals, so windows still open count too (an append-only sink would hold
-    them back until the watermark passes).
+    Update mode: a batch writes the windows it changed, under its own number, so windows still open count too, state
+    of windows behind the watermark is dropped, and a batch that is repeated replaces what it wrote.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = stats.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = stats.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
-    return stats.sparkSession.read.parquet(path)
+    return read_stats(stats.sparkSession, path)
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The last totals of each window."""
+    rows = spark.read.parquet(path)
+    names = [c for c in rows.columns if c not in ("batch", "window_start", "window_end")]
+    last = F.max_by(F.struct(*names), "batch").alias("last")
+    return rows.groupBy("window_start", "window_end").agg(last).select("window_start", "window_end", "last.*")
