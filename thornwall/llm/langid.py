@@ -106,7 +106,8 @@ class Filters:
             letters = letters or bool((points != SPACE).any())
             masks = self.masks(grams(points))
             total += len(masks)
-            counts += [np.count_nonzero(masks & masks.dtype.type(1 << bit)) for bit in range(len(self.names))]
+            hits = [np.count_nonzero(masks & masks.dtype.type(1 << bit)) for bit in range(len(self.names))]
+            counts += np.array(hits, np.int64)
         if not letters or not self.names:
             return "und", 0.0
         real = np.maximum(0, (counts - total * self.chance) / (1 - self.chance))

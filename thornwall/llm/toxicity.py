@@ -25,6 +25,8 @@ from thornwall.llm.langid import in_fold
 WINDOW, STRIDE = 32, 16
 #: Sizes: word and character embeddings, hidden units per direction, attention units, buckets of character n-grams.
 WORD, CHAR, HIDDEN, LOOK, BUCKETS = 8, 12, 8, 8, 1 << 13
+#: Shrinking of embeddings per step, in learning rates: words that say nothing are forgotten.
+DECAY = 2.0
 #: Windows scored at once, and words that a worker remembers.
 BATCH, MEMO = 4096, 200_000
 
@@ -212,6 +214,8 @@ class Trainer:
             self.second[name] += 0.001 * (grad**2 - self.second[name])
             step = self.first[name] / (1 - 0.9**self.at) / (np.sqrt(self.second[name] / (1 - 0.999**self.at)) + 1e-7)
             w[name] -= self.rate * step
+            if name in ("words", "chars"):
+                w[name] *= 1 - self.rate * DECAY
 
 
 def _padded(spans: list[tuple[int, int]], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
