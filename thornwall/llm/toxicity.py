@@ -26,7 +26,9 @@ WINDOW, STRIDE = 32, 16
 #: Sizes: word and character embeddings, hidden units per direction, attention units, buckets of character n-grams.
 WORD, CHAR, HIDDEN, LOOK, BUCKETS = 8, 12, 8, 8, 1 << 13
 #: Shrinking of embeddings per step, in learning rates: words that say nothing are forgotten.
-DECAY = 2.0
+DECAY = 1.0
+#: Windows of one text that training looks at, at most (chosen at random); scoring looks at all.
+TAUGHT = 500
 #: Windows scored at once, and words that a worker remembers.
 BATCH, MEMO = 4096, 200_000
 
@@ -281,21 +283,31 @@ class Scorer:
         return result
 
 
-def train(texts: list[bytes], labels: list[int], steps: int = 100, rounds: int = 4, seed: int = 0) -> Network:
+def train(texts: list[bytes], labels: list[int], steps: int = 100, rounds: int = 5, seed: int = 0) -> Network:
     """A network from labelled texts, alike at every run: at least ``steps`` steps of each kind of teaching.
 
     Without texts of both labels it stays untrained and scores near one half at most.
     """
     rng = np.random.default_rng(seed)
-    split = [words_of(t) for t in texts]
-    often = Counter(w for found in split for w in set(found))
-    vocabulary = {w: n + 1 for n, (w, many) in enumerate(sorted(often.items(), key=lambda x: (-x[1], x[0]))[:8000]) if many >= 3}
+    place: dict[bytes, int] = {}
+    often: Counter = Counter()
+    coded: list[np.ndarray] = []
+    for text in texts:
+        found = words_of(text)
+        coded.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.int32, len(found)))
+        often.update(np.unique(coded[-1]).tolist())
+    words = list(place)
+    codes = np.concatenate(coded) if coded else np.zeros(0, np.int32)
+    begins = np.cumsum([0, *map(len, coded)])
+    frequent = sorted(often.items(), key=lambda x: (-x[1], words[x[0]]))[:8000]
+    vocabulary = {words[code]: n + 1 for n, (code, many) in enumerate(frequent) if many >= 3}
     network = Network.fresh(vocabulary, seed)
-    words = sorted(often)
-    place = {w: n for n, w in enumerate(words)}
-    codes = np.array([place[w] for found in split for w in found], np.int64)
-    begins = np.cumsum([0, *map(len, split)])
-    spans = [[(b + s, b + e) for s, e in windows_of(len(found))] for b, found in zip(begins[:-1].tolist(), split, strict=True)]
+    spans = []
+    for begin, own in zip(begins[:-1].tolist(), coded, strict=True):
+        own = windows_of(len(own))
+        if len(own) > TAUGHT:
+            own = [own[i] for i in sorted(rng.choice(len(own), TAUGHT, replace=False))]
+        spans.append([(begin + s, begin + e) for s, e in own])
     target = np.array(labels, np.float32)
     trainer = Trainer(network)
 
@@ -350,9 +362,9 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, per
     chosen = joined.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
     label_of = {row.id: row.label for row in chosen.collect()}
     wanted = texts.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = {row.id: row.text for row in wanted.where(F.col("id").isin(list(label_of))).toLocalIterator()}
+    found = {row.id: row.text.encode() for row in wanted.where(F.col("id").isin(list(label_of))).toLocalIterator()}
     ids = sorted(found)
-    return train([found[i].encode() for i in ids], [label_of[i] for i in ids])
+    return train([found.pop(i) for i in ids], [label_of[i] for i in ids])
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
