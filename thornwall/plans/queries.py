@@ -740,9 +740,9 @@ def soci_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def list_reports(spark: SparkSession, sf: str) -> DataFrame:
-    items = RP.first_items(document_content(spark, sf))  # narrow until here: only these are scanned
-    total = items.select("total").limit(1).scalar()
-    return RP.list_reports(analyze(items, segments=False), total=total)
+    content = document_content(spark, sf)
+    total = content.agg(F.count(F.lit(1))).scalar()
+    return RP.list_reports(analyze(RP.first_items(content), segments=False), total=total)
 
 
 @query
