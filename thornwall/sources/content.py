@@ -76,7 +76,7 @@ def from_ocr_words(words: DataFrame, content_id: Column, images: DataFrame | Non
 
     The text counts twice, as raw text and as OCR text: the scan joins both.
     """
-    df = ocr.images(words)
+    df = ocr.images(words, segments=False)
     columns: dict[str, Column | str] = {
         "content_id": content_id,
         "raw_text": "text",
@@ -121,7 +121,7 @@ def from_requests(df: DataFrame, words: DataFrame | None = None, mode: str = "re
     if words is not None:
         # only images meet their words: the other rows stay where they are
         kept = df.columns
-        read = ocr.images(words).select(
+        read = ocr.images(words, segments=False).select(
             F.col("image_id").alias("content_id"),
             F.col("text").alias("ocr_text"),
             F.col("confidence").alias("ocr_confidence"),
