@@ -133,3 +133,19 @@ def test_the_score_is_that_of_the_worst_window():
         words = toxicity.words_of(text.encode())
         alone = [scorer.windows(words, [span])[0] for span in toxicity.windows_of(len(words))]
         assert value == pytest.approx(max(alone), abs=1e-5)
+
+
+def test_some_of_each_group_are_those_with_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from thornwall.llm.common import some_of_each
+
+    rows = spark.range(20000).select("id", F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("side"))
+    rows = rows.unionByName(rows.limit(100))
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11)
+    expected = []
+    for side in "ab":
+        ids = rows.where(F.col("side") == side).distinct().orderBy(place, "id").limit(30).collect()
+        expected += [(r.id, side) for r in ids]
+    assert sorted(some_of_each(rows, "side", 30)) == sorted(expected)
+    assert some_of_each(rows.limit(0), "side", 3) == []

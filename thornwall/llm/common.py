@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from thornwall.config import shared_folder
 
@@ -62,9 +61,26 @@ def components(edges: DataFrame) -> DataFrame:
     return result
 
 
-def blocks_of(total: int, size: int) -> int:
-    """How many blocks of ``size`` hold ``total`` rows, at least one."""
-    return max(1, math.ceil(total / size))
+def some_of_each(rows: DataFrame, group: str, many: int, groups: int = 64) -> list[tuple]:
+    """(id, group) of the ``many`` ids of each group whose hashes are smallest, for fitting a model.
+
+    ``rows`` has the columns id and ``group``, without nulls. Groups are counted first, and only hashes below a bound
+    that some twice ``many`` ids of a group meet go on to be ranked, so no task sorts a whole group.
+    """
+    ids = rows.select("id", F.col(group).alias("side")).distinct()
+    counts = ids.groupBy("side").count().limit(groups + 1).collect()
+    if len(counts) > groups:
+        raise ValueError(f"more than {groups} values of {group}")
+    if not counts:
+        return []
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
+    low = F.lit(False)
+    for side, count in counts:
+        share = 1.0 if count <= 4 * many else (2 * many + 10 * many**0.5) / count
+        low = low | ((F.col("side") == side) & (F.col("place") < share))
+    order = Window.partitionBy("side").orderBy("place", "id")
+    ranked = ids.withColumn("place", place).where(low).withColumn("n", F.row_number().over(order))
+    return [(row.id, row.side) for row in ranked.where(F.col("n") <= many).select("id", "side").collect()]
 
 
 def file_system(uri: str):

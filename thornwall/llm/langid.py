@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from thornwall.llm.common import some_of_each
 
 #: Lengths of n-grams in characters, word edges included, and hash probes per n-gram.
 SIZES, PROBES = (3, 4), 3
@@ -121,10 +121,8 @@ def learn(labelled: DataFrame, per_language: int = 400, min_share: float = 0.01)
     The texts with the smallest hash of their id are taken. A filter holds the n-grams that are in at least ``min_share`` of
     its texts, and in two at least where there are ten or more. Null texts and languages teach nothing.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = labelled.where("lang is not null and text is not null").select("id", "lang")
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    chosen = {(row.id, row.lang) for row in ids.collect()}  # per_language rows for each of at most 64 languages
+    known = labelled.where("id is not null and lang is not null and text is not null")
+    chosen = some_of_each(known.select("id", "lang"), "lang", per_language)
     wanted = labelled.where(F.col("id").isin([i for i, _ in chosen]) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from thornwall.llm.common import text_bytes
+from thornwall.llm.common import some_of_each, text_bytes
 from thornwall.llm.langid import in_fold
 
 #: Words of a window and words from one window to the next.
@@ -26,7 +25,7 @@ WINDOW, STRIDE = 32, 16
 #: Sizes: word and character embeddings, hidden units per direction, attention units, buckets of character n-grams.
 WORD, CHAR, HIDDEN, LOOK, BUCKETS = 8, 12, 8, 8, 1 << 13
 #: Shrinking of embeddings per step, in learning rates: words that say nothing are forgotten.
-DECAY = 1.0
+DECAY = 1.5
 #: Windows of one text that training looks at, at most (chosen at random); scoring looks at all.
 TAUGHT = 500
 #: Windows scored at once, and words that a worker remembers.
@@ -358,9 +357,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, per
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("toxic") > 0).cast("int").alias("label"))
     texts = docs.where("text is not null and doc_id is not null")
     joined = marked.join(texts.select(F.col("doc_id").cast("long").alias("id")).distinct(), "id")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = joined.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
-    label_of = {row.id: row.label for row in chosen.collect()}
+    label_of = dict(some_of_each(joined, "label", per_label))
     wanted = texts.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     found = {row.id: row.text.encode() for row in wanted.where(F.col("id").isin(list(label_of))).toLocalIterator()}
     ids = sorted(found)
