@@ -29,8 +29,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.deduplicate(docs, words=5, least=0.8)
+    """One document of each class of near copies stays: five-word shingles, 48 of 256 bits for a similarity of 0.8."""
+    return simhash.deduplicate(docs, words=5, bits=256, radius=48)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,8 +72,8 @@ def test_tiles_and_blocks_lose_no_link(spark, monkeypatch):
         prints.append(s ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)))
     prints = sorted(set(prints))
     rows = [(i, p.to_bytes(8, "big")) for i, p in enumerate(prints)]
-    links = simhash.candidate_links(spark.createDataFrame(rows, "id long, fingerprint binary"), 64, 3)
-    got = {r.node: r.component for r in components(links.where("sure").select("a", "b")).collect()}
+    links = simhash.links(spark.createDataFrame(rows, "id long, fingerprint binary"), 64, 3)
+    got = {r.node: r.component for r in components(links).collect()}
     values = np.array(prints, np.uint64)
     near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
     expected = classes(range(len(prints)), lambda a, b: near[a, b])
@@ -81,6 +81,21 @@ def test_tiles_and_blocks_lose_no_link(spark, monkeypatch):
     assert links.count() < 4 * len(prints)
 
 
+def test_a_large_group_of_near_copies_costs_rows_in_proportion(spark):
+    rng = random.Random(3)
+    base = prose(rng, 200).split()
+    rows = []
+    for i in range(1500):
+        words = list(base)
+        for place in rng.sample(range(200), 3):
+            words[place] = f"edit{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([(5000, " ".join(base)), (5001, "something else"), *rows], "doc_id long, text string").repartition(4)
+    prints = simhash.fingerprints(docs, words=5, bits=256)
+    assert simhash.links(prints, 256, 48).count() < 2 * 1502
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 5001]
+
+
 def test_components_of_chains_stars_and_nulls(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, None), (300, 299), (299, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -95,7 +110,7 @@ def test_deduplicate_keeps_one_of_each_class(spark, odd, none):
         rows.append(row(10 * i, " ".join(words)))
         for k in range(1, 4):
             edited = list(words)
-            for place in rng.sample(range(150), 1 + i % 3):
+            for place in rng.sample(range(150), 1 + i % 2):
                 edited[place] = f"edit{k}"
             rows.append(row(10 * i + k, " ".join(edited)))
     rows += [row(9000, rows[0][1]), row(9001, "unlike anything else"), row(9002, None), row(9003, "")]

@@ -43,13 +43,17 @@ def shingles(text: bytes, words: int) -> list[bytes]:
 def fingerprint(text: bytes, words: int, bits: int) -> bytes:
     """Bit by bit the strict majority over the hashes of all shingles; all zero without shingles.
 
-    64 bits: XXH64 with seed 42. 128 bits: XXH3-128. Ties give 0.
+    64 bits: XXH64 with seed 42. A multiple of 128 bits: XXH3-128 with seeds from 0 on. Ties give 0.
     """
     found = shingles(text, words)
     counts = np.zeros(bits, np.int64)
+    seeds = range(bits // 128)
     for at in range(0, len(found), STEP):
         piece = found[at : at + STEP]
-        digests = [xxhash.xxh64_digest(s, 42) for s in piece] if bits == 64 else [xxhash.xxh3_128_digest(s) for s in piece]
+        if bits == 64:
+            digests = [xxhash.xxh64_digest(s, 42) for s in piece]
+        else:
+            digests = [xxhash.xxh3_128_digest(s, seed) for s in piece for seed in seeds]
         rows = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, bits // 8)
         counts += np.unpackbits(rows, axis=1).sum(0, dtype=np.int64)
     return np.packbits(counts * 2 > len(found)).tobytes()
@@ -128,8 +132,8 @@ def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
                 parent[:] = up
 
 
-def compare(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, distance) of all rows within the radius; rows are uint64 words, sorted by population counts."""
+def compare(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of all rows within the radius; rows are uint64 words, sorted by population counts."""
 
     def boxes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ones = np.bitwise_count(np.ascontiguousarray(rows).view(np.uint16).reshape(len(rows), -1)).astype(np.int16)
@@ -149,25 +153,24 @@ def compare(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[
         for at in range(0, len(columns), COLUMNS):
             chosen = columns[at : at + COLUMNS]
             apart = np.bitwise_count(rows[:, :1] ^ right[chosen, 0])
+            if left.shape[1] > 1:  # one word alone rules out little where the radius is large
+                apart += np.bitwise_count(rows[:, 1:2] ^ right[chosen, 1])
             i, j = np.nonzero(apart <= radius)
             apart = apart[i, j]
-            for word in range(1, left.shape[1]):
+            for word in range(2, left.shape[1]):
                 apart = apart + np.bitwise_count(rows[i, word] ^ right[chosen[j], word])
                 kept = apart <= radius
                 i, j, apart = i[kept], j[kept], apart[kept]
             if len(i):
-                yield i + k * ROWS, chosen[j], apart
+                yield i + k * ROWS, chosen[j]
 
 
-def candidate_links(prints: DataFrame, bits: int, radius: int, sure: int | None = None) -> DataFrame:
-    """(a, b, sure boolean) between the smallest ids of different fingerprints.
+def links(prints: DataFrame, bits: int, radius: int) -> DataFrame:
+    """(a, b) between the smallest ids of different fingerprints that differ in at most ``radius`` bits.
 
-    Links at ``sure`` or fewer differing bits come as stars, which connect what the links connect. Pairs beyond that,
-    up to the radius, come one by one where the stars of their tiles do not connect them; they need a check.
-    ``sure`` defaults to the radius.
+    They come as stars, one per set that the links of a pair of tiles connect: what is connected is as with all links.
     """
     spark = prints.sparkSession
-    sure = radius if sure is None else sure
     tiles = _tiles(prints, bits)
     ranges = tiles.select("tile", "low", "high").collect()  # one row per tile
     ranges.sort()
@@ -188,31 +191,14 @@ def candidate_links(prints: DataFrame, bits: int, radius: int, sure: int | None
         ids = np.unique(np.concatenate(ids_of))
         places = [np.searchsorted(ids, x) for x in ids_of]
         parent = np.arange(len(ids))
-        open_a, open_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        held = 0
-        for i, j, apart in compare(*prints_of, radius):
-            a, b = places[0][i], places[1][j]
-            close = apart <= sure
-            _merge(parent, a[close], b[close])
-            a, b = a[~close], b[~close]
-            loose = parent[a] != parent[b]
-            open_a.append(a[loose])
-            open_b.append(b[loose])
-            held += int(loose.sum())
-            if held > 1 << 20:  # later stars may have connected them
-                a, b = np.concatenate(open_a), np.concatenate(open_b)
-                loose = parent[a] != parent[b]
-                open_a, open_b, held = [a[loose]], [b[loose]], -int(loose.sum())
-        a, b = np.concatenate(open_a), np.concatenate(open_b)
-        loose = parent[a] != parent[b]
+        for i, j in compare(*prints_of, radius):
+            _merge(parent, places[0][i], places[1][j])
         star = np.flatnonzero(parent != np.arange(len(ids)))
-        rows = [np.concatenate([ids[star], ids[a[loose]]]), np.concatenate([ids[parent[star]], ids[b[loose]]])]
-        return pa.table({"a": rows[0], "b": rows[1], "sure": np.arange(len(rows[0])) < len(star)})
+        return pa.table({"a": ids[star], "b": ids[parent[star]]})
 
     # A pair of a tile with itself comes as two equal rows.
     dealt = tiles.join(F.broadcast(sides), "tile").repartition(max(1, min(len(pairs), 4 * parts(spark))), "pair")
-    found = dealt.groupBy("pair").applyInArrow(run, "a long, b long, sure boolean")
-    return written(found, "links")
+    return written(dealt.groupBy("pair").applyInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(
@@ -225,7 +211,7 @@ def near_duplicates(
     null id keeps its fingerprint, links nothing and has a null component. Other columns are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col, words, bits), "prints")
-    classes = components(candidate_links(prints, bits, radius))
+    classes = components(links(prints, bits, radius))
     return _labelled(prints, classes)
 
 
@@ -241,44 +227,23 @@ def _labelled(prints: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets of word shingles have a Jaccard similarity of at least ``least``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for left, right in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)), strict=True):
-                s, t = set(shingles(left, words)), set(shingles(right, words))
-                kept.append(len(s & t) >= least * len(s | t))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    texts = written(texts.dropDuplicates(["id"]), "texts")
-    rows = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
 def deduplicate(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     words: int = 5,
-    least: float = 0.8,
-    radius: int = 30,
-    sure: int = 12,
+    bits: int = 256,
+    radius: int = 48,
 ) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the row with the smallest id stays.
 
-    128-bit fingerprints of five-word shingles within ``radius`` bits are candidates: a similarity of 0.8 means 19
-    differing bits on average, 4 in standard deviation. At ``sure`` bits or fewer (a similarity near 0.9 and over) they
-    link at once, beyond that when their exact similarity is ``least`` or more. Rows with a null id stay. Of rows
-    with one id (repeated rows) one stays. Texts without words form one class. All columns are kept as they are.
+    Documents link when their fingerprints of five-word shingles differ in at most ``radius`` of ``bits`` bits. With 256
+    bits, a similarity of 0.8 means 39 differing bits on average and 6 in standard deviation, 0.9 means 27, 0.6 means
+    59, and unrelated texts 128. Rows with a null id stay. Of rows with one id (repeated rows) one stays. Texts
+    without words form one class. All columns are kept as they are.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words, 128), "prints")
-    found = candidate_links(prints, 128, radius, sure)
-    checked = similar(found.where("not sure").select("a", "b").distinct(), docs, id_col, text_col, words, least)
-    classes = components(found.where("sure").select("a", "b").unionByName(checked))
+    prints = written(fingerprints(docs, id_col, text_col, words, bits), "prints")
+    classes = components(links(prints, bits, radius))
     least_ids = prints.where("id is not null").groupBy("fingerprint").agg(F.min("id").alias("node"))
     keep = least_ids.join(classes.where("node <> component").select("node"), "node", "left_anti").select("node")
     ids = F.col(id_col).cast("long")
