@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from itertools import chain
 
 #: Pieces that a worker remembers; beyond that it starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
 #: Characters of text whose pieces are held at once.
 HELD = 2_000_000
 
