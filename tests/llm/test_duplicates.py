@@ -125,3 +125,22 @@ def test_deduplicate_keeps_one_of_each_class(spark, odd, none):
     found = [r.doc_id for r in strange.collect()]
     assert found.count(None) == 3 and found.count(5) == 1 and 6 not in found
     assert simhash.deduplicate(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+
+
+def test_documents_below_the_similarity_stay(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", 16)
+    rng = random.Random(12)
+    texts = []
+    for i in range(60):  # the last of 8 or 10 words differs: 3/5 and 5/7
+        words = [f"s{i}x{k}" for k in range(8 + i % 2 * 2)]
+        texts += [" ".join(words), " ".join([*words[:-1], f"other{i}"])]
+    template = prose(rng, 150, 10**6).split()
+    for i in range(40):  # one template, filled in at four places each
+        words = list(template)
+        for place in (20, 60, 100, 140):
+            words[place] = f"filled{i}at{place}"
+        texts.append(" ".join(words))
+    repeat = "again and again " * 60
+    texts += [repeat + prose(rng, 60, 10**6), repeat + prose(rng, 60, 10**6)]
+    kept = simhash.deduplicate(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA).repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(len(texts)))

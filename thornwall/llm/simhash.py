@@ -6,11 +6,15 @@ exclusive-or and bit counts unless the counts of their 16-bit parts already diff
 of tiles returns a star per set of linked fingerprints instead of all linked pairs, so a large group of near copies
 costs rows in proportion to its size. The comparison stays quadratic in the number of different fingerprints, with
 tiles of at most ``MAX_TILE`` rows; nothing of it passes through the driver but the range of counts of each tile.
+
+Where documents are dropped, fingerprints only find candidates: the pairs within a class of candidates are decided by
+the similarity of their sets of shingles, in pairs of blocks that again return stars.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,8 @@ from thornwall.llm.common import components, parts, text_bytes, written
 MIN_TILE, MAX_TILE = 8192, 1 << 21
 #: Shingles whose bits are counted at once, and rows and columns of a compared block.
 STEP, ROWS, COLUMNS = 1 << 16, 256, 8192
+#: Sets of shingles in a block that is verified, and hashes in it, on average at most.
+SETS, HASHES = 1024, 1 << 20
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -76,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, fingerprint binary")
 
 
-def _tiles(prints: DataFrame, bits: int) -> DataFrame:
+def _tiles(prints: DataFrame, bits: int, radius: int) -> DataFrame:
     """One row per tile: (tile, low, high, prints binary, ids binary), sorted by population counts."""
     spark = prints.sparkSession
     distinct = written(prints.where("id is not null").groupBy("fingerprint").agg(F.min("id").alias("id")), "distinct")
@@ -89,6 +95,8 @@ def _tiles(prints: DataFrame, bits: int) -> DataFrame:
     keys = [sum((F.col(f"p{i}") for i in range(1, bits // 16)), F.col("p0")).alias("ones"), *[f"p{i}" for i in range(3)]]
     counted = counted.select("fingerprint", "id", *keys)
     many = max(1, min(parts(spark), -(-total // tile)))
+    # Counts deviate by sqrt(bits) / 2; with a radius of eight times that, an order of tiles by counts rules out none.
+    ordered = radius < 4 * bits**0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -116,7 +124,8 @@ def _tiles(prints: DataFrame, bits: int) -> DataFrame:
         if rows:
             yield out(pa.Table.from_batches(held))
 
-    sorted_rows = counted.repartitionByRange(many, *counted.columns[2:], "fingerprint").sortWithinPartitions(*counted.columns[2:])
+    counted = counted.repartitionByRange(many, *counted.columns[2:], "fingerprint") if ordered else counted.repartition(many)
+    sorted_rows = counted.sortWithinPartitions(*counted.columns[2:])
     return written(sorted_rows.mapInArrow(run, "tile long, low int, high int, prints binary, ids binary"), "tiles")
 
 
@@ -171,7 +180,7 @@ def links(prints: DataFrame, bits: int, radius: int) -> DataFrame:
     They come as stars, one per set that the links of a pair of tiles connect: what is connected is as with all links.
     """
     spark = prints.sparkSession
-    tiles = _tiles(prints, bits)
+    tiles = _tiles(prints, bits, radius)
     ranges = tiles.select("tile", "low", "high").collect()  # one row per tile
     ranges.sort()
     pairs = [
@@ -227,25 +236,178 @@ def _labelled(prints: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
+def _digests(found: list[bytes], seeds: int) -> np.ndarray:
+    """[shingles, 16 * seeds] XXH3-128 digests of the different shingles, by rising first 8 bytes; these tell them apart."""
+    rows = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in found for seed in range(seeds)]), np.uint8)
+    rows = rows.reshape(-1, 16 * seeds)
+    return rows[np.unique(np.ascontiguousarray(rows[:, :8]).view(">u8")[:, 0], return_index=True)[1]]
+
+
+def _set_print(text: bytes, words: int, bits: int) -> tuple[bytes, bytes]:
+    """(fingerprint, key) of the set of shingles: each different shingle counts once, and equal sets have equal keys."""
+    rows = _digests(shingles(text, words), bits // 128)
+    counts = np.zeros(bits, np.int64)
+    for at in range(0, len(rows), STEP):
+        counts += np.unpackbits(rows[at : at + STEP], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(rows)).tobytes(), xxhash.xxh3_128_digest(rows[:, :8].tobytes())
+
+
+def _set_prints(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
+    """(id, fingerprint, key) of every row with an id. Null text is empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[bytes, tuple[bytes, bytes]] = {}
+            out = []
+            for text in text_bytes(batch.column(1)):
+                if text not in seen:
+                    seen[text] = _set_print(text, words, bits)
+                out.append(seen[text])
+            arrays = [batch.column(0), *[pa.array([row[n] for row in out], pa.binary()) for n in (0, 1)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "fingerprint", "key"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.where("id is not null").mapInArrow(run, "id long, fingerprint binary, key binary")
+
+
+@dataclass
+class Sets:
+    """Sets of shingle hashes in order of their classes, end to end."""
+
+    group: np.ndarray
+    ids: np.ndarray
+    sizes: np.ndarray
+    hashes: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+
+def _link_sets(left: Sets, right: Sets, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (a, b) that connect what the pairs of one class with a Jaccard similarity of ``least`` or more connect.
+
+    Pairs of a left and a right set count, or of two sets where both sides are the same. A pair whose ends are connected
+    already and a pair whose sizes rule it out are passed over, no other.
+    """
+    ids = np.unique(np.concatenate([left.ids, right.ids]))
+    parent = np.arange(len(ids))
+    own, other = np.searchsorted(ids, left.ids), np.searchsorted(ids, right.ids)
+    values, codes = np.unique(right.hashes, return_inverse=True)
+    marked = np.zeros(len(values), np.uint8)
+    firsts = np.searchsorted(right.group, left.group, "left")
+    lasts = np.searchsorted(right.group, left.group, "right")
+    for i, (first, last) in enumerate(zip(firsts.tolist(), lasts.tolist(), strict=True)):
+        first = i + 1 if left is right else first
+        size = left.sizes[i]
+        sizes = right.sizes[first:last]
+        open_ = (parent[other[first:last]] != parent[own[i]]) & (np.minimum(sizes, size) >= least * np.maximum(sizes, size))
+        if not open_.any():
+            continue
+        mine = left.hashes[left.begin[i] : left.begin[i] + size]
+        places = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+        places = places[values[places] == mine]
+        marked[places] = 1
+        begin = right.begin[first:last]
+        met = marked[codes[begin[0] : begin[-1] + sizes[-1]]]
+        both = np.add.reduceat(met, begin - begin[0], dtype=np.int64)
+        marked[places] = 0
+        linked = np.flatnonzero(open_ & (both >= least * (size + sizes - both)))
+        _merge(parent, np.full(len(linked), own[i]), other[first:last][linked])
+    star = np.flatnonzero(parent != np.arange(len(ids)))
+    return ids[star], ids[parent[star]]
+
+
+def verified(members: DataFrame, least: float) -> DataFrame:
+    """(a, b) stars of the pairs within a class whose sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    ``members``: (component, id, size, hashes), without empty sets. Small classes share a block, large ones are dealt
+    over several by id. A block is one row, and each pair of blocks of a class is compared in a task of its own, so all
+    pairs are decided while rows stay in proportion to the members.
+    """
+    spark = members.sparkSession
+    sizes = written(members.groupBy("component").agg(F.count("*").alias("many"), F.sum("size").alias("total")), "sizes")
+    wanted = F.ceil(F.greatest(F.col("many") / SETS, F.col("total") / HASHES)).alias("wanted")
+    large = sizes.select("component", wanted).where("wanted > 1").orderBy("component").collect()  # a block or more each
+    small = sizes.select(wanted, "many", "total").where("wanted <= 1").agg(F.sum("many"), F.sum("total")).first()
+    buckets = max(1, -(-(small[0] or 0) // SETS), -(-(small[1] or 0) // HASHES))
+    pairs = [(n, n) for n in range(buckets)]
+    spread, base = [], buckets
+    for row in large:
+        spread.append((row.component, base, row.wanted))
+        pairs += [(s, t) for s in range(base, base + row.wanted) for t in range(s, base + row.wanted)]
+        base += row.wanted
+    spread = spark.createDataFrame(spread, "component long, base long, many long")
+    block = F.coalesce(F.expr("base + pmod(xxhash64(id), many)"), F.expr(f"pmod(xxhash64(component), {buckets})"))
+    dealt = members.join(F.broadcast(spread), "component", "left").withColumn("block", block)
+
+    def block_of(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("component", "ascending"), ("id", "ascending")])
+        columns = [group[name].to_numpy().astype("<i8").tobytes() for name in ("component", "id", "size")]
+        columns.append(b"".join(group["hashes"].to_pylist()))
+        named = dict(zip(("groups", "ids", "sizes", "hashes"), columns, strict=True))
+        return pa.Table.from_pylist([{"block": group["block"][0].as_py(), **named}], schema=shape)
+
+    shape = pa.schema([("block", pa.int64()), *[(name, pa.binary()) for name in ("groups", "ids", "sizes", "hashes")]])
+    dealt = dealt.select("block", "component", "id", "size", "hashes")
+    blocks = written(dealt.groupBy("block").applyInArrow(block_of, "block long, groups binary, ids binary, sizes binary, hashes binary"), "blocks")
+    sides = [(block, n) for n, pair in enumerate(pairs) for block in sorted(set(pair))]
+    sides = spark.createDataFrame(sides, "block long, pair long")
+
+    def run(group: pa.Table) -> pa.Table:
+        sets = [
+            Sets(*[np.frombuffer(row[name], "<i8") for name in ("groups", "ids", "sizes")], np.frombuffer(row["hashes"], ">u8").astype(np.uint64))
+            for row in group.to_pylist()
+        ]
+        a, b = _link_sets(sets[0], sets[-1], least)
+        return pa.table({"a": a, "b": b})
+
+    rows = blocks.join(F.broadcast(sides), "block").repartition(max(1, min(len(pairs), 4 * parts(spark))), "pair")
+    return written(rows.groupBy("pair").applyInArrow(run, "a long, b long"), "verified")
+
+
 def deduplicate(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     words: int = 5,
+    least: float = 0.8,
     bits: int = 256,
-    radius: int = 48,
+    radius: int = 72,
 ) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the row with the smallest id stays.
 
-    Documents link when their fingerprints of five-word shingles differ in at most ``radius`` of ``bits`` bits. With 256
-    bits, a similarity of 0.8 means 39 differing bits on average and 6 in standard deviation, 0.9 means 27, 0.6 means
-    59, and unrelated texts 128. Rows with a null id stay. Of rows with one id (repeated rows) one stays. Texts
-    without words form one class. All columns are kept as they are.
+    Documents link when their sets of word shingles have a Jaccard similarity of ``least`` (above 0) or more. Fingerprints
+    of the sets find the candidates: they differ in at most ``radius`` of ``bits`` bits. With 256 bits, a similarity of
+    0.8 means 39 differing bits on average and 6 in standard deviation, for sets of 4 and 5 shingles 48, and unrelated
+    texts 128. All pairs within a class of candidates are then decided by their sets (64-bit hashes of the shingles),
+    also those that lie further apart. Rows with a null id stay. Of rows with one id (repeated rows) one stays.
+    Texts without words form one class. All columns are kept as they are.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words, bits), "prints")
-    classes = components(links(prints, bits, radius))
-    least_ids = prints.where("id is not null").groupBy("fingerprint").agg(F.min("id").alias("node"))
-    keep = least_ids.join(classes.where("node <> component").select("node"), "node", "left_anti").select("node")
+    prints = _set_prints(docs, id_col, text_col, words, bits)
+    nodes = written(prints.groupBy("fingerprint", "key").agg(F.min("id").alias("id")), "nodes")
+    # Different sets with one fingerprint are candidates like any others.
+    shared = nodes.groupBy("fingerprint").agg(F.min("id").alias("b"), F.count("*").alias("many")).where("many > 1")
+    shared = nodes.join(shared, "fingerprint").select(F.col("id").alias("a"), "b").where("a <> b")
+    candidates = components(links(nodes.select("id", "fingerprint"), bits, radius).unionByName(shared))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column("key").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                hashes = _digests(shingles(text, words), 1)[:, :8].tobytes()
+                out.append(hashes if xxhash.xxh3_128_digest(hashes) == key else b"")  # else another text of that id
+            sizes = pa.array([len(x) // 8 for x in out], pa.int64())
+            arrays = [*[batch.column(name) for name in ("component", "id", "key")], sizes, pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["component", "id", "key", "size", "hashes"])
+
+    wanted = nodes.join(candidates.withColumnRenamed("node", "id"), "id").select("component", "id", "key")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    members = texts.join(wanted, "id").select("component", "id", "key", "text")
+    members = members.mapInArrow(run, "component long, id long, key binary, size long, hashes binary").where("size > 0")
+    members = written(members.dropDuplicates(["id", "key"]).drop("key"), "members")
+    classes = components(verified(members, least))
+    keep = nodes.select(F.col("id").alias("node")).distinct()
+    keep = keep.join(classes.where("node <> component").select("node"), "node", "left_anti")
     ids = F.col(id_col).cast("long")
     unnamed = docs.where(F.col(id_col).isNull())
     kept = docs.join(keep.select(F.col("node").alias("__node")), ids == F.col("__node"), "left_semi")
