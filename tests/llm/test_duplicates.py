@@ -110,7 +110,7 @@ def test_deduplicate_keeps_one_of_each_class(spark, odd, none):
         rows.append(row(10 * i, " ".join(words)))
         for k in range(1, 4):
             edited = list(words)
-            for place in rng.sample(range(150), 1 + i % 2):
+            for place in rng.sample(range(150), 1 + i % 3):
                 edited[place] = f"edit{k}"
             rows.append(row(10 * i + k, " ".join(edited)))
     rows += [row(9000, rows[0][1]), row(9001, "unlike anything else"), row(9002, None), row(9003, "")]
@@ -144,3 +144,19 @@ def test_documents_below_the_similarity_stay(spark, monkeypatch):
     texts += [repeat + prose(rng, 60, 10**6), repeat + prose(rng, 60, 10**6)]
     kept = simhash.deduplicate(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA).repartition(4))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(len(texts)))
+
+
+def test_a_similarity_of_exactly_the_bound_links(spark):
+    rows = []
+    for i in range(240):  # 4 of 5, 8 of 10, 16 of 20 shingles, and 3 of 4, 7 of 9, 15 of 19 below the bound
+        words = [f"e{i}x{k}" for k in range(24)]
+        long, short = [(5, 4), (10, 8), (20, 16), (4, 3), (9, 7), (19, 15)][i % 6]
+        rows += [(10 * i, " ".join(words[: long + 4])), (10 * i + 1, " ".join(words[: short + 4]))]
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in rows]
+    expected = []
+    for n in range(0, len(rows), 2):
+        s, t = sets[n : n + 2]
+        expected += [rows[n][0]] if len(s & t) >= 0.8 * len(s | t) else [rows[n][0], rows[n + 1][0]]
+    assert 0 < len(rows) - len(expected) < len(rows) // 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == expected
