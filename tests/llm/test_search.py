@@ -71,16 +71,16 @@ def slow_items(text, items, least=0.8, wide=5):
     words, found = fold(text), set()
     for item, item_text in items:
         own = fold(item_text)
-        if not own or item is None or len(own) > len(words):
+        if not own or item is None:
             continue
         k = min(wide, len(own))
         bag = lambda ws: sorted(b" ".join(ws[i : i + k]) for i in range(len(ws) - k + 1))
         target = bag(own)
-        for start in range(len(words) - len(own) + 1):
+        for start in range(max(1, len(words) - len(own) + 1)):
             window, both = bag(words[start : start + len(own)]), 0
             for shingle in set(window):
                 both += min(window.count(shingle), target.count(shingle))
-            if both >= least * (2 * len(target) - both):
+            if both >= least * (len(window) + len(target) - both):
                 found.add(item)
                 break
     return found
@@ -110,3 +110,17 @@ def test_contamination_matches_brute_force(spark, odd, none, monkeypatch):
     assert clean.columns == docs.columns
     assert decontam.contamination(odd, benchmark.limit(0)).where("contaminated").count() == 0
     assert decontam.contamination(none, benchmark).count() == 0
+
+
+def test_documents_shorter_than_an_item_are_compared_whole(spark):
+    rng = random.Random(10)
+    items = [(i, prose(rng, n)) for i, n in enumerate([30, 30, 12, 9, 6, 5, 4, 60])]
+    rows = []
+    for i, text in items:
+        words = text.split()
+        rows += [(100 * i + cut, " ".join(words[:-cut])) for cut in (1, 2, 3)] + [(100 * i + 10 + cut, " ".join(words[cut:])) for cut in (1, 8)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.contamination(docs, benchmark).collect()}
+    assert {i: set(r.item_ids) for i, r in got.items()} == {i: slow_items(t, items) for i, t in rows}
+    assert got[1].similarity == pytest.approx(25 / 26) and got[1].start_word == 0 and got[301].similarity == pytest.approx(0.8)
+    assert not got[18].contaminated and not got[402].contaminated

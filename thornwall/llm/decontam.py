@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash windows of the size of the items.
+"""Benchmark decontamination by SimHash windows of the size of the items; a shorter document is one window.
 
 Every window of as many words as an item has gets the SimHash of its shingles. A multi-index over blocks of the items'
 fingerprints finds all items within the radius: two fingerprints that differ in fewer than (r + 1) * blocks bits agree
@@ -110,6 +110,7 @@ class Items:
             places = self._shared(codes, wide)
             if not len(places):
                 continue
+            self._whole(found, wide, best)
             # Stretches of neighbouring shared shingles, so that a long text is never fingerprinted at once.
             cuts = np.flatnonzero(np.diff(places) > STRETCH // 4) + 1
             for group in np.split(places, cuts):
@@ -142,13 +143,30 @@ class Items:
             apart = np.bitwise_count(prints[rows] ^ own[which]).sum(1)
             for n in np.flatnonzero(apart <= self.radius).tolist():
                 start, member = int(starts[rows[n]]), int(members[which[n]])
-                window = Counter(shingles[start : start + span])
-                item = self.counts[member]
-                both = sum(min(many, window[s]) for s, many in item.items() if s in window)
-                alike = both / (2 * span - both)
-                old = best.get(self.ids[member])
-                if alike >= self.least and (old is None or alike > old[0]):
-                    best[self.ids[member]] = (alike, first + start)
+                self._verify(Counter(shingles[start : start + span]), member, first + start, best)
+
+    def _whole(self, found: list[bytes], wide: int, best: dict[int, tuple[float, int]]) -> None:
+        """Compares a whole text with the longer items that it may still be similar enough to."""
+        many = len(found) - wide + 1
+        sizes = [s for s in self.sizes if s > len(found) and min(self.words, s) == wide and many >= self.least * (s - wide + 1)]
+        if not sizes:
+            return
+        shingles = [b" ".join(found[i : i + wide]) for i in range(many)]
+        mark = np.packbits(_bits(shingles).sum(0, dtype=np.int64) * 2 > many)
+        window = Counter(shingles)
+        for size in sizes:
+            members, own, _ = self.sizes[size]
+            for n in np.flatnonzero(np.bitwise_count(own ^ mark).sum(1) <= self.radius).tolist():
+                self._verify(window, int(members[n]), 0, best)
+
+    def _verify(self, window: Counter, member: int, start: int, best: dict[int, tuple[float, int]]) -> None:
+        """Keeps the window if its weighted similarity to an item is high enough and its best."""
+        item = self.counts[member]
+        both = sum(min(many, window[s]) for s, many in item.items() if s in window)
+        alike = both / (window.total() + item.total() - both)
+        old = best.get(self.ids[member])
+        if alike >= self.least and (old is None or alike > old[0]):
+            best[self.ids[member]] = (alike, start)
 
 
 def _mix(codes: np.ndarray, wide: int) -> np.ndarray:
@@ -190,7 +208,7 @@ def contamination(
 ) -> DataFrame:
     """(doc_id, contaminated, item_ids, similarity, start_word) of every row.
 
-    An item is in a document if a window of its number of words has a weighted similarity (sum of the smaller over sum
+    An item is in a document if a window of its number of words, or all of a shorter document, has a weighted similarity (sum of the smaller over sum
     of the larger counts of each shingle) of at least ``least``; start_word is where the best window begins, null
     without one. At a similarity of 0.8 fingerprints differ in 10 bits on average and 23 lie 4 standard deviations
     further. Items shorter than ``words`` words count as one shingle. Items without words or with a null id are passed
