@@ -149,3 +149,21 @@ def test_some_of_each_group_are_those_with_the_smallest_hashes(spark):
         expected += [(r.id, side) for r in ids]
     assert sorted(some_of_each(rows, "side", 30)) == sorted(expected)
     assert some_of_each(rows.limit(0), "side", 3) == []
+
+
+def test_all_of_a_run_without_spaces_is_scored():
+    run = "".join(chr(0x4E00 + 7 * i) for i in range(300))
+    for word in (run.encode(), b"x" * 20 + bytes(range(97, 123)) * 40, ("ab" + run).encode(), b"\x80" * 200):
+        words = toxicity.words_of(word)
+        assert max(map(len, words)) <= toxicity.PIECE
+        assert {word[i : i + 5] for i in range(len(word) - 4)} == {w[i : i + 5] for w in words for i in range(len(w) - 4)}
+    assert all(w.decode() in run for w in toxicity.words_of(run.encode()))
+    assert toxicity.words_of("Ab\u00a0c\u3000d\u2009e\u0085f".encode()) == [b"ab", b"c", b"d", b"e", b"f"]
+    network = toxicity.Network.fresh({}, 1)
+    network.weights["chars"] = np.random.default_rng(1).normal(size=network.weights["chars"].shape).astype(np.float32)
+    texts = [(run + end).encode() for end in ("\u6bd2\u6bd2\u6bd2", "\u82b1\u82b1\u82b1")]
+    texts += [("x" * 100 + end).encode() for end in ("good", "vile")]
+    scores = toxicity.Scorer(network).scores(texts)
+    assert scores[2] != scores[3]
+    last = [toxicity.Scorer(network).windows(words, toxicity.windows_of(len(words)))[-1] for words in map(toxicity.words_of, texts[:2])]
+    assert last[0] != last[1]

@@ -7,6 +7,7 @@ suit: after a first look at all windows, each labelled text teaches with its wor
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,23 +29,52 @@ WORD, CHAR, HIDDEN, LOOK, BUCKETS = 8, 12, 8, 8, 1 << 13
 DECAY = 1.5
 #: Windows of one text that training looks at, at most (chosen at random); scoring looks at all.
 TAUGHT = 500
+#: Bytes of a word at most, and bytes that the pieces of a longer run share at least: those of the longest n-gram.
+PIECE, SHARED = 32, 5
 #: Windows scored at once, and words that a worker remembers.
 BATCH, MEMO = 4096, 200_000
 
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else 32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256)
 )
+#: White space beyond ASCII in UTF-8.
+_SPACES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Words of a text: A-Z lower-cased, ASCII punctuation counts as white space."""
-    return text.translate(_FOLD).split()
+    """Words of a text: A-Z lower-cased, ASCII punctuation counts as white space, as does that of Unicode.
+
+    Runs of more than ``PIECE`` bytes (scripts without spaces, long lines) become overlapping words of that size.
+    """
+    if not text.isascii():
+        text = _SPACES.sub(b" ", text)
+    found = text.translate(_FOLD).split()
+    if max(map(len, found), default=0) <= PIECE:
+        return found
+    return [piece for word in found for piece in (_pieces(word) if len(word) > PIECE else (word,))]
+
+
+def _pieces(word: bytes) -> Iterator[bytes]:
+    """Overlapping pieces that begin and end between characters; each n-gram of the word is whole in one of them."""
+
+    def border(at: int) -> int:
+        for back in range(4):
+            if word[at - back] & 0xC0 != 0x80:
+                return at - back
+        return at  # not UTF-8
+
+    start = 0
+    while len(word) - start > PIECE:
+        stop = border(start + PIECE)
+        yield word[start:stop]
+        start = border(stop - SHARED)
+    yield word[start:]
 
 
 def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word index) of the 3-, 4- and 5-byte n-grams of each word between edge marks, in word order."""
-    joined = np.frombuffer(b"".join(b"<" + w[:64] + b">" for w in words), np.uint8).astype(np.uint64)
-    lengths = np.fromiter((min(len(w), 64) + 2 for w in words), np.int64, len(words))
+    joined = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
+    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     owner = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(joined))  # bytes from here to the end of the word
     buckets, owners = [], []
