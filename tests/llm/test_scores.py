@@ -167,3 +167,13 @@ def test_all_of_a_run_without_spaces_is_scored():
     assert scores[2] != scores[3]
     last = [toxicity.Scorer(network).windows(words, toxicity.windows_of(len(words)))[-1] for words in map(toxicity.words_of, texts[:2])]
     assert last[0] != last[1]
+
+
+def test_training_looks_at_all_windows_of_a_long_text(monkeypatch):
+    rng = __import__("random").Random(6)
+    texts, labels = _labelled(rng, 40)
+    texts.append(prose(rng, 40000) + " awful nasty vilea " + prose(rng, 40000))
+    shown = []
+    monkeypatch.setattr(toxicity, "_padded", lambda spans, codes, f=toxicity._padded: (shown.append(len(spans)), f(spans, codes))[1])
+    toxicity.train([t.encode() for t in texts], [*labels, 1], steps=1, rounds=1)
+    assert sum(shown) >= len(toxicity.windows_of(80003))

@@ -27,8 +27,6 @@ WINDOW, STRIDE = 32, 16
 WORD, CHAR, HIDDEN, LOOK, BUCKETS = 8, 12, 8, 8, 1 << 13
 #: Shrinking of embeddings per step, in learning rates: words that say nothing are forgotten.
 DECAY = 1.5
-#: Windows of one text that training looks at, at most (chosen at random); scoring looks at all.
-TAUGHT = 500
 #: Bytes of a word at most, and bytes that the pieces of a longer run share at least: those of the longest n-gram.
 PIECE, SHARED = 32, 5
 #: Windows scored at once, and words that a worker remembers.
@@ -249,7 +247,7 @@ class Trainer:
                 w[name] *= 1 - self.rate * DECAY
 
 
-def _padded(spans: list[tuple[int, int]], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _padded(spans: list[tuple[int, int]] | np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """([batch, WINDOW] codes, mask) of spans of ``codes``."""
     starts, stops = np.array(spans, np.int64).T
     places = starts[:, None] + np.arange(WINDOW)
@@ -331,32 +329,29 @@ def train(texts: list[bytes], labels: list[int], steps: int = 100, rounds: int =
     frequent = sorted(often.items(), key=lambda x: (-x[1], words[x[0]]))[:8000]
     vocabulary = {words[code]: n + 1 for n, (code, many) in enumerate(frequent) if many >= 3}
     network = Network.fresh(vocabulary, seed)
-    spans = []
-    for begin, own in zip(begins[:-1].tolist(), coded, strict=True):
-        own = windows_of(len(own))
-        if len(own) > TAUGHT:
-            own = [own[i] for i in sorted(rng.choice(len(own), TAUGHT, replace=False))]
-        spans.append([(begin + s, begin + e) for s, e in own])
+    # All windows of all texts as rows (begin, end), narrow so that long texts cost little memory.
+    spans = [np.array(windows_of(len(own)), np.int64).reshape(-1, 2) + begin for begin, own in zip(begins[:-1], coded, strict=True)]
+    owned = np.repeat(np.arange(len(spans)), [len(own) for own in spans])
+    flat = np.concatenate([*spans, np.zeros((0, 2), np.int64)])
+    del spans, coded
     target = np.array(labels, np.float32)
     trainer = Trainer(network)
 
-    def teach(chosen: list[tuple[tuple[int, int], float]], size: int = 256) -> None:
+    def teach(chosen: np.ndarray, size: int = 256) -> None:
         order = rng.permutation(len(chosen))
         for at in range(0, len(order), size):
-            part = [chosen[i] for i in order[at : at + size]]
-            rows, mask = _padded([s for s, _ in part], codes)
-            trainer.step(words, rows, mask, np.array([t for _, t in part], np.float32))
+            part = chosen[order[at : at + size]]
+            rows, mask = _padded(flat[part], codes)
+            trainer.step(words, rows, mask, target[owned[part]])
 
     # First look: as many windows of toxic as of clean texts, a toxic text's windows all called toxic.
-    pools = [[(s, float(t)) for own, t in zip(spans, target, strict=True) if t == side for s in own] for side in (0, 1)]
-    many = min(12000, *map(len, pools)) if all(pools) else 0
+    pools = [np.flatnonzero(target[owned] == side) for side in (0, 1)]
+    many = min(12000, *map(len, pools))
     if not many:
         return network
     while trainer.at < steps:
-        teach([pool[i] for pool in pools for i in rng.choice(len(pool), many, replace=False)])
+        teach(np.concatenate([pool[rng.choice(len(pool), many, replace=False)] for pool in pools]))
     begun = trainer.at
-    flat = [s for own in spans for s in own]
-    owned = np.repeat(np.arange(len(spans)), [len(own) for own in spans])
     starts = np.flatnonzero(np.r_[True, owned[1:] != owned[:-1]])
     for n in count():
         if n >= rounds and trainer.at - begun >= steps:
@@ -369,11 +364,10 @@ def train(texts: list[bytes], labels: list[int], steps: int = 100, rounds: int =
         values = np.concatenate(values)
         chosen = []
         for first, last in zip(starts.tolist(), [*starts[1:].tolist(), len(flat)], strict=True):
-            label = float(target[owned[first]])
-            top = np.argsort(-values[first:last])[: 1 if label else 3]
-            chosen += [(flat[first + int(k)], label) for k in top]
-        toxic = [c for c in chosen if c[1]]
-        teach(chosen + toxic * ((len(chosen) - len(toxic)) // (3 * len(toxic)) if toxic else 0))
+            top = np.argsort(-values[first:last])[: 1 if target[owned[first]] else 3]
+            chosen += (first + top).tolist()
+        toxic = [c for c in chosen if target[owned[c]]]
+        teach(np.array(chosen + toxic * ((len(chosen) - len(toxic)) // (3 * len(toxic)) if toxic else 0)))
         trainer.rate = max(0.002, 0.7 * trainer.rate)
     return network
 
