@@ -57,6 +57,17 @@ def test_a_full_walk_is_exact_with_ties_and_crowded_cells(spark, monkeypatch):
     assert ann.nearest(few, k=5, every=1, cells=4).groupBy("query_id").count().where("count > 2").count() == 0
 
 
+def test_one_vector_of_another_length_leaves_the_others(spark):
+    rng = np.random.default_rng(8)
+    ids, vectors = list(range(1, 81)), rng.normal(size=(80, 6))
+    rows = [(0, [1.0, 2.0]), (100, [1.0] * 9), *((i, v.tolist()) for i, v in zip(ids, vectors, strict=True))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(table, k=5, every=20, cells=4, share=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, pytest.approx(r.score)))
+    assert got == slow_nearest(ids, vectors, 5, 20)
+
+
 def test_the_walk_goes_by_rising_sums():
     rng = np.random.default_rng(7)
     left, right = rng.normal(size=9), rng.normal(size=7)

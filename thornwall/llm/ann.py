@@ -95,16 +95,18 @@ def nearest(
     ``cells`` centroids per half are fitted on ``sample`` rows at most (those with the smallest hash of the id); all
     rows are indexed. A query looks through cells that hold ``share`` of all rows, and 4 k at least: vectors
     without much structure, as here, need that for a recall of 0.9. Scores are inner products of the original vectors
-    in double precision. Vectors whose length differs from that of the smallest id take no part. Rows of one id are
+    in double precision. Vectors of another length than the commonest (of equally
+    common ones the largest) take no part. Rows of one id are
     one entry each, and none of them is a candidate of a query with that id.
     """
     spark = table.sparkSession
     valid = vectors_of(table, id_col, vector_col)
-    some = valid.orderBy("vec_id").limit(1).collect()
+    lengths = valid.groupBy(F.size("vector").alias("length")).count()
+    some = lengths.orderBy(F.desc("count"), F.desc("length")).limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not some:
         return spark.createDataFrame([], schema)
-    size = len(some[0].vector)
+    size = some[0].length
     half = size // 2
     valid = valid.where(F.size("vector") == size)
     fitted = np.array([r.vector for r in valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").collect()])
