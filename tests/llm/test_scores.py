@@ -125,9 +125,14 @@ def test_odd_texts_score_from_0_to_1(odd, none):
     assert toxicity.drop_toxic(none, none.selectExpr("doc_id", "score as toxic")).count() == 0
 
 
-def test_the_score_is_that_of_the_worst_window():
+def _sample(spark, texts, labels):
+    rows = [(i, n, t) for i, (t, n) in enumerate(zip(texts, labels, strict=True))]
+    return spark.createDataFrame(rows, "id long, label int, text string").repartition(3)
+
+
+def test_the_score_is_that_of_the_worst_window(spark):
     texts, labels = _labelled(__import__("random").Random(2), 60)
-    network = toxicity.train([t.encode() for t in texts], labels)
+    network = toxicity.train(_sample(spark, texts, labels), steps=20, rounds=2)
     scorer = toxicity.Scorer(network)
     for text, value in zip(texts[:20], scorer.scores([t.encode() for t in texts[:20]]), strict=True):
         words = toxicity.words_of(text.encode())
@@ -135,6 +140,46 @@ def test_the_score_is_that_of_the_worst_window():
         assert value == pytest.approx(max(alone), abs=1e-5)
 
 
+def plain_score(network, text):
+    """The network word by word and window by window, without batches, padding or remembered words."""
+    w = {k: v.astype(float) for k, v in network.weights.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    words = toxicity.words_of(text.encode())
+    best = 0.0
+    for first, last in toxicity.windows_of(len(words)):
+        vectors = []
+        for word in words[first:last]:
+            rows, _ = toxicity.char_grams([word])
+            chars = sum((w["chars"][r] for r in rows), np.zeros(toxicity.CHAR)) / np.sqrt(max(1, len(rows)))
+            vectors.append(np.concatenate([w["words"][network.vocabulary.get(word, 0)], chars]))
+        sides = []
+        for way, order in (("f", 1), ("b", -1)):
+            state, states, h = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+            for x in vectors[::order]:
+                gates = x @ w[f"in_{way}"] + w[f"bias_{way}"]
+                update, reset = (sigmoid(gates[n * h : (n + 1) * h] + state @ w[f"re_{way}"][:, n * h : (n + 1) * h]) for n in (0, 1))
+                fresh = np.tanh(gates[2 * h :] + (reset * state) @ w[f"re_{way}"][:, 2 * h :])
+                state = state + update * (fresh - state)
+                states.append(state)
+            sides.append(states[::order])
+        hidden = np.concatenate([np.array(side) for side in sides], axis=1)
+        share = np.exp(np.tanh(hidden @ w["look"]) @ w["ask"])
+        best = max(best, float(sigmoid((share / share.sum()) @ hidden @ w["out"] + w["bias"])[0]))
+    return best
+
+
+def test_the_query_scores_like_a_plain_network(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    network = toxicity.learn(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = QUERIES["op6_toxicity"](spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    short = [r for r in got if len(texts[r.doc_id]) < 4000][:60]
+    for r in short:
+        assert r.score == pytest.approx(plain_score(network, texts[r.doc_id]), abs=1e-4)
+        assert r.predicted == int(r.score >= 0.7)
+
+
 def test_some_of_each_group_are_those_with_the_smallest_hashes(spark):
     from pyspark.sql import functions as F
 
@@ -169,11 +214,22 @@ def test_all_of_a_run_without_spaces_is_scored():
     assert last[0] != last[1]
 
 
-def test_training_looks_at_all_windows_of_a_long_text(monkeypatch):
+def test_every_window_of_a_long_text_is_looked_at(spark, monkeypatch):
     rng = __import__("random").Random(6)
     texts, labels = _labelled(rng, 40)
-    texts.append(prose(rng, 40000) + " awful nasty vilea " + prose(rng, 40000))
-    shown = []
-    monkeypatch.setattr(toxicity, "_padded", lambda spans, codes, f=toxicity._padded: (shown.append(len(spans)), f(spans, codes))[1])
-    toxicity.train([t.encode() for t in texts], [*labels, 1], steps=1, rounds=1)
-    assert sum(shown) >= len(toxicity.windows_of(80003))
+    texts.append(prose(rng, 90000) + " awful nasty vilea " + prose(rng, 90000))
+    network = toxicity.Network.fresh({b"awful": 1, b"nasty": 1, b"vilea": 1})
+    network.weights["words"][1] = 3
+    network.weights["chars"][:] = 0
+    network.weights["out"] = np.sign(toxicity.Scorer(network).network.weights["out"]) * 2
+    sample = _sample(spark, texts, [*labels, 1])
+    one = max(toxicity.Scorer(network).scores([b"awful nasty vilea", b"other plain words"]))
+    if toxicity.Scorer(network).scores([b"awful nasty vilea"])[0] < one:
+        network.weights["out"] *= -1
+    worst = toxicity._worst_windows(sample, network)
+    assert len(worst) == 21 + 3 * 20 - sum(max(0, 3 - len(toxicity.windows_of(len(t.split())))) for t, n in zip(texts, labels) if not n)
+    assert b"awful nasty vilea" in worst[-1][1]
+    first = toxicity._first_windows(sample, 50)
+    assert [n for n, _ in first] == [0] * 50 + [1] * 50
+    assert len(toxicity._first_windows(sample, 10**6)) == 2 * sum(len(toxicity.windows_of(len(t.split()))) for t, n in zip(texts, labels) if not n)
+    assert toxicity._frequent_words(sample, 5) == sorted(toxicity._frequent_words(sample, 5), key=lambda w: (-sum(w in toxicity.words_of(t.encode()) for t in texts), w))

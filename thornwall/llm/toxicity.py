@@ -2,23 +2,24 @@
 
 A word enters as the embedding of itself, if training saw it often enough, and the mean embedding of its character
 n-grams. Texts are scored in overlapping windows of words; a text's score is that of its worst window. Training follows
-suit: after a first look at all windows, each labelled text teaches with its worst window only.
+suit: after a first look at windows from all over the labelled texts, each text teaches with its worst windows only,
+which Spark's tasks find among all of its windows, round by round.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thornwall.llm.common import some_of_each, text_bytes
+from thornwall.llm.common import parts, some_of_each, text_bytes, written
 from thornwall.llm.langid import in_fold
 
 #: Words of a window and words from one window to the next.
@@ -31,6 +32,8 @@ DECAY = 1.5
 PIECE, SHARED = 32, 5
 #: Windows scored at once, and words that a worker remembers.
 BATCH, MEMO = 4096, 200_000
+#: Words of a very long text that are scored at once.
+SECTION = STRIDE * BATCH
 
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else 32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256)
@@ -281,9 +284,9 @@ class Scorer:
             out.append(self.network.forward(self.table[rows.T], mask.T))
         return np.concatenate(out)
 
-    def scores(self, texts: Iterator[bytes] | list[bytes]) -> list[float]:
-        """The score of each text's worst window, 0 for a text without words."""
-        result: list[float] = []
+    def worst(self, texts: Iterable[bytes], many: Sequence[int]) -> list[list[tuple[float, bytes]]]:
+        """(score, words) of the so many worst windows of each text, worst first; none for a text without words."""
+        result: list[list[tuple[float, bytes]]] = []
         words: list[bytes] = []
         spans: list[tuple[int, int]] = []
         owners: list[int] = []
@@ -293,99 +296,162 @@ class Scorer:
             if spans:
                 values, owned = self.windows(words, spans), np.array(owners)
                 starts = np.flatnonzero(np.r_[True, owned[1:] != owned[:-1]])
-                for doc, value in zip(owned[starts].tolist(), np.maximum.reduceat(values, starts).tolist(), strict=True):
-                    result[doc] = max(result[doc], value)
+                for first, last in zip(starts.tolist(), [*starts[1:].tolist(), len(owned)], strict=True):
+                    doc = owners[first]
+                    top = first + np.argsort(-values[first:last], kind="stable")[: many[doc]]
+                    found = [(float(values[n]), b" ".join(words[slice(*spans[n])])) for n in top.tolist()]
+                    result[doc] = sorted(result[doc] + found, key=lambda x: -x[0])[: many[doc]]
             words, spans, owners = [], [], []
 
         for text in texts:
-            result.append(0.0)
+            result.append([])
             found = words_of(text)
-            own = windows_of(len(found))
-            spans += [(len(words) + start, len(words) + stop) for start, stop in own]
-            owners += [len(result) - 1] * len(own)
-            words += found
-            if len(spans) >= BATCH:
-                flush()
+            for at in range(0, len(found), SECTION):  # a very long text in sections of whole windows
+                section = found[at : at + SECTION + WINDOW - STRIDE]
+                own = windows_of(len(section))
+                spans += [(len(words) + start, len(words) + stop) for start, stop in own]
+                owners += [len(result) - 1] * len(own)
+                words += section
+                if len(spans) >= BATCH:
+                    flush()
         flush()
         return result
 
+    def scores(self, texts: Iterable[bytes]) -> list[float]:
+        """The score of each text's worst window, 0 for a text without words."""
+        texts = list(texts)
+        return [found[0][0] if found else 0.0 for found in self.worst(texts, [1] * len(texts))]
 
-def train(texts: list[bytes], labels: list[int], steps: int = 100, rounds: int = 5, seed: int = 0) -> Network:
-    """A network from labelled texts, alike at every run: at least ``steps`` steps of each kind of teaching.
 
-    Without texts of both labels it stays untrained and scores near one half at most.
-    """
-    rng = np.random.default_rng(seed)
-    place: dict[bytes, int] = {}
-    often: Counter = Counter()
-    coded: list[np.ndarray] = []
-    for text in texts:
-        found = words_of(text)
-        coded.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.int32, len(found)))
-        often.update(np.unique(coded[-1]).tolist())
-    words = list(place)
-    codes = np.concatenate(coded) if coded else np.zeros(0, np.int32)
-    begins = np.cumsum([0, *map(len, coded)])
-    frequent = sorted(often.items(), key=lambda x: (-x[1], words[x[0]]))[:8000]
-    vocabulary = {words[code]: n + 1 for n, (code, many) in enumerate(frequent) if many >= 3}
-    network = Network.fresh(vocabulary, seed)
-    # All windows of all texts as rows (begin, end), narrow so that long texts cost little memory.
-    spans = [np.array(windows_of(len(own)), np.int64).reshape(-1, 2) + begin for begin, own in zip(begins[:-1], coded, strict=True)]
-    owned = np.repeat(np.arange(len(spans)), [len(own) for own in spans])
-    flat = np.concatenate([*spans, np.zeros((0, 2), np.int64)])
-    del spans, coded
-    target = np.array(labels, np.float32)
-    trainer = Trainer(network)
+#: (label, words joined by a space) of a window.
+Window = tuple[int, bytes]
+
 
-    def teach(chosen: np.ndarray, size: int = 256) -> None:
-        order = rng.permutation(len(chosen))
-        for at in range(0, len(order), size):
-            part = chosen[order[at : at + size]]
-            rows, mask = _padded(flat[part], codes)
-            trainer.step(words, rows, mask, target[owned[part]])
+def _frequent_words(sample: DataFrame, vocabulary: int) -> list[bytes]:
+    """The words of three texts or more, those of the most texts first, counted over whole texts."""
 
-    # First look: as many windows of toxic as of clean texts, a toxic text's windows all called toxic.
-    pools = [np.flatnonzero(target[owned] == side) for side in (0, 1)]
-    many = min(12000, *map(len, pools))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            often: Counter = Counter()
+            for text in text_bytes(batch.column(0)):
+                often.update(set(words_of(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(often), pa.binary()), pa.array(list(often.values()), pa.int64())], names=["word", "many"])
+
+    counted = sample.select("text").mapInArrow(run, "word binary, many long").groupBy("word").agg(F.sum("many").alias("many"))
+    return [row.word for row in counted.where("many >= 3").orderBy(F.desc("many"), "word").limit(vocabulary).collect()]
+
+
+def _first_windows(sample: DataFrame, look: int) -> list[Window]:
+    """As many windows of one label as of the other, ``look`` at most: those of all windows with the smallest hashes."""
+
+    def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = [len(windows_of(len(words_of(text)))) for text in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many, pa.int64())], names=["label", "many"])
+
+    counted = sample.select("label", "text").mapInArrow(count_windows, "label int, many long").groupBy("label").agg(F.sum("many").alias("many"))
+    counts = {row.label: row.many for row in counted.collect()}
+    many = min(look, counts.get(0, 0), counts.get(1, 0))
     if not many:
+        return []
+    below = {label: min(1.0, (many + 10 * many**0.5) / count) for label, count in counts.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
+                found = words_of(text)
+                for start, stop in windows_of(len(found)):
+                    place = xxhash.xxh64_intdigest(f"{doc}:{start}") >> 1
+                    if place < below[label] * (1 << 63):
+                        rows.append({"place": place, "doc": doc, "start": start, "label": label, "words": b" ".join(found[start:stop])})
+            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+
+    shape = pa.schema([("place", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("label", pa.int32()), ("words", pa.binary())])
+    rows = sample.select("id", "label", "text").mapInArrow(run, "place long, doc long, start long, label int, words binary").collect()
+    rows.sort(key=lambda row: (row.place, row.doc, row.start))
+    return [(label, bytes(row.words)) for label in (0, 1) for row in [r for r in rows if r.label == label][:many]]
+
+
+def _worst_windows(sample: DataFrame, network: Network) -> list[Window]:
+    """Of all windows of each text those that score highest: one of a toxic text, three of a clean one."""
+    shared = sample.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            labels = batch.column(1).to_pylist()
+            rows = [
+                {"doc": doc, "place": place, "label": label, "words": words}
+                for doc, label, found in zip(batch.column(0).to_pylist(), labels, scorer.worst(text_bytes(batch.column(2)), [1 if x else 3 for x in labels]), strict=True)
+                for place, (_, words) in enumerate(found)
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+
+    shape = pa.schema([("doc", pa.int64()), ("place", pa.int64()), ("label", pa.int32()), ("words", pa.binary())])
+    rows = sample.select("id", "label", "text").mapInArrow(run, "doc long, place long, label int, words binary").collect()
+    shared.destroy()
+    rows.sort(key=lambda row: (row.doc, row.place))
+    return [(row.label, bytes(row.words)) for row in rows]
+
+
+def train(sample: DataFrame, look: int = 12_000, vocabulary: int = 8_000, rounds: int = 5, steps: int = 100, seed: int = 0) -> Network:
+    """A network from ``sample`` (id, label 0 or 1, text), one row per id, alike at every run.
+
+    Texts stay in Spark's tasks: these count the words, pick the windows of a first look (``look`` of each label at most,
+    spread over all windows by hash) and, round by round, score every window of every text with the weights of the moment
+    and send back the worst ones. The driver holds windows, and takes at least ``steps`` steps on the first look and on
+    all rounds together. Without texts of both labels the network stays untrained and scores near one half.
+    """
+    rng = np.random.default_rng(seed)
+    first = _first_windows(sample, look)
+    network = Network.fresh({word: n + 1 for n, word in enumerate(_frequent_words(sample, vocabulary))}, seed)
+    if not first:
         return network
-    while trainer.at < steps:
-        teach(np.concatenate([pool[rng.choice(len(pool), many, replace=False)] for pool in pools]))
-    begun = trainer.at
-    starts = np.flatnonzero(np.r_[True, owned[1:] != owned[:-1]])
-    for n in count():
-        if n >= rounds and trainer.at - begun >= steps:
-            break
-        table = network.gates(network.inputs(words)[0])
-        values = []
-        for at in range(0, len(flat), BATCH):
-            rows, mask = _padded(flat[at : at + BATCH], codes)
-            values.append(network.forward(table[rows.T], mask.T))
-        values = np.concatenate(values)
-        chosen = []
-        for first, last in zip(starts.tolist(), [*starts[1:].tolist(), len(flat)], strict=True):
-            top = np.argsort(-values[first:last])[: 1 if target[owned[first]] else 3]
-            chosen += (first + top).tolist()
-        toxic = [c for c in chosen if target[owned[c]]]
-        teach(np.array(chosen + toxic * ((len(chosen) - len(toxic)) // (3 * len(toxic)) if toxic else 0)))
+    trainer = Trainer(network)
+
+    def teach(windows: list[Window], least: int, size: int = 256) -> None:
+        begun = trainer.at
+        while trainer.at == begun or trainer.at - begun < least:
+            order = rng.permutation(len(windows))
+            for at in range(0, len(order), size):
+                chosen = [windows[n] for n in order[at : at + size].tolist()]
+                found = [words.split() for _, words in chosen]
+                place: dict[bytes, int] = {}
+                codes = np.array([place.setdefault(w, len(place)) for words in found for w in words], np.int64)
+                stops = np.cumsum([len(words) for words in found])
+                rows, mask = _padded(np.stack([np.r_[0, stops[:-1]], stops], axis=1), codes)
+                trainer.step(list(place), rows, mask, np.array([label for label, _ in chosen], np.float32))
+
+    teach(first, steps)  # every window of a toxic text counts as toxic
+    del first
+    for _ in range(rounds):
+        worst = _worst_windows(sample, network)
+        toxic = [w for w in worst if w[0]]
+        teach(worst + toxic * ((len(worst) - len(toxic)) // (3 * len(toxic))), -(-steps // rounds))
         trainer.rate = max(0.002, 0.7 * trainer.rate)
     return network
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, per_label: int = 1500) -> Network:
-    """A network from labelled documents outside a fold: at most ``per_label`` of each label, smallest hash of id first.
+def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, per_label: int = 1500) -> DataFrame:
+    """(id, label, text) of labelled documents outside a fold: at most ``per_label`` of each label, smallest hash of id first.
 
-    Rows with a null id, text or label teach nothing. A document with both labels counts as toxic.
+    Rows with a null id, text or label teach nothing. A document with both labels counts as toxic; of several texts of one
+    id the first in order counts.
     """
     marked = labels.where(F.col("toxic").isNotNull() & ~in_fold("doc_id", folds, fold))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("toxic") > 0).cast("int").alias("label"))
     texts = docs.where("text is not null and doc_id is not null")
-    joined = marked.join(texts.select(F.col("doc_id").cast("long").alias("id")).distinct(), "id")
-    label_of = dict(some_of_each(joined, "label", per_label))
-    wanted = texts.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = {row.id: row.text.encode() for row in wanted.where(F.col("id").isin(list(label_of))).toLocalIterator()}
-    ids = sorted(found)
-    return train([found.pop(i) for i in ids], [label_of[i] for i in ids])
+    texts = texts.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    chosen = some_of_each(marked.join(texts.select("id").distinct(), "id"), "label", per_label)
+    ids = docs.sparkSession.createDataFrame(chosen, "id long, label int")  # 2 * per_label rows at most
+    found = texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    return written(found.repartition(parts(docs.sparkSession), "id"), "labelled")
+
+
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, per_label: int = 1500, **options) -> Network:
+    """A network from a sample of labelled documents outside a fold (``labelled_sample``), ``options`` going to ``train``."""
+    return train(labelled_sample(docs, labels, folds, fold, per_label), **options)
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -412,7 +478,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores below ``threshold``, with all their columns; learns outside one fold.
 
-    The score rides along as the rows pass, so nothing is shuffled.
+    Null, empty and wordless texts score 0 and stay, as do rows with a null id whose text is clean; repeated rows are
+    decided alike, each by its text. An empty table gives an empty one. Without labels of both kinds the network knows
+    nothing and scores near one half, so all rows stay. The score rides along as the rows pass, so nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     names = docs.columns
