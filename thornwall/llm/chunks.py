@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thornwall.llm.common import free_name, looked_up, task_name, text_bytes, written
+from thornwall.llm.common import looked_up, numbered, task_name, text_bytes, written
 
 #: Bytes of a chunk: at least, on average beyond that (a power of two), at most.
 LEAST, SPREAD, MOST = 1024, 4096, 16384
@@ -165,8 +165,7 @@ def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
     Rows are numbered and stored, decided by number, and their texts moved once more at most.
     """
-    name = free_name(docs, "row")
-    stored = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    stored, name = numbered(docs)
     order = F.struct(F.col(id_col).cast("long").alias("id"), F.col(name).alias("row"))
     ranked = stored.select(order.alias("order"), F.col(text_col).alias("text"))
     recipes = verified_recipes(ranked.select(F.col("order.row").alias("doc_id"), "text"))

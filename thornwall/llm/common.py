@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +34,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` stored with a number for each row, and the name of that column, which none of them has."""
+    name = free_name(docs, "row")
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def looked_up(rows: DataFrame, groups: DataFrame, key: str, spread: str, hot: int = 1024) -> DataFrame:
     """``rows`` with the columns of ``groups``, which has one row per ``key`` and counts its rows in ``many``; else nulls.
 
@@ -52,37 +62,54 @@ def text_bytes(column) -> list[bytes]:
     return [value or b"" for value in column.cast("binary").to_pylist()]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a long, b long): (node, component), the component being its smallest node.
-
-    Each round points every node at its smallest neighbour and then contracts the edges, so the edge table
-    shrinks; the maps of the rounds are composed at the end. Every round is written to the shared folder.
-    Nodes without an edge to another node are not in the result. Null ends are ignored.
+def _trees(edges: DataFrame) -> DataFrame:
+    """(node, root): the components of few edges, found by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(batch["a"].to_numpy(), batch["b"].to_numpy()) for batch in batches if batch.num_rows]
+        if not held:
+            return
+        ends = [np.concatenate(side) for side in zip(*held, strict=True)]
+        nodes = np.unique(np.concatenate(ends))
+        a, b = (np.searchsorted(nodes, side) for side in ends)
+        parent = np.arange(len(nodes))
+        while len(a):
+            a, b = parent[a], parent[b]
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while (up := parent[parent]).tobytes() != parent.tobytes():
+                parent = up
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[parent])], names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, few: int = 1 << 20) -> DataFrame:
+    """Connected components of ``edges`` (a long, b long): (node, root), the root being one node of the component.
+
+    Each round every node goes to the neighbour (or itself) with the smallest hash, by another hash each round, and the
+    edges are contracted. Whatever the order of the nodes, about half of them or fewer are left, so rounds grow with the
+    logarithm of the longest chain; once at most ``few`` edges are left, one task ends it. Rounds are written to the
+    shared folder and composed at the end. A node with many edges is spread. Nodes without an edge to another node are not
+    in the result. Null ends are ignored.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    maps = []
+    maps: list[DataFrame] = []
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while not edges.isEmpty():
+    while edges.count() > few:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = written(
-            both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")),
-            "up",
-        )
-        maps.append(up)
-        moved = (
-            edges.join(up.toDF("a", "ua"), "a").join(up.toDF("b", "ub"), "b")
-            .where("ua <> ub")
-            .select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b"))
-            .distinct()
-        )
-        edges = written(moved, "edges")
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    result = maps[-1].toDF("node", "component")
-    for up in reversed(maps[:-1]):
-        result = up.join(result.toDF("up", "component"), "up", "left").select(
-            "node", F.coalesce("component", "up").alias("component")
-        )
+        own, other = (F.xxhash64(F.lit(len(maps)), F.col(side)) for side in ("a", "b"))
+        near = both.select(F.col("a").alias("node"), "b", own.alias("own"), other.alias("other"))
+        lowest = near.groupBy("node", "own").agg(F.min("other").alias("least"), F.min_by("b", "other").alias("b"), F.count("*").alias("many"))
+        up = written(lowest.select("node", F.when(F.col("own") <= F.col("least"), F.col("node")).otherwise(F.col("b")).alias("up"), "many"), "up")
+        maps.append(up.select("node", "up"))
+        moved = looked_up(edges, up.toDF("a", "ua", "many"), "a", "b").drop("many")
+        moved = looked_up(moved, up.toDF("b", "ub", "many"), "b", "a").where("ua <> ub")
+        edges = written(moved.select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b")).distinct(), "edges")
+    result = written(_trees(edges), "trees")
+    for up in reversed(maps):
+        result = up.join(result.toDF("up", "root"), "up", "left").select("node", F.coalesce("root", "up").alias("root"))
     return result
 
 

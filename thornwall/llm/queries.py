@@ -12,7 +12,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, folder, "documents"), words=3, bits=64, radius=3)
+    return simhash.near_duplicates(_table(spark, folder, "documents"), words=3, radius=3)
 
 
 def op2_multi_index(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,31 +5,28 @@ population counts lie within the radius of each other; inside a pair of tiles, b
 exclusive-or and bit counts unless the counts of their 16-bit parts already differ by more than the radius. A pair
 of tiles returns a star per set of linked fingerprints instead of all linked pairs, so a large group of near copies
 costs rows in proportion to its size. The comparison stays quadratic in the number of different fingerprints, with
-tiles of at most ``MAX_TILE`` rows; nothing of it passes through the driver but the range of counts of each tile.
-
-Where documents are dropped, fingerprints only find candidates: the pairs within a class of candidates are decided by
-the similarity of their sets of shingles, in pairs of blocks that again return stars.
+tiles of at most ``MAX_TILE`` rows; which tiles meet is worked out in Spark as well. Fingerprints are the nodes of the
+links, so two texts under one id are two nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from thornwall.llm.common import components, parts, text_bytes, written
+from thornwall.llm.common import components, looked_up, numbered, parts, text_bytes, written
 
 #: Rows of a tile: a sixteenth of the fingerprints within these bounds.
 MIN_TILE, MAX_TILE = 8192, 1 << 21
 #: Shingles whose bits are counted at once, and rows and columns of a compared block.
 STEP, ROWS, COLUMNS = 1 << 16, 256, 8192
-#: Sets of shingles in a block that is verified, and hashes in it, on average at most.
-SETS, HASHES = 1024, 1 << 20
+BITS = 64
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -46,57 +43,43 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return [joined[i:j] for i, j in zip(starts, (ends[min(words, len(found)) - 1 :] - 1).tolist())]
 
 
-def fingerprint(text: bytes, words: int, bits: int) -> bytes:
-    """Bit by bit the strict majority over the hashes of all shingles; all zero without shingles.
-
-    64 bits: XXH64 with seed 42. A multiple of 128 bits: XXH3-128 with seeds from 0 on. Ties give 0.
-    """
+def fingerprint(text: bytes, words: int) -> bytes:
+    """Bit by bit the strict majority over the XXH64 hashes (seed 42) of all shingles; zero without shingles, ties give 0."""
     found = shingles(text, words)
-    counts = np.zeros(bits, np.int64)
-    seeds = range(bits // 128)
+    counts = np.zeros(BITS, np.int64)
     for at in range(0, len(found), STEP):
-        piece = found[at : at + STEP]
-        if bits == 64:
-            digests = [xxhash.xxh64_digest(s, 42) for s in piece]
-        else:
-            digests = [xxhash.xxh3_128_digest(s, seed) for s in piece for seed in seeds]
-        rows = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, bits // 8)
+        digests = [xxhash.xxh64_digest(s, 42) for s in found[at : at + STEP]]
+        rows = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, BITS // 8)
         counts += np.unpackbits(rows, axis=1).sum(0, dtype=np.int64)
     return np.packbits(counts * 2 > len(found)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64) -> DataFrame:
-    """(id, fingerprint binary) of every row; equal texts in one batch are computed once. Null text is empty text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """(id, fingerprint long) of every row; equal texts in one batch are computed once. Null text is empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, bytes] = {}
+            seen: dict[bytes, int] = {}
             out = []
             for text in text_bytes(batch.column(1)):
                 if text not in seen:
-                    seen[text] = fingerprint(text, words, bits)
+                    seen[text] = int.from_bytes(fingerprint(text, words), "big", signed=True)
                 out.append(seen[text])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fingerprint binary")
+    return rows.mapInArrow(run, "id long, fingerprint long")
 
 
-def _tiles(prints: DataFrame, bits: int, radius: int) -> DataFrame:
-    """One row per tile: (tile, low, high, prints binary, ids binary), sorted by population counts."""
-    spark = prints.sparkSession
-    distinct = written(prints.where("id is not null").groupBy("fingerprint").agg(F.min("id").alias("id")), "distinct")
+def _tiles(distinct: DataFrame) -> DataFrame:
+    """One row per tile of the column fingerprint: (tile, low, high, prints binary), sorted by population counts."""
+    spark = distinct.sparkSession
     total = distinct.count()
     tile = min(MAX_TILE, max(MIN_TILE, -(-total // 16)))
-    ones = [
-        F.expr(f"bit_count(cast(conv(hex(substring(fingerprint, {2 * i + 1}, 2)), 16, 10) as int))") for i in range(bits // 16)
-    ]
-    counted = distinct.select("fingerprint", "id", *[one.alias(f"p{i}") for i, one in enumerate(ones)])
-    keys = [sum((F.col(f"p{i}") for i in range(1, bits // 16)), F.col("p0")).alias("ones"), *[f"p{i}" for i in range(3)]]
-    counted = counted.select("fingerprint", "id", *keys)
+    pieces = [F.bit_count(F.shiftright("fingerprint", 16 * n).bitwiseAND(F.lit(0xFFFF).cast("long"))) for n in (3, 2, 1)]
+    keys = [F.bit_count("fingerprint").alias("ones"), *[piece.alias(f"p{n}") for n, piece in enumerate(pieces)]]
+    counted = distinct.select("fingerprint", *keys)
     many = max(1, min(parts(spark), -(-total // tile)))
-    # Counts deviate by sqrt(bits) / 2; with a radius of eight times that, an order of tiles by counts rules out none.
-    ordered = radius < 4 * bits**0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -106,12 +89,11 @@ def _tiles(prints: DataFrame, bits: int, radius: int) -> DataFrame:
 
         def out(table: pa.Table) -> pa.RecordBatch:
             nonlocal base
-            row = [base, table["ones"][0].as_py(), table["ones"][-1].as_py()]
-            row += [b"".join(table["fingerprint"].to_pylist()), table["id"].to_numpy().astype("<i8").tobytes()]
+            row = [base, table["ones"][0].as_py(), table["ones"][-1].as_py(), table["fingerprint"].to_numpy().astype("<i8").tobytes()]
             base += 1
-            return pa.RecordBatch.from_pylist([dict(zip(["tile", "low", "high", "prints", "ids"], row, strict=True))], schema=shape)
+            return pa.RecordBatch.from_pylist([dict(zip(shape.names, row, strict=True))], schema=shape)
 
-        shape = pa.schema([("tile", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("prints", pa.binary()), ("ids", pa.binary())])
+        shape = pa.schema([("tile", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("prints", pa.binary())])
         rows = 0
         for batch in batches:
             held.append(batch)
@@ -124,9 +106,9 @@ def _tiles(prints: DataFrame, bits: int, radius: int) -> DataFrame:
         if rows:
             yield out(pa.Table.from_batches(held))
 
-    counted = counted.repartitionByRange(many, *counted.columns[2:], "fingerprint") if ordered else counted.repartition(many)
-    sorted_rows = counted.sortWithinPartitions(*counted.columns[2:])
-    return written(sorted_rows.mapInArrow(run, "tile long, low int, high int, prints binary, ids binary"), "tiles")
+    counted = counted.repartitionByRange(many, "ones", "p0", "p1", "p2", "fingerprint")
+    sorted_rows = counted.sortWithinPartitions("ones", "p0", "p1", "p2")
+    return written(sorted_rows.mapInArrow(run, "tile long, low int, high int, prints binary"), "tiles")
 
 
 def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -142,7 +124,7 @@ def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def compare(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of all rows within the radius; rows are uint64 words, sorted by population counts."""
+    """(i, j) of all rows [n, 1] of uint64 within the radius, sorted by population counts."""
 
     def boxes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ones = np.bitwise_count(np.ascontiguousarray(rows).view(np.uint16).reshape(len(rows), -1)).astype(np.int16)
@@ -161,254 +143,86 @@ def compare(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[
         rows = left[k * ROWS : (k + 1) * ROWS]
         for at in range(0, len(columns), COLUMNS):
             chosen = columns[at : at + COLUMNS]
-            apart = np.bitwise_count(rows[:, :1] ^ right[chosen, 0])
-            if left.shape[1] > 1:  # one word alone rules out little where the radius is large
-                apart += np.bitwise_count(rows[:, 1:2] ^ right[chosen, 1])
-            i, j = np.nonzero(apart <= radius)
-            apart = apart[i, j]
-            for word in range(2, left.shape[1]):
-                apart = apart + np.bitwise_count(rows[i, word] ^ right[chosen[j], word])
-                kept = apart <= radius
-                i, j, apart = i[kept], j[kept], apart[kept]
+            i, j = np.nonzero(np.bitwise_count(rows ^ right[chosen, 0]) <= radius)
             if len(i):
                 yield i + k * ROWS, chosen[j]
 
 
-def links(prints: DataFrame, bits: int, radius: int) -> DataFrame:
-    """(a, b) between the smallest ids of different fingerprints that differ in at most ``radius`` bits.
+def links(distinct: DataFrame, radius: int) -> DataFrame:
+    """(a, b) between different values of the column fingerprint that differ in at most ``radius`` bits.
 
     They come as stars, one per set that the links of a pair of tiles connect: what is connected is as with all links.
     """
-    spark = prints.sparkSession
-    tiles = _tiles(prints, bits, radius)
-    ranges = tiles.select("tile", "low", "high").collect()  # one row per tile
-    ranges.sort()
-    pairs = [
-        (s.tile, t.tile)
-        for n, s in enumerate(ranges)
-        for t in ranges[n:]
-        if max(s.low, t.low) - min(s.high, t.high) <= radius
-    ]
-    sides = [(t, n, side) for n, pair in enumerate(pairs) for side, t in enumerate(pair)]
-    sides = spark.createDataFrame(sides, "tile long, pair long, side int")
-    words = bits // 64
+    tiles = _tiles(distinct)
+    # Tiles in their order; each meets itself and the later ones whose counts lie within the radius. One narrow row a pair.
+    named = tiles.select("tile", "low", "high", (F.row_number().over(Window.orderBy("tile")) - 1).alias("no"))
+    last = F.max("no").over(Window.partitionBy())
+    reach = named.withColumn("last", last).select("tile", "high", "no", F.explode(F.sequence("no", "last")).alias("other"))
+    later = named.select(F.col("no").alias("other"), F.col("tile").alias("second"), F.col("low").alias("begin"))
+    pairs = reach.join(later, "other").where(F.col("begin") - F.col("high") <= radius)
+    pair = F.concat_ws("-", "tile", "second").alias("pair")
+    sides = pairs.select(pair, F.explode(F.array(F.struct("tile", F.lit(0).alias("side")), F.struct(F.col("second").alias("tile"), F.lit(1).alias("side")))).alias("s"))
+    sides = written(sides.select("pair", "s.tile", "s.side"), "pairs")
 
     def run(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["side"].to_numpy())
-        prints_of = [np.frombuffer(group["prints"][int(n)].as_py(), ">u8").astype(np.uint64).reshape(-1, words) for n in order]
-        ids_of = [np.frombuffer(group["ids"][int(n)].as_py(), "<i8") for n in order]
-        ids = np.unique(np.concatenate(ids_of))
-        places = [np.searchsorted(ids, x) for x in ids_of]
-        parent = np.arange(len(ids))
-        for i, j in compare(*prints_of, radius):
+        order = np.argsort(group["side"].to_numpy())  # a tile that meets itself comes as two equal rows
+        values = [np.frombuffer(group["prints"][int(n)].as_py(), "<i8") for n in order]
+        known = np.unique(np.concatenate(values))
+        places = [np.searchsorted(known, x) for x in values]
+        parent = np.arange(len(known))
+        for i, j in compare(*[x.astype(np.uint64)[:, None] for x in values], radius):
             _merge(parent, places[0][i], places[1][j])
-        star = np.flatnonzero(parent != np.arange(len(ids)))
-        return pa.table({"a": ids[star], "b": ids[parent[star]]})
+        star = np.flatnonzero(parent != np.arange(len(known)))
+        return pa.table({"a": known[star], "b": known[parent[star]]})
 
-    # A pair of a tile with itself comes as two equal rows.
-    dealt = tiles.join(F.broadcast(sides), "tile").repartition(max(1, min(len(pairs), 4 * parts(spark))), "pair")
+    many = max(1, min(sides.count() // 2, 4 * parts(distinct.sparkSession)))
+    dealt = sides.join(tiles.select("tile", "prints"), "tile").repartition(many, "pair")
     return written(dealt.groupBy("pair").applyInArrow(run, "a long, b long"), "links")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, radius: int = 3
-) -> DataFrame:
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(fingerprint, root) of the fingerprints that rows with an id have; root is one of the class."""
+    distinct = written(prints.where("id is not null").select("fingerprint").distinct(), "distinct")
+    roots = components(links(distinct, radius)).toDF("fingerprint", "root")
+    return distinct.join(roots, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """Every row with its fingerprint and class: (doc_id, fingerprint hex string, component_id).
 
     Rows link when their fingerprints differ in at most ``radius`` bits; component_id is the smallest id reachable.
     Null and empty texts have fingerprint zero and link like any other. Repeated rows and ids are kept. A row with a
-    null id keeps its fingerprint, links nothing and has a null component. Other columns are not read.
+    null id keeps its fingerprint, links nothing and has a null component. An empty table gives no rows. Other columns are
+    not read.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words, bits), "prints")
-    classes = components(links(prints, bits, radius))
-    return _labelled(prints, classes)
-
-
-def _labelled(prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each row with its class; only fingerprints in classes of two or more are looked up, by their smallest id."""
-    least = prints.where("id is not null").groupBy("fingerprint").agg(F.min("id").alias("node"))
-    named = least.join(classes, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    joined = prints.join(named, "fingerprint", "left")
-    return joined.select(
+    prints = written(fingerprints(docs, id_col, text_col, words), "prints")
+    groups = prints.where("id is not null").groupBy("fingerprint").agg(F.min("id").alias("low"), F.count("*").alias("many"))
+    groups = written(groups.join(_classes(prints, radius), "fingerprint"), "groups")
+    roots = groups.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("many"))
+    named = looked_up(groups.select("fingerprint", "root", F.col("many").alias("rows")), roots, "root", "fingerprint")
+    named = named.select("fingerprint", "component_id", F.col("rows").alias("many"))
+    found = looked_up(prints.withColumn("spread", F.coalesce("id", F.lit(0))), written(named, "named"), "fingerprint", "spread")
+    return found.select(
         F.col("id").alias("doc_id"),
-        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
 
 
-def _digests(found: list[bytes], seeds: int) -> np.ndarray:
-    """[shingles, 16 * seeds] XXH3-128 digests of the different shingles, by rising first 8 bytes; these tell them apart."""
-    rows = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in found for seed in range(seeds)]), np.uint8)
-    rows = rows.reshape(-1, 16 * seeds)
-    return rows[np.unique(np.ascontiguousarray(rows[:, :8]).view(">u8")[:, 0], return_index=True)[1]]
-
-
-def _set_print(text: bytes, words: int, bits: int) -> tuple[bytes, bytes]:
-    """(fingerprint, key) of the set of shingles: each different shingle counts once, and equal sets have equal keys."""
-    rows = _digests(shingles(text, words), bits // 128)
-    counts = np.zeros(bits, np.int64)
-    for at in range(0, len(rows), STEP):
-        counts += np.unpackbits(rows[at : at + STEP], axis=1).sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(rows)).tobytes(), xxhash.xxh3_128_digest(rows[:, :8].tobytes())
-
-
-def _set_prints(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
-    """(id, fingerprint, key) of every row with an id. Null text is empty text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[bytes, tuple[bytes, bytes]] = {}
-            out = []
-            for text in text_bytes(batch.column(1)):
-                if text not in seen:
-                    seen[text] = _set_print(text, words, bits)
-                out.append(seen[text])
-            arrays = [batch.column(0), *[pa.array([row[n] for row in out], pa.binary()) for n in (0, 1)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "fingerprint", "key"])
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class of ``near_duplicates`` the row with the smallest id stays.
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.where("id is not null").mapInArrow(run, "id long, fingerprint binary, key binary")
-
-
-@dataclass
-class Sets:
-    """Sets of shingle hashes in order of their classes, end to end."""
-
-    group: np.ndarray
-    ids: np.ndarray
-    sizes: np.ndarray
-    hashes: np.ndarray
-
-    def __post_init__(self) -> None:
-        self.begin = np.cumsum(self.sizes) - self.sizes
-
-
-def _link_sets(left: Sets, right: Sets, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (a, b) that connect what the pairs of one class with a Jaccard similarity of ``least`` or more connect.
-
-    Pairs of a left and a right set count, or of two sets where both sides are the same. A pair whose ends are connected
-    already and a pair whose sizes rule it out are passed over, no other.
+    Decisions are made row by row: of repeated rows one stays, and texts of one id that are no near copies of each other are
+    decided apart. Rows with a null id link nothing and stay. All texts without words form one class. An empty table gives
+    an empty one. All columns are kept as they are, whatever their names.
     """
-    ids = np.unique(np.concatenate([left.ids, right.ids]))
-    parent = np.arange(len(ids))
-    own, other = np.searchsorted(ids, left.ids), np.searchsorted(ids, right.ids)
-    values, codes = np.unique(right.hashes, return_inverse=True)
-    marked = np.zeros(len(values), np.uint8)
-    firsts = np.searchsorted(right.group, left.group, "left")
-    lasts = np.searchsorted(right.group, left.group, "right")
-    for i, (first, last) in enumerate(zip(firsts.tolist(), lasts.tolist(), strict=True)):
-        first = i + 1 if left is right else first
-        size = left.sizes[i]
-        sizes = right.sizes[first:last]
-        open_ = (parent[other[first:last]] != parent[own[i]]) & (np.minimum(sizes, size) >= least * np.maximum(sizes, size))
-        if not open_.any():
-            continue
-        mine = left.hashes[left.begin[i] : left.begin[i] + size]
-        places = np.minimum(np.searchsorted(values, mine), len(values) - 1)
-        places = places[values[places] == mine]
-        marked[places] = 1
-        begin = right.begin[first:last]
-        met = marked[codes[begin[0] : begin[-1] + sizes[-1]]]
-        both = np.add.reduceat(met, begin - begin[0], dtype=np.int64)
-        marked[places] = 0
-        linked = np.flatnonzero(open_ & (both >= least * (size + sizes - both)))
-        _merge(parent, np.full(len(linked), own[i]), other[first:last][linked])
-    star = np.flatnonzero(parent != np.arange(len(ids)))
-    return ids[star], ids[parent[star]]
-
-
-def verified(members: DataFrame, least: float) -> DataFrame:
-    """(a, b) stars of the pairs within a class whose sets of shingles have a Jaccard similarity of ``least`` or more.
-
-    ``members``: (component, id, size, hashes), without empty sets. Small classes share a block, large ones are dealt
-    over several by id. A block is one row, and each pair of blocks of a class is compared in a task of its own, so all
-    pairs are decided while rows stay in proportion to the members.
-    """
-    spark = members.sparkSession
-    sizes = written(members.groupBy("component").agg(F.count("*").alias("many"), F.sum("size").alias("total")), "sizes")
-    wanted = F.ceil(F.greatest(F.col("many") / SETS, F.col("total") / HASHES)).alias("wanted")
-    large = sizes.select("component", wanted).where("wanted > 1").orderBy("component").collect()  # a block or more each
-    small = sizes.select(wanted, "many", "total").where("wanted <= 1").agg(F.sum("many"), F.sum("total")).first()
-    buckets = max(1, -(-(small[0] or 0) // SETS), -(-(small[1] or 0) // HASHES))
-    pairs = [(n, n) for n in range(buckets)]
-    spread, base = [], buckets
-    for row in large:
-        spread.append((row.component, base, row.wanted))
-        pairs += [(s, t) for s in range(base, base + row.wanted) for t in range(s, base + row.wanted)]
-        base += row.wanted
-    spread = spark.createDataFrame(spread, "component long, base long, many long")
-    block = F.coalesce(F.expr("base + pmod(xxhash64(id), many)"), F.expr(f"pmod(xxhash64(component), {buckets})"))
-    dealt = members.join(F.broadcast(spread), "component", "left").withColumn("block", block)
-
-    def block_of(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("component", "ascending"), ("id", "ascending")])
-        columns = [group[name].to_numpy().astype("<i8").tobytes() for name in ("component", "id", "size")]
-        columns.append(b"".join(group["hashes"].to_pylist()))
-        named = dict(zip(("groups", "ids", "sizes", "hashes"), columns, strict=True))
-        return pa.Table.from_pylist([{"block": group["block"][0].as_py(), **named}], schema=shape)
-
-    shape = pa.schema([("block", pa.int64()), *[(name, pa.binary()) for name in ("groups", "ids", "sizes", "hashes")]])
-    dealt = dealt.select("block", "component", "id", "size", "hashes")
-    blocks = written(dealt.groupBy("block").applyInArrow(block_of, "block long, groups binary, ids binary, sizes binary, hashes binary"), "blocks")
-    sides = [(block, n) for n, pair in enumerate(pairs) for block in sorted(set(pair))]
-    sides = spark.createDataFrame(sides, "block long, pair long")
-
-    def run(group: pa.Table) -> pa.Table:
-        sets = [
-            Sets(*[np.frombuffer(row[name], "<i8") for name in ("groups", "ids", "sizes")], np.frombuffer(row["hashes"], ">u8").astype(np.uint64))
-            for row in group.to_pylist()
-        ]
-        a, b = _link_sets(sets[0], sets[-1], least)
-        return pa.table({"a": a, "b": b})
-
-    rows = blocks.join(F.broadcast(sides), "block").repartition(max(1, min(len(pairs), 4 * parts(spark))), "pair")
-    return written(rows.groupBy("pair").applyInArrow(run, "a long, b long"), "verified")
-
-
-def deduplicate(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 5,
-    least: float = 0.8,
-    bits: int = 256,
-    radius: int = 72,
-) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the row with the smallest id stays.
-
-    Documents link when their sets of word shingles have a Jaccard similarity of ``least`` (above 0) or more. Fingerprints
-    of the sets find the candidates: they differ in at most ``radius`` of ``bits`` bits. With 256 bits, a similarity of
-    0.8 means 39 differing bits on average and 6 in standard deviation, for sets of 4 and 5 shingles 48, and unrelated
-    texts 128. All pairs within a class of candidates are then decided by their sets (64-bit hashes of the shingles),
-    also those that lie further apart. Rows with a null id stay. Of rows with one id (repeated rows) one stays.
-    Texts without words form one class. All columns are kept as they are.
-    """
-    prints = _set_prints(docs, id_col, text_col, words, bits)
-    nodes = written(prints.groupBy("fingerprint", "key").agg(F.min("id").alias("id")), "nodes")
-    # Different sets with one fingerprint are candidates like any others.
-    shared = nodes.groupBy("fingerprint").agg(F.min("id").alias("b"), F.count("*").alias("many")).where("many > 1")
-    shared = nodes.join(shared, "fingerprint").select(F.col("id").alias("a"), "b").where("a <> b")
-    candidates = components(links(nodes.select("id", "fingerprint"), bits, radius).unionByName(shared))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text in zip(batch.column("key").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                hashes = _digests(shingles(text, words), 1)[:, :8].tobytes()
-                out.append(hashes if xxhash.xxh3_128_digest(hashes) == key else b"")  # else another text of that id
-            sizes = pa.array([len(x) // 8 for x in out], pa.int64())
-            arrays = [*[batch.column(name) for name in ("component", "id", "key")], sizes, pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["component", "id", "key", "size", "hashes"])
-
-    wanted = nodes.join(candidates.withColumnRenamed("node", "id"), "id").select("component", "id", "key")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    members = texts.join(wanted, "id").select("component", "id", "key", "text")
-    members = members.mapInArrow(run, "component long, id long, key binary, size long, hashes binary").where("size > 0")
-    members = written(members.dropDuplicates(["id", "key"]).drop("key"), "members")
-    classes = components(verified(members, least))
-    keep = nodes.select(F.col("id").alias("node")).distinct()
-    keep = keep.join(classes.where("node <> component").select("node"), "node", "left_anti")
-    ids = F.col(id_col).cast("long")
-    unnamed = docs.where(F.col(id_col).isNull())
-    kept = docs.join(keep.select(F.col("node").alias("__node")), ids == F.col("__node"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(unnamed)
+    stored, row = numbered(docs)
+    marked = stored.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    prints = written(fingerprints(marked, "row", "text", words).withColumnRenamed("id", "row"), "prints")
+    prints = prints.join(marked.where("id is not null").select("row", "id"), "row")
+    groups = prints.groupBy("fingerprint").agg(F.min(F.struct("id", "row")).alias("first"))
+    groups = written(groups, "groups")
+    classes = _classes(groups.select(F.col("first.id").alias("id"), "fingerprint"), radius)
+    keep = groups.join(classes, "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
+    keep = keep.select(F.col("first.row").alias(row)).unionByName(marked.where("id is null").select(F.col("row").alias(row)))
+    return stored.join(keep, row, "left_semi").select(*docs.columns)
