@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from thornwall.llm import packing, wavelet
+from thornwall.llm.queries import QUERIES
 from thornwall.llm.tokens import Encoder
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -15,7 +16,6 @@ BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_b
 
 def library(path):
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
@@ -26,7 +26,7 @@ def crc(ids):
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_pieces_give_the_ids_of_whole_texts(path):
     rng = random.Random(1)
-    parts = "a B é Ü ß İ ſ ﬁ é 中 ½ 's 'll x 123 the . , ! ... ’ _ <|endoftext|> 😀 Σ ŉ ́ -".split() + list("  \n\n\t\r \x1c\x85 ​\0")
+    parts = "a B é Ü ß İ ſ ﬁ é 中 ½ 's 'll x 123 the . , ! ... ’ _ <|endoftext|> <|startoftext|> <|EndOfText|> 😀 Σ ŉ ́ - Word. Wörd, 1. x1, é.".split() + list("  \n\n\t\r \x1c\x85 ​\0")
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)] + ["", None, " ", "\n\n a  b \n"]
     whole = library(path)
     for text, ids in zip(texts, Encoder(path).encode(texts), strict=True):
@@ -73,15 +73,89 @@ def test_plans_hold_every_piece_and_waste_little():
         assert sum(times for _, times in made) <= np.ceil(sizes.sum() / 256) * 1.01 + 3 or many < 300
 
 
+def test_special_tokens_are_as_in_the_library(spark):
+    text = "a <|endoftext|> b<|startoftext|>"
+    assert [struct.unpack(f"<{len(x) // 4}I", x) for x in Encoder(BYTES).encode([text])][0][:4] == (64, 220, 50256, 275)
+    docs = spark.createDataFrame([(0, text), (1, "plain"), (2, "<|endoftext|>" * 3)], "doc_id long, text string")
+    got = {r.doc_id: r for r in wavelet.token_files(docs, WORDS).collect()}
+    for doc, words in ((0, text), (2, "<|endoftext|>" * 3)):
+        ids = [*library(WORDS)(words), 2]
+        assert (got[doc].n_tokens, got[doc].ids_crc32) == (len(ids), crc(ids))
+
+
+def test_generated_columns_reach_the_bound_where_the_first_patterns_do_not():
+    rng = np.random.default_rng(8)
+    generated = 0
+    for _ in range(12):
+        sizes = np.sort(rng.choice(np.arange(20, 90), 12, replace=False))
+        demand = rng.integers(1, 2000, 12).astype(float)
+        basis, first = packing.first_patterns(sizes, demand, 100)
+        assert np.allclose(basis @ first, demand) and (first >= 0).all() and (sizes @ basis <= 100).all()
+        patterns, amounts = packing.relaxed_patterns(sizes, demand, 100)
+        assert (patterns @ sizes <= 100).all() and (patterns.T @ amounts >= demand - 1e-6).all()
+        # against all patterns there are
+        every = list(_patterns(sizes.tolist(), 100))
+        least = _cheapest(np.array(every), demand)
+        assert least * (1 - 1e-9) <= amounts.sum() <= least * 1.005  # the bound below is itself some tenths of a percent low
+        generated += first.sum() > amounts.sum() * 1.001
+    assert generated > 4
+
+
+def _patterns(sizes, room, first=0):
+    """All maximal patterns."""
+    if first == len(sizes):
+        yield []
+        return
+    for many in range(room // sizes[first] + 1):
+        for rest in _patterns(sizes, room - many * sizes[first], first + 1):
+            yield [many, *rest]
+
+
+def _cheapest(patterns, demand):
+    """A lower bound of the sum of amounts with room for the demand, by multiplicative weights as prices."""
+    weights = np.ones(len(demand))
+    low = 0.0
+    patterns = patterns[patterns.sum(1) > 0].astype(float)
+    scaled = patterns / demand
+    for _ in range(20_000):
+        gains = scaled @ weights
+        k = int(gains.argmax())
+        low = max(low, weights.sum() / gains[k])
+        weights *= np.exp(-0.02 * scaled[k] / scaled[k].max())
+        weights /= weights.max()
+    return low
+
+
 def test_knapsack_is_optimal():
     rng = np.random.default_rng(4)
     for _ in range(20):
         sizes, values = rng.choice(np.arange(1, 13), 4, replace=False), rng.random(4)
-        value, copies = packing.best_pattern(values, sizes, 17)
+        sack = packing.Knapsack(values, sizes, 17)
         best = np.zeros(18)
         for room in range(1, 18):
             best[room] = max([0, *(best[room - s] + v for s, v in zip(sizes, values, strict=True) if s <= room)])
-        assert value == pytest.approx(best[17]) == pytest.approx((copies * values).sum()) and (copies * sizes).sum() <= 17
+            copies = sack.pattern(room)
+            assert sack.best[room] == pytest.approx(best[room]) == pytest.approx((copies * values).sum()) and (copies * sizes).sum() <= room
+
+
+def test_registered_queries_equal_the_library(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    pieces, whole = {}, library(BYTES)
+    for r in QUERIES["op4_packing"](spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for doc, text in texts.items():
+        ids, at = [*whole(text), 0], 0
+        for start, length, check, tokens in sorted(pieces.pop(doc)):
+            assert start == at and tokens == len(ids) and check == crc(ids[start : start + length])
+            at += length
+        assert at == len(ids)
+    assert not pieces
+    start, whole = 0, library(WORDS)
+    for r in sorted(QUERIES["op7_wavelet"](spark, sf).collect(), key=lambda r: r.doc_id):
+        ids = [*whole(texts.pop(r.doc_id)), 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), crc(ids))
+        start += len(ids)
+    assert not texts
 
 
 def test_a_wavelet_file_answers_like_a_list():

@@ -2,7 +2,8 @@
 
 The library's pre-tokenizers never put text before and after a run of white space in one token, so a text can be cut
 there and equal pieces need encoding only once per worker. Texts with white space or control characters on which
-regular-expression libraries differ go to the library whole.
+regular-expression libraries differ go to the library whole, and so do texts with the string of a special token, which
+the library turns into that token's id.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import os
 import re
 import struct
 from collections.abc import Iterable
-from itertools import chain
 
 #: Pieces that a worker remembers; beyond that it starts anew.
 MEMO = 1_000_000
@@ -20,11 +20,10 @@ HELD = 2_000_000
 
 _ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_RUNS = re.compile(r"^\s|\s\s|\s$|\t")
 #: One word of Latin letters, on which all agree: the pre-tokenizers keep it whole.
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Marks a piece that is encoded as it is; other pieces of byte-level tokenizers follow a space.
-_BARE = "\0"
+#: Marks a piece that is encoded as it is; other pieces of byte-level tokenizers follow a space. No text has this character.
+_BARE = "\ud800"
 
 
 class Encoder:
@@ -35,34 +34,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.library.get_added_tokens_decoder().values()
+        if any(token.normalized for token in added):
+            raise ValueError("added tokens that are found after normalisation are not supported")
+        self.special = [token.content for token in added]
+        self.tokenize = self.library.model.tokenize
         # Without a normalizer white space becomes tokens; with one that folds it, words stand alone.
         self.spaces = self.library.normalizer is None
         # Byte-level models see each byte as a letter: visible ones of Latin-1 as themselves, others from 256 on.
         shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
         hidden = [b for b in range(256) if b not in shown]
-        self.letters = [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+        self.letters = {b: 256 + n for n, b in enumerate(hidden)}
+        self.before = chr(self.letters[32]) if self.spaces else ""
         self.memo: dict[str, bytes] = {}
         self.ends = {mark: self._whole([mark])[0] for mark in ".,"}
+        self.line = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str, before: str) -> bytes:
         """A word straight through the library's model, which is all that its pipeline would do with it."""
-        text = " " + word if self.spaces else word.lower()
-        ids = [token.id for token in self.library.model.tokenize("".join(map(self.letters.__getitem__, text.encode())))]
+        if not self.spaces:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.tokenize(before + word)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _pieces(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, None if it has to go to the library whole."""
+        for token in self.special:
+            if token in text:
+                return None
+        words = text.split()
+        plain = text.count(" ") + text.count("\n")
+        # All white space is single spaces and line ends between words: nothing odd, nothing in a row.
+        if len(words) == plain + 1 and sum(map(len, words)) == len(text) - plain:
+            if not self.spaces:
+                return words
+            pieces = text.replace("\n", " \n").split(" ")
+            pieces[0] = _BARE + pieces[0]
+            return pieces
+        if _ODD.search(text):
+            return None
         if not self.spaces:
-            return text.split()
-        if _RUNS.search(text):
-            return [p[1:] if p[0] == " " and p[1:].strip() else _BARE + p for p in _PIECES.findall(text)]
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = _BARE + pieces[0]
-        return pieces
+            return words
+        return [p[1:] if p[0] == " " and p[1:].strip() else _BARE + p for p in _PIECES.findall(text)]
 
     def _text(self, piece: str) -> str:
         if not self.spaces or piece[0] == "\n":
@@ -70,36 +89,36 @@ class Encoder:
         return piece[1:] if piece[0] == _BARE else " " + piece
 
     def _learn(self, pieces: Iterable[str]) -> None:
-        """Encode new pieces; a full stop or comma after a Latin letter is always a token of its own."""
-        ended, plain = [], []
+        """Encode new pieces; a full stop or comma after a Latin letter is always a token of its own, as is a line end."""
+        memo, others = self.memo, []
         for piece in pieces:
+            tail, body = b"", piece
             if piece[-1] in ".," and len(piece) > 1 and piece[-2].isascii() and piece[-2].isalpha():
-                ended.append(piece)
-                piece = piece[:-1]
-                if piece in self.memo:
+                tail, body = self.ends[piece[-1]], piece[:-1]
+            ids = memo.get(body)
+            if ids is None:
+                head, word, before = b"", body, self.before
+                if self.spaces and body[0] in ("\n", _BARE):
+                    head, word, before = self.line if body[0] == "\n" else b"", body[1:], ""
+                if not _WORD.fullmatch(word):
+                    others.append((piece, body, tail))
                     continue
-            plain.append(piece)
-        plain = list(dict.fromkeys(plain))
-        words = [p for p in plain if _WORD.fullmatch(p)]
-        others = [p for p in plain if not _WORD.fullmatch(p)]
-        self.memo.update((p, self._word(p)) for p in words)
-        self.memo.update(zip(others, self._whole([self._text(p) for p in others]), strict=True))
-        for piece in ended:
-            self.memo[piece] = self.memo[piece[:-1]] + self.ends[piece[-1]]
+                memo[body] = ids = head + self._word(word, before)
+            if tail:
+                memo[piece] = ids + tail
+        bodies = [body for _, body, _ in others]
+        for (piece, body, tail), ids in zip(others, self._whole([self._text(body) for body in bodies]), strict=True):
+            memo[body] = ids
+            memo[piece] = ids + tail
 
     def encode(self, texts: Iterable[str | None]) -> Iterable[bytes]:
         """The ids of each text, in order; null is the empty text."""
         held: list[list[str] | bytes] = []
         size = 0
         for text in texts:
-            text = text or ""
-            if not text:
-                held.append(b"")
-            elif _ODD.search(text):
-                held.append(self._whole([text])[0])
-            else:
-                held.append(self._pieces(text))
-            size += len(text)
+            pieces = self._pieces(text) if text else []
+            held.append(self._whole([text])[0] if pieces is None else pieces)
+            size += len(text or "")
             if size > HELD:
                 yield from self._ids(held)
                 held, size = [], 0
@@ -107,29 +126,23 @@ class Encoder:
 
     def _ids(self, held: list[list[str] | bytes]) -> Iterable[bytes]:
         memo = self.memo
-        lists = [x for x in held if isinstance(x, list)]
-        new = set(chain.from_iterable(lists)).difference(memo)
-        if len(memo) + len(new) > MEMO:
+        if len(memo) > MEMO:
             memo.clear()
-            new = set(chain.from_iterable(lists))
-        self._learn(new)
-        for x in held:
-            yield b"".join(map(memo.__getitem__, x)) if isinstance(x, list) else x
-
+        found = [x if isinstance(x, bytes) else [*map(memo.get, x)] for x in held]
+        new = [p for x, own in zip(held, found, strict=True) if isinstance(x, list) for p, ids in zip(x, own, strict=True) if ids is None]
+        self._learn(dict.fromkeys(new))
+        for x, own in zip(held, found, strict=True):
+            if isinstance(own, list) and None in own:
+                own = [memo[p] if ids is None else ids for p, ids in zip(x, own, strict=True)]
+            yield own if isinstance(own, bytes) else b"".join(own)
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; it outlives the task with its memo."""
-    store = _keep()
-    if path not in store:
-        store[path] = Encoder(path)
-    return store[path]
+#: The encoders of this worker by tokenizer file; they outlive a task with their memos.
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _keep() -> dict[str, Encoder]:
-    """A place that lasts as long as the worker: functions that travel with the job bring their own globals."""
-    import builtins
-
-    if not hasattr(builtins, "_thornwall_encoders"):
-        builtins._thornwall_encoders = {}
-    return builtins._thornwall_encoders
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]

@@ -2,7 +2,8 @@
 
 A file holds the documents of a range of ids: their ids and lengths, and one bit-plane per bit of the token ids. Planes
 are cut into blocks, each compressed on its own with the number of ones before it, so a reader finds one token, counts
-a token up to a place or finds its k-th occurrence by reading a few blocks of each plane.
+a token up to a place or finds its k-th occurrence by reading a few blocks of each plane. Blocks that do not shrink are
+stored as they are.
 """
 
 from __future__ import annotations
@@ -21,16 +22,18 @@ from thornwall.config import shared_folder
 from thornwall.llm.common import file_system, parts, task_name, written
 from thornwall.llm.tokens import encoder
 
-MAGIC = b"TWWM0001"
+MAGIC = b"TWWM0002"
 #: Bytes of a block of a bit-plane, and tokens of a file at most.
-BLOCK, FILE_TOKENS = 4096, 1 << 23
+BLOCK, FILE_TOKENS = 4096, 1 << 22
+TRIED = 16
 
 
 def encode_file(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> bytes:
     """The bytes of one file. ``known`` is 0 where the document id is null.
 
     Layout: magic; tokens, documents, planes (3 x u64); the compressed document table with its length; then for each
-    plane from the highest bit: zeros, blocks (2 x u64), per block the ones before it and its end (u64), the blocks.
+    plane from the highest bit: zeros, blocks (2 x u64), per block the ones before it and its end (u64), the blocks. A block
+    as long as its bits is plain, a shorter one compressed. Planes are tried on every ``TRIED``-th block first.
     """
     planes = max(1, int(tokens.max()).bit_length()) if len(tokens) else 1
     table = zlib.compress(doc_ids.astype("<i8").tobytes() + known.astype(np.uint8).tobytes() + lengths.astype("<u4").tobytes(), 1)
@@ -38,10 +41,14 @@ def encode_file(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, tok
     rest = tokens.astype(np.uint16 if planes <= 16 else np.uint32)
     for level in range(planes - 1, -1, -1):
         bits = (rest >> level) & 1 == 1
-        packed = np.packbits(bits).tobytes()
-        blocks = [packed[i : i + BLOCK] for i in range(0, len(packed), BLOCK)]
-        ones = np.cumsum([0, *(int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in blocks)])[:-1]
-        small = [zlib.compress(b, 1) for b in blocks]
+        packed = np.packbits(bits)
+        blocks = [packed[i : i + BLOCK].tobytes() for i in range(0, len(packed), BLOCK)]
+        counted = np.zeros(len(blocks) * BLOCK, np.uint8)
+        counted[: len(packed)] = packed
+        counts = np.bitwise_count(counted).reshape(-1, BLOCK).sum(1, dtype=np.int64)
+        ones = np.cumsum(counts) - counts
+        shrinks = any(len(zlib.compress(b, 1)) < 0.95 * len(b) for b in blocks[::TRIED])
+        small = [min(zlib.compress(b, 1), b, key=len) for b in blocks] if shrinks else blocks
         ends = np.cumsum([len(b) for b in small])
         out.append(struct.pack("<2Q", len(rest) - int(bits.sum()), len(blocks)))
         out += [ones.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *small]
@@ -73,8 +80,9 @@ class WaveletFile:
 
     def _block(self, plane: int, block: int) -> np.ndarray:
         _, _, ends, begin = self.planes[plane]
-        first = begin + (int(ends[block - 1]) if block else 0)
-        return np.frombuffer(zlib.decompress(self.data[first : begin + int(ends[block])]), np.uint8)
+        first, last = begin + (int(ends[block - 1]) if block else 0), begin + int(ends[block])
+        size = min(BLOCK, (self.size + 7) // 8 - block * BLOCK)
+        return np.frombuffer(self.data[first:last] if last - first == size else zlib.decompress(self.data[first:last]), np.uint8)
 
     def _rank(self, plane: int, place: int) -> int:
         """Ones of a plane before a place."""
