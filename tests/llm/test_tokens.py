@@ -176,6 +176,19 @@ def test_a_wavelet_file_answers_like_a_list():
     assert empty.tokens().size == 0 and empty.count(1) == 0 and empty.occurrence(0, 0) == -1
 
 
+def test_blocks_that_compress_to_their_own_length_are_plain(monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK", 64)
+    rng = np.random.default_rng(7)
+    same = 0
+    for share in np.linspace(0, 1, 60):  # from blocks that shrink to blocks that grow
+        tokens = np.where(rng.random(9000) < share, rng.integers(0, 2, 9000), 0).astype(np.uint32)
+        packed = np.packbits(tokens.astype(bool)).tobytes()
+        same += sum(len(wavelet.zlib.compress(packed[i : i + 64], 1)) == 64 for i in range(0, len(packed) - 64, 64))
+        file = wavelet.WaveletFile(wavelet.encode_file(np.array([1]), np.array([1]), np.array([9000]), tokens))
+        assert (file.tokens() == tokens).all() and file.access(8999) == tokens[8999]
+    assert same > 0
+
+
 def test_token_files_round_trip(odd, none, monkeypatch):
     monkeypatch.setattr(wavelet, "FILE_TOKENS", 20000)
     whole = library(WORDS)

@@ -48,7 +48,7 @@ def encode_file(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, tok
         counts = np.bitwise_count(counted).reshape(-1, BLOCK).sum(1, dtype=np.int64)
         ones = np.cumsum(counts) - counts
         shrinks = any(len(zlib.compress(b, 1)) < 0.95 * len(b) for b in blocks[::TRIED])
-        small = [min(zlib.compress(b, 1), b, key=len) for b in blocks] if shrinks else blocks
+        small = [min(b, zlib.compress(b, 1), key=len) for b in blocks] if shrinks else blocks  # plain where equally long
         ends = np.cumsum([len(b) for b in small])
         out.append(struct.pack("<2Q", len(rest) - int(bits.sum()), len(blocks)))
         out += [ones.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *small]
