@@ -13,8 +13,8 @@ import re
 import struct
 from collections.abc import Iterable
 
-#: Pieces that a worker remembers; beyond that it starts anew.
-MEMO = 1_000_000
+#: Pieces that a worker remembers as the latest, besides as many older ones that have not come up since.
+MEMO = 600_000
 #: Characters of text whose pieces are held at once.
 HELD = 2_000_000
 
@@ -47,6 +47,7 @@ class Encoder:
         self.letters = {b: 256 + n for n, b in enumerate(hidden)}
         self.before = chr(self.letters[32]) if self.spaces else ""
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.ends = {mark: self._whole([mark])[0] for mark in ".,"}
         self.line = self._whole(["\n"])[0]
 
@@ -125,16 +126,20 @@ class Encoder:
         yield from self._ids(held)
 
     def _ids(self, held: list[list[str] | bytes]) -> Iterable[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         found = [x if isinstance(x, bytes) else [*map(memo.get, x)] for x in held]
-        new = [p for x, own in zip(held, found, strict=True) if isinstance(x, list) for p, ids in zip(x, own, strict=True) if ids is None]
-        self._learn(dict.fromkeys(new))
+        new: dict[str, bytes | None] = {}
         for x, own in zip(held, found, strict=True):
-            if isinstance(own, list) and None in own:
-                own = [memo[p] if ids is None else ids for p, ids in zip(x, own, strict=True)]
-            yield own if isinstance(own, bytes) else b"".join(own)
+            if isinstance(own, list):
+                new.update([(p, None) for p, ids in zip(x, own, strict=True) if ids is None])
+        memo.update((p, older[p]) for p in new if p in older)
+        self._learn([p for p in new if p not in memo])
+        for x, own in zip(held, found, strict=True):
+            if isinstance(own, list):
+                own = b"".join([memo[p] if ids is None else ids for p, ids in zip(x, own, strict=True)])
+            yield own
 
 
 #: The encoders of this worker by tokenizer file; they outlive a task with their memos.

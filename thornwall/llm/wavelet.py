@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +23,7 @@ from thornwall.config import shared_folder
 from thornwall.llm.common import file_system, parts, task_name, written
 from thornwall.llm.tokens import encoder
 
-MAGIC = b"TWWM0002"
+MAGIC = b"TWWM0003"
 #: Bytes of a block of a bit-plane, and tokens of a file at most.
 BLOCK, FILE_TOKENS = 4096, 1 << 22
 TRIED = 16
@@ -39,16 +40,17 @@ def encode_file(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, tok
     table = zlib.compress(doc_ids.astype("<i8").tobytes() + known.astype(np.uint8).tobytes() + lengths.astype("<u4").tobytes(), 1)
     out = [MAGIC, struct.pack("<4Q", len(tokens), len(doc_ids), planes, len(table)), table]
     rest = tokens.astype(np.uint16 if planes <= 16 else np.uint32)
+    shrink = zstandard.ZstdCompressor(level=1).compress
     for level in range(planes - 1, -1, -1):
-        bits = (rest >> level) & 1 == 1
+        bits = (rest & rest.dtype.type(1 << level)) != 0
         packed = np.packbits(bits)
         blocks = [packed[i : i + BLOCK].tobytes() for i in range(0, len(packed), BLOCK)]
         counted = np.zeros(len(blocks) * BLOCK, np.uint8)
         counted[: len(packed)] = packed
         counts = np.bitwise_count(counted).reshape(-1, BLOCK).sum(1, dtype=np.int64)
         ones = np.cumsum(counts) - counts
-        shrinks = any(len(zlib.compress(b, 1)) < 0.95 * len(b) for b in blocks[::TRIED])
-        small = [min(b, zlib.compress(b, 1), key=len) for b in blocks] if shrinks else blocks  # plain where equally long
+        shrinks = any(len(shrink(b)) < 0.95 * len(b) for b in blocks[::TRIED])
+        small = [min(b, shrink(b), key=len) for b in blocks] if shrinks else blocks  # plain where equally long
         ends = np.cumsum([len(b) for b in small])
         out.append(struct.pack("<2Q", len(rest) - int(bits.sum()), len(blocks)))
         out += [ones.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *small]
@@ -63,6 +65,7 @@ class WaveletFile:
         if data[:8] != MAGIC:
             raise ValueError("not a wavelet file")
         self.data = data
+        self.unpack = zstandard.ZstdDecompressor().decompress
         self.size, docs, planes, table = struct.unpack_from("<4Q", data, 8)
         raw = zlib.decompress(data[40 : 40 + table])
         self.doc_ids = np.frombuffer(raw, "<i8", docs)
@@ -82,7 +85,7 @@ class WaveletFile:
         _, _, ends, begin = self.planes[plane]
         first, last = begin + (int(ends[block - 1]) if block else 0), begin + int(ends[block])
         size = min(BLOCK, (self.size + 7) // 8 - block * BLOCK)
-        return np.frombuffer(self.data[first:last] if last - first == size else zlib.decompress(self.data[first:last]), np.uint8)
+        return np.frombuffer(self.data[first:last] if last - first == size else self.unpack(self.data[first:last]), np.uint8)
 
     def _rank(self, plane: int, place: int) -> int:
         """Ones of a plane before a place."""
