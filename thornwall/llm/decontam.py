@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thornwall.llm.common import text_bytes, written
+from thornwall.llm.common import free_name, text_bytes, written
 
 #: Words are lower-cased (A-Z) and end at white space and at ASCII punctuation.
 _FOLD = bytes(
@@ -259,7 +259,12 @@ def _hits(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns; rows with a null id stay."""
+    """The rows of ``docs`` that hold no benchmark item, with all their columns.
+
+    Rows with a null id stay. Rows of one id go together. Null and empty texts stay, as do all rows where the benchmark is
+    empty; an empty table stays empty.
+    """
     found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    bad = found.where("contaminated and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+    name = free_name(docs, "bad")
+    bad = found.where("contaminated and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(id_col).cast("long") == F.col(name), "left_anti")

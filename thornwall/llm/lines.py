@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thornwall.llm.common import parts, text_bytes, written
+from thornwall.llm.common import free_name, parts, text_bytes, written
 
 #: Fixed: white space that is stripped, and the letters that are lower-cased.
 SPACE = " \t\n\x0b\x0c\r"
@@ -116,10 +116,13 @@ def kept_lines(text: bytes, keep: bytes | None) -> tuple[bytes, int, int]:
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars).toDF("__id", "__version", "__keep")
+def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> tuple[DataFrame, str]:
+    """``docs`` with the bitmap of each row (null: all lines stay), and the name of that column, which none of them has."""
+    names = [free_name(docs, name) for name in ("line_id", "line_version", "line_keep")]
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars).toDF(*names)
     version = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.join(maps, (F.col(id_col).cast("long") == F.col("__id")) & (version == F.col("__version")), "left")
+    joined = docs.join(maps, (F.col(id_col).cast("long") == F.col(names[0])) & (version == F.col(names[1])), "left")
+    return joined.drop(*names[:2]), names[2]
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -138,7 +141,8 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(hashes, pa.string())], names=names)
 
-    joined = _with_bitmaps(narrow, "doc_id", "text", min_chars).select("doc_id", "text", "__keep")
+    joined, keep = _with_bitmaps(narrow, "doc_id", "text", min_chars)
+    joined = joined.select("doc_id", "text", keep)
     return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -150,7 +154,11 @@ def _apply(texts, keeps):
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """``docs`` with the repeated lines of its texts dropped; all other columns and all rows stay."""
-    joined = _with_bitmaps(docs, id_col, text_col, min_chars)
-    kept = F.when(F.col("__keep").isNull(), F.col(text_col)).otherwise(_apply(F.col(text_col), F.col("__keep")))
+    """``docs`` with the repeated lines of its texts dropped; all other columns and all rows stay.
+
+    A null text stays null. Rows with a null id keep their lines. Rows of one id count as one document, so repeated rows
+    lose no lines to each other. A document may lose all its lines and keep the empty text. An empty table stays empty.
+    """
+    joined, keep = _with_bitmaps(docs, id_col, text_col, min_chars)
+    kept = F.when(F.col(keep).isNull(), F.col(text_col)).otherwise(_apply(F.col(text_col), F.col(keep)))
     return joined.withColumn(text_col, kept).select(*docs.columns)
