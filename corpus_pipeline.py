@@ -2,6 +2,10 @@
 
 The stages drop toxic documents, drop repeated lines, keep one document of each class of near copies, drop documents
 that hold a benchmark item, and pack the tokens of the rest. All but the last return the columns of documents.
+
+Rows with a null id or text go through all stages by the rules that the operators state: a null text is clean, one empty
+line, one of the class of texts without words, and one end id; a row with a null id links to nothing. Repeated rows become
+one in near dedup. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.deduplicate(docs, words=5, least=0.8)
+    """One document of each class of near copies stays: three-word shingles, fingerprints at most 3 bits apart."""
+    return simhash.deduplicate(docs, words=3, radius=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
