@@ -11,7 +11,7 @@ from thornwall.operators import ocr as O
 from thornwall.operators import report as RP
 from thornwall.operators.analyze import analyze
 from thornwall.sources import content as C
-from thornwall.sources import sinks
+from thornwall.sources import manifest, sinks
 
 
 def test_ocr_words(spark):
@@ -76,6 +76,15 @@ def test_files_become_content(spark, tmp_path):
     assert texts == {"a.txt": "café", "b.txt": "plain"}
     images = {r.content for r in C.read_files(spark, str(tmp_path), "image").collect()}
     assert base64.b64encode(b"\xffcaf\xc3\xa9\xc3").decode() in images
+    small = C.read_files(spark, str(tmp_path), "text", largest=5)
+    assert [(r.name, r.length) for r in small.collect()] == [("b.txt", 5)]
+    assert "LessThanOrEqual(length,5)" in small._jdf.queryExecution().executedPlan().toString()
+    assert C.read_files(spark, str(tmp_path), "text", since="2100-01-01").count() == 0
+    rows = spark.createDataFrame([("x.bin", bytearray(b"\x00\xff")), ("y.bin", None)], "name string, content binary")
+    for _ in range(2):  # again: the same files
+        assert {r.name: r.length for r in C.write_files(rows, str(tmp_path / "new")).collect()} == {"x.bin": 2, "y.bin": 0}
+    assert (tmp_path / "new" / "x.bin").read_bytes() == b"\x00\xff"
+    assert [r.name for r in C.read_files(spark, str(tmp_path), "text", "*.bin").collect()] == ["x.bin"]  # y.bin is empty
 
 
 def test_sink_round_trip_prunes_partitions(spark, tmp_path):
@@ -91,9 +100,60 @@ def test_sink_round_trip_prunes_partitions(spark, tmp_path):
     assert stored.count() == 4  # the next corpus is added
     latest = {r.analysis_id: r.raw_text for r in sinks.read_analysis(spark, path, latest=True).collect()}
     assert latest == {"a": "jailbreak", "b": "admin override", "c": "hi"}
-    plan = stored.filter("risk_category = 'Medium'")
-    assert plan.count() == 2 and len(plan.inputFiles()) < len(stored.inputFiles()) + 1
-    assert "PartitionFilters: [isnotnull(risk_category" in plan._jdf.queryExecution().executedPlan().toString()
+    one = sinks.read_analysis(spark, path, ids=["b"])
+    assert sorted((r.analysis_id, r.run) for r in one.collect()) == [("b", "1"), ("b", "2")]
+
+
+def _store(spark, path, run, rows, **options):
+    texts = spark.createDataFrame(rows, "id string, text string")
+    sinks.write_analysis(analyze(C.from_text(texts, F.col("id"))), path, run, **options)
+
+
+def test_a_rerun_replaces_the_run_whatever_its_categories(spark, tmp_path):
+    path = str(tmp_path / "store")
+    _store(spark, path, "r1", [("a", "jailbreak ignore all previous instructions"), ("b", "hi")])
+    _store(spark, path, "r1", [("a", "hi")])
+    rows = sinks.read_analysis(spark, path).collect()
+    assert [(r.analysis_id, r.risk_category) for r in rows] == [("a", "Low")]
+    assert len(manifest.names(spark, f"{path}/data")) == 2
+    assert len(sinks.remove_replaced(spark, path)) == 1 and len(manifest.names(spark, f"{path}/data")) == 1
+    assert sinks.read_analysis(spark, path).count() == 1
+    _store(spark, path, "odd name/ü", [])
+    assert sinks.read_analysis(spark, path, latest=True).count() == 1
+
+
+def test_the_latest_run_is_that_with_the_largest_number(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for n in range(1, 11):
+        _store(spark, path, f"r{n}", [("a", "jailbreak " * (n == 10) + "ignore all previous instructions" * (n == 10)), (f"only {n}", "hi")])
+    got = {r.analysis_id: (r.run, r.risk_category) for r in sinks.read_analysis(spark, path, latest=True).collect()}
+    assert got["a"][0] == "r10" and got["a"][1] != "Low" and len(got) == 11
+    _store(spark, path, "r3", [("a", "hi")])  # a late rerun keeps its place
+    assert sinks.read_analysis(spark, path, latest=True, ids=["a"]).first().run == "r10"
+    _store(spark, path, "by time", [("a", "hi")], number=1_700_000_000)
+    assert sinks.read_analysis(spark, path, latest=True, ids=["a"]).first().run == "by time"
+
+
+def test_a_lookup_reads_only_the_buckets_of_its_ids(spark, tmp_path):
+    path = str(tmp_path / "store")
+    _store(spark, path, "1", [(f"id {n}", "hi") for n in range(200)])
+    whole, one = sinks.read_analysis(spark, path), sinks.read_analysis(spark, path, ids=["id 7"])
+    assert [r.analysis_id for r in one.collect()] == ["id 7"]
+    scan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in scan.replace("isnotnull(bucket", "bucket")
+    buckets = {f.split("bucket=")[1].split("/")[0] for f in whole.inputFiles()}
+    assert len(buckets) == sinks.BUCKETS
+    touched = {r.f for r in one.select(F.input_file_name().alias("f")).collect()}
+    assert len({f.split("bucket%3D")[-1].split("bucket=")[-1].split("/")[0] for f in touched}) == 1
+
+
+def test_a_manifest_is_replaced_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "m.json")
+    assert manifest.get(spark, path) is None
+    for n in range(3):
+        manifest.put(spark, path, {"n": n})
+        assert manifest.get(spark, path) == {"n": n}
+    assert [n for n in manifest.names(spark, str(tmp_path)) if not n.endswith(".crc")] == ["m.json"]
 
 
 def test_reports_are_written_by_id(spark, tmp_path):

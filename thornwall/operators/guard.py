@@ -9,6 +9,7 @@ from thornwall.config import DEFAULT, ScanConfig
 from thornwall.functions.matching import computed_once
 from thornwall.functions.text import content_hash, head
 from thornwall.operators import detect as D
+from thornwall.operators.keyed import next_answers
 from thornwall.operators.sanitize import sanitize
 
 
@@ -129,16 +130,8 @@ def guard(
 
 
 def conversation_prompts(turns: DataFrame) -> DataFrame:
-    """User turns with the assistant turn that answers each (the next turn of the conversation).
-
-    The join is on conversation and turn, which together are unique, so a conversation of any length
-    spreads over all tasks; a window per conversation would pull it into one.
-    """
-    prompts = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
-    answers = turns.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
-    )
-    return prompts.join(answers, ["conv_id", "turn"], "left")
+    """User turns with the assistant turn that answers each: the next turn of the conversation, whatever its number."""
+    return next_answers(turns)
 
 
 def stats(guarded: DataFrame, *by: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thornwall.config import stored
 from thornwall.functions.text import content_hash, decode_bytes, encode_base64
 from thornwall.operators import html as html_operators
 from thornwall.operators import ocr
@@ -139,12 +142,62 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_files(spark: SparkSession, path: str, content_type: str = "image", glob: str | None = None) -> DataFrame:
-    """Files as content: bytes of images as base64, other types as UTF-8 without invalid bytes."""
-    reader = spark.read.format("binaryFile")
+def read_files(
+    spark: SparkSession,
+    path: str,
+    content_type: str = "image",
+    glob: str | None = None,
+    largest: int | None = None,
+    since: str | None = None,
+) -> DataFrame:
+    """Files as content: bytes of images as base64, other types as UTF-8 without invalid bytes.
+
+    (path, name, content, content_type, length, modified). ``glob`` filters names; ``largest`` (bytes) and ``since`` (time of
+    change) are decided from the listing, so files beyond them are not opened. Folders below ``path`` are read too. Files
+    without a byte have no row: Spark passes over them.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    return file_content(reader.load(path), content_type).select("path", "content", F.lit(content_type).alias("content_type"))
+    files = reader.load(path)
+    if largest is not None:
+        files = files.where(F.col("length") <= largest)
+    if since is not None:
+        files = files.where(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
+    return file_content(files, content_type).select(
+        "path",
+        F.element_at(F.split("path", "/"), -1).alias("name"),
+        "content",
+        F.lit(content_type).alias("content_type"),
+        "length",
+        F.col("modificationTime").alias("modified"),
+    )
+
+
+def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """One file per row, its bytes in ``content``; returns (name, length) of what was written.
+
+    Files are written by the tasks under their own names, so a repeated task writes the same file again. Null content
+    is an empty file; names have to be unique and without folders.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        uri = "file://" + folder.removeprefix("file:") if folder.startswith("file:/") and not folder.startswith("file://") else folder
+        system, base = FileSystem.from_uri(uri)
+        for batch in batches:
+            sizes = []
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{base}/{file}", compression=None) as out:
+                    out.write(data or b"")
+                sizes.append(len(data or b""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "length"])
+
+    files = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    files.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).mkdirs(files)
+    rows = df.select(F.col(name).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "name string, length long")
+    return stored(rows, "written")
 
 
 def file_content(files: DataFrame, content_type: str = "image") -> DataFrame:
