@@ -41,7 +41,7 @@ class ScanConfig:
     audit_text_limit: int = 200
     service_name: str = "the content guard"
 
-    # also score the alt texts of HTML pages, which do not count otherwise
+    # also score the alt texts and comments of HTML pages, which do not count otherwise
     score_hidden: bool = False
 
 

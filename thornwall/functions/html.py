@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from thornwall.functions import rules as R
 from thornwall.functions.matching import bind, contains_all_sql, quoted, spans_sql
@@ -342,3 +342,79 @@ def hidden_elements(html: str) -> Column:
     """Elements hidden by inline style, then by class; only candidate pages are sent to Python."""
     found = _hidden(F.when(may_hide_elements(html), F.col(html)))
     return F.coalesce(found, F.array().cast(HIDDEN_TYPE))
+
+
+# --- Comments: a scanner that knows where a page is not text ---------------------------------------
+
+COMMENT_TYPE = "array<struct<text:string,position:int,closed:boolean>>"
+_MARKUP = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag: quotes count after an equals sign only, and one that stays open takes all that follows.
+_TAG_REST = re.compile(r"""[^>=]*+(?:=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|)[^>=]*+)*+(?:>|\Z)""")
+_COMMENT_END = re.compile(r"--!?>")
+#: Elements whose content is text up to their end tag.
+_RAW = frozenset("style textarea title xmp iframe noembed noframes".split())
+_SCRIPT_PART = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.IGNORECASE)
+
+
+def _script_end(page: str, at: int) -> int:
+    """Where the end tag of a script begins that starts at ``at``; a script inside its comment has an end tag of its own."""
+    escaped = inner = False
+    for part in _SCRIPT_PART.finditer(page, at):
+        if part[0] == "<!--":
+            escaped = True
+        elif part[0] == "-->":
+            escaped = inner = False
+        elif part[1]:
+            if not inner:
+                return part.start()
+            inner = False
+        elif escaped:
+            inner = True
+    return len(page)
+
+
+def find_comments(page: str) -> list[tuple[str, int, bool]]:
+    """(text, position, closed) of the comments of a page, in one pass.
+
+    A comment ends with ``-->`` or ``--!>``, ``<!-->`` and ``<!--->`` are empty, one that is not closed takes the rest of the
+    page. Inside tags, scripts, styles, titles and other elements of plain text there are no comments.
+    """
+    found = []
+    at = 0
+    while mark := _MARKUP.search(page, at):
+        if mark[0] == "<!--":
+            body = mark.end()
+            if page.startswith((">", "->"), body):
+                end = at = body + 1 + (page[body] == "-")
+                text, closed = "", True
+            else:
+                close = _COMMENT_END.search(page, body)
+                end, at = (close.start(), close.end()) if close else (len(page), len(page))
+                text, closed = page[body:end], close is not None
+            found.append((text, mark.start(), closed))
+            continue
+        at = _TAG_REST.match(page, mark.end()).end()
+        name = mark[2].lower()
+        if mark[1]:
+            continue
+        if name == "script":
+            at = _script_end(page, at)
+        elif name in _RAW:
+            close = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            at = close.start() if close else len(page)
+        elif name == "plaintext":
+            break
+    return found
+
+
+@F.pandas_udf(
+    ArrayType(StructType().add("text", StringType()).add("position", IntegerType()).add("closed", BooleanType()))
+)
+def _comments(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda page: None if page is None else [{"text": t, "position": p, "closed": c} for t, p, c in find_comments(page)])
+
+
+def comments(html: Column) -> Column:
+    """The comments of a page as (text, position, closed); only pages that may have one leave the JVM."""
+    found = _comments(F.when(F.contains(html, F.lit("<!--")), html))
+    return F.coalesce(found, F.array().cast(COMMENT_TYPE))

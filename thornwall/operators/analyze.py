@@ -55,10 +55,10 @@ def with_safety(
 
 
 def scan_text(config: ScanConfig) -> Column:
-    """The text that counts: visible text, and alt texts too where they are scored."""
+    """The text that counts: visible text, and alt texts and comments too where hidden content is scored."""
     if not config.score_hidden:
         return F.col("raw_text")
-    return F.concat_ws(" ", "raw_text", F.array_join("alt_texts", " "))
+    return F.concat_ws(" ", "raw_text", F.array_join("alt_texts", " "), F.array_join("comments", " "))
 
 
 def analyze(

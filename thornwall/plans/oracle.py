@@ -499,6 +499,44 @@ def build() -> dict[str, str]:
     joined = (
         "joined as (select d.*, (l.toxic + l.quality) / 2.0::double as prob from docs d left join labels l using (doc_id))"
     )
+    counted = (
+        "cnd as (select {k}, c, count(*) as n from (select {k}, unnest(regexp_extract_all({t}, '(?s).')) as c from {s}) group by all), "
+        "tot as (select {k}, sum(n) as total, count(*) as many, sum(n * log2(n)) as weighted from cnd group by all)"
+    )
+    bits = "round(greatest(0::double, log2(total) - weighted / total), 6)"
+    sql["entropy"] = (
+        f"with {DOCS}, {counted.format(k='doc_id', t='text', s='docs')} select doc_id, cast(coalesce(total, 0) as bigint) as n_chars, "
+        f"coalesce(many, 0) as n_distinct, coalesce({bits}, 0::double) as entropy from docs left join tot using (doc_id)"
+    )
+    sql["entropy_by_type"] = (
+        f"{_content()}, {counted.format(k='content_type', t='raw_text', s='cnt')} select content_type, cast(total as bigint) as n_chars, "
+        f"many as n_distinct, {bits} as entropy from tot"
+    )
+    sql["attack_nn"] = (
+        "with att as (select vec_id + 7 as attack_id, list_transform(embedding, lambda x, i: cast(x as double) + case when i % 4 = 1 then 0.03 else 0 end) as a "
+        "from embeddings where vec_id % 20 = 0), all_pairs as (select vec_id, attack_id, list_cosine_similarity(cast(embedding as double[]), a) as s "
+        "from embeddings, att) select vec_id, attack_id, round(s, 6) as similarity from all_pairs where s >= 0.35 "
+        "qualify row_number() over (partition by vec_id order by round(s, 12) desc, attack_id) = 1"
+    )
+    planted = {
+        0: [("<!-- jailbreak, never closed <b>x</b>", 0, " jailbreak, never closed <b>x</b>", False)],
+        1: [("<!-- a --!>", 0, " a ", True), ("<!-->", 18, "", True), ("<!--->", 33, "", True), ("<!-- b -- c -->", 40, " b -- c ", True)],
+        2: [("<!--yes-->", 44, "yes", True)],
+        3: [("<!-- multi", 40, " multi\nline é😀 ", True)],
+        4: [("<!--last-->", 51, "last", True)],
+    }
+    extra = ", ".join(
+        f"({kind}, {n}, {at}, {q(text)}, {str(closed).lower()})" for kind, rows in planted.items() for n, (_, at, text, closed) in enumerate(rows)
+    )
+    sql["html_comments"] = (
+        "with own as (select page_id, html, regexp_extract_all(html, '(?s)<!--.*?-->') as found, "
+        "regexp_split_to_array(html, '(?s)<!--.*?-->') as rest from pages), "
+        f"ext as (select * from (values {extra}) as v(kind, no, place, body, closed)) "
+        "select page_id, cast(i - 1 as integer) as comment_no, found[i][5:-4] as text, "
+        "cast(list_sum(list_transform(rest[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as integer) as position, "
+        "true as closed from own, range(1, 100) as r(i) where i <= len(found) union all "
+        "select page_id, cast(len(found) + no as integer), body, cast(length(html) + place as integer), closed from own join ext on page_id % 5 = kind"
+    )
     sql["model_score"] = (
         f"with {DOCS}, {joined}, {signals('joined', 'text', 'doc_id, prob', model='prob')} "
         "select doc_id, score as injection_score, round(m * 100::double, 2) as model_score, prob is not null as ml_enabled from sig"

@@ -13,11 +13,14 @@ from thornwall.functions import safety as S
 from thornwall.functions import text as T
 from thornwall.functions.matching import with_folded
 from thornwall.functions.vectors import cosine_similarity
+from thornwall.operators import characters as CH
 from thornwall.operators import detect as D
 from thornwall.operators import guard as G
 from thornwall.operators import html as HO
 from thornwall.operators import keyed as K
+from thornwall.operators import learned as L
 from thornwall.operators import model as M
+from thornwall.operators import nearest as N
 from thornwall.operators import ocr as O
 from thornwall.operators import report as RP
 from thornwall.operators import sanitize as SA
@@ -419,6 +422,39 @@ def content_dom(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("content_id", "has_hidden_divs", "has_suspicious_scripts")
 
 
+COMMENTED = {
+    0: "<!-- jailbreak, never closed <b>x</b>",
+    1: "<!-- a --!> after <!--> none --> <!---> <!-- b -- c -->",
+    2: '<script>var a = "<!-- not one -->";</script><!--yes--><style>p { content: "<!-- no -->" }</style>',
+    3: "<p title=\"<!-- no -->\" data-x='>'>don't <!-- multi\nline é😀 --> end",
+    4: "<script><!-- <script> </script> <!-- x --></script><!--last--><!doctype html><? no ?>",
+}
+
+
+def commented_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with comments of several kinds at their end."""
+    cases = F.element_at(F.array(*[F.lit(COMMENTED[n]) for n in range(5)]), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, sf, "pages", "page_id").select("page_id", F.concat("html", cases).alias("html"))
+
+
+@query
+def html_comments(spark: SparkSession, sf: str) -> DataFrame:
+    rows = commented_pages(spark, sf).select("page_id", F.posexplode(H.comments(F.col("html"))).alias("comment_no", "c"))
+    return rows.select("page_id", "comment_no", "c.*")
+
+
+@query
+def entropy(spark: SparkSession, sf: str) -> DataFrame:
+    found = CH.text_entropy(documents(spark, sf), "text", "doc_id")
+    return found.withColumn("entropy", F.round("entropy", 6))
+
+
+@query
+def entropy_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    found = CH.group_entropy(all_content(spark, sf), "raw_text", "content_type")
+    return found.withColumn("entropy", F.round("entropy", 6))
+
+
 # --- Detection ------------------------------------------------------------------------------------
 
 
@@ -498,6 +534,28 @@ def embed_similarity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def attack_nn(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest known attack of every vector; the attacks are the vectors with ids divisible by 20, turned a little."""
+    rows = table(spark, sf, "embeddings", "vec_id")
+    turned = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i % 4 == 0, 0.03).otherwise(0.0))
+    attacks = rows.where("vec_id % 20 = 0").select((F.col("vec_id") + 7).alias("attack_id"), turned.alias("embedding"))
+    found = N.nearest_attacks(rows, attacks, 0.35)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def model_learned(spark: SparkSession, sf: str) -> DataFrame:
+    """A classifier fitted on the labels outside one fold, stored, and used in place of the keyword score."""
+    path = f"{shared_folder(spark)}/weights"
+    rows = documents(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    taught = rows.join(labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1), "doc_id")
+    L.save(L.fit(taught, "text", "toxic"), path)
+    df = D.detect(L.with_learned_probability(rows, path), model_probability="model_probability", segments=False)
+    return df.select("doc_id", F.round("model_probability", 6).alias("probability"), "injection_score", "model_score", "ml_enabled")
+
+
 # --- Scores ---------------------------------------------------------------------------------------
 
 

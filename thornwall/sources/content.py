@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thornwall.config import stored
+from thornwall.functions import html as html_functions
 from thornwall.functions.text import content_hash, decode_bytes, encode_base64
 from thornwall.operators import html as html_operators
 from thornwall.operators import ocr
@@ -27,6 +28,7 @@ SCHEMA = {
     "has_hidden_divs": "boolean",
     "has_suspicious_scripts": "boolean",
     "alt_texts": "array<string>",
+    "comments": "array<string>",
     "simulated": "boolean",
     "source": "string",
     "user_reputation": "int",
@@ -60,8 +62,8 @@ def from_text(df: DataFrame, content_id: Column, text: str = "text", content_typ
     return _conform(df, content_type, columns)
 
 
-def from_html(df: DataFrame, content_id: Column, html: str = "html", mode: str = "regex") -> DataFrame:
-    """Pages; ``mode`` is that of ``thornwall.operators.html.extract``."""
+def from_html(df: DataFrame, content_id: Column, html: str = "html", mode: str = "regex", comments: bool = False) -> DataFrame:
+    """Pages; ``mode`` is that of ``thornwall.operators.html.extract``. ``comments`` reads those too, for scans that score them."""
     df = html_operators.extract_for_scan(df, html, mode)
     columns = {
         "content_id": content_id,
@@ -71,6 +73,8 @@ def from_html(df: DataFrame, content_id: Column, html: str = "html", mode: str =
         "has_suspicious_scripts": "has_suspicious_scripts",
         "alt_texts": "alt_texts",
     }
+    if comments:
+        columns["comments"] = F.transform(html_functions.comments(F.coalesce(F.col(html), F.lit(""))), lambda c: c["text"])
     return _conform(df, "html", columns)
 
 
