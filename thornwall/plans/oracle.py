@@ -718,7 +718,18 @@ def build() -> dict[str, str]:
         f"round(safe, 4) as safety_score, {action()} as recommended_action, {count} as n_segments from saf"
     )
     sql["stream_guard"] = (
-        f"{guarded} select conv_id, turn, score as injection_score, act as sanitization_action, {_hash('t')} as input_hash from out"
+        f"{guarded} select conv_id, turn, score as injection_score, {category()} as risk_category, was_sanitized, act as sanitization_action, "
+        f"array_to_string(list_filter([{named}], lambda x: x is not null), ',') as flagged_patterns, "
+        f"{_cut('t', 500)} as original_prompt, {_cut('s', 500)} as sanitized_prompt, answer as llm_response, "
+        f"{_cut('t', 200, '...')} as audit_original_prompt, {_cut('s', 200, '...')} as audit_sanitized_prompt, "
+        f"{_hash('t')} as input_hash, {_hash('answer')} as output_hash, concat(case when score < 30 then 'ISO42001_COMPLIANT,' else '' end, "
+        "case when was_sanitized then 'NIST_AI_RMF_SANITIZED,' else '' end, "
+        "case when act <> 'BLOCKED' then 'SOCI_PASS,' else '' end, 'AUDIT_TRAIL_COMPLETE') as compliance_tags from out"
+    )
+    copies = DOCS.replace(planted_text("doc_id"), planted_text("n_chars"))
+    sql["stream_dedup"] = (
+        f"with {copies}, {signals('docs', 'text', 'doc_id')} select doc_id, {_hash('t')} as content_hash, score as injection_score, "
+        f"{category()} as risk_category from sig"
     )
     evt = f"evt as (select ts, {planted_text('event_id', 'event_type')} as prompt from events)"
     sql["stream_stats"] = (

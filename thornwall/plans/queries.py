@@ -28,6 +28,7 @@ from thornwall.operators.analyze import analyze, with_safety
 from thornwall.plans.planting import planted_dirty, planted_html, planted_text
 from thornwall.sources import content as C
 from thornwall.sources import sinks
+from thornwall.streaming import once as SO
 from thornwall.streaming import scan as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -898,7 +899,7 @@ def stream_analyze(spark: SparkSession, sf: str) -> DataFrame:
     stream = table_stream(spark, f"{sf}/documents.parquet", "doc_id")
     rows = stream.select("doc_id", "source", F.expr(planted_text("doc_id")).alias("text"))
     content = C.from_text(rows.withColumns(metadata_columns()), F.concat(F.lit("doc-"), F.col("doc_id")))
-    running = ST.write_stream(ST.stream_analyze(content), f"{folder}/analysis", f"{folder}/checkpoint")
+    running = ST.write_stream(ST.stream_analyze(content, segments="count"), f"{folder}/analysis", f"{folder}/checkpoint")
     running.awaitTermination()
     return spark.read.parquet(f"{folder}/analysis").select(
         "analysis_id",
@@ -906,10 +907,22 @@ def stream_analyze(spark: SparkSession, sf: str) -> DataFrame:
         "risk_category",
         F.col("safety_score_exact").alias("safety_score"),
         "recommended_action",
-        F.size("flagged_segments").alias("n_segments"),
+        F.col("flagged_segments_count").alias("n_segments"),
     )
 
 
+@query
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in four batches, copies among them; each content is scored once, every row comes out."""
+    folder = shared_folder(spark)
+    rows = raw_documents(spark, sf).select("doc_id", F.expr(planted_text("n_chars")).alias("text"))  # copies stay copies
+    rows = rows.withColumns({"content_hash": T.content_hash(F.col("text")), "ts": F.timestamp_seconds(F.col("doc_id") + 1_700_000_000)})
+    rows.repartition(4).write.parquet(f"{folder}/in")
+    once = SO.ScoreOnce(f"{folder}/out", lambda df: D.score(df, "text", "injection_score").drop("text"), "doc_id", late="365 days", every=3)
+    once.start(ST.read_stream(spark, f"{folder}/in", maxFilesPerTrigger="1"), f"{folder}/checkpoint").awaitTermination()
+    return once.read(spark).select("doc_id", "content_hash", "injection_score", D.risk_category(F.col("injection_score")).alias("risk_category"))
+
+
 @query
 def stream_guard(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark)
@@ -917,8 +930,10 @@ def stream_guard(spark: SparkSession, sf: str) -> DataFrame:
     rows = stream.select("conv_id", "turn", F.expr(planted_text("(conv_id + turn)")).alias("prompt"))
     ST.stream_guard(rows, folder, f"{folder}/checkpoint", mode=guard_mode()).awaitTermination()
     return spark.read.parquet(f"{folder}/audit").select(
-        "conv_id", "turn", "injection_score", "sanitization_action", "input_hash"
-    )
+        "conv_id", "turn", "injection_score", "risk_category", "was_sanitized", "sanitization_action",
+        F.array_join("flagged_patterns", ",").alias("flagged_patterns"), "original_prompt", "sanitized_prompt", "llm_response",
+        "audit_original_prompt", "audit_sanitized_prompt", "input_hash", "output_hash", F.array_join("compliance_tags", ",").alias("compliance_tags"),
+    )
 
 
 @query

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,11 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 from thornwall.config import DEFAULT, ScanConfig
 from thornwall.operators import guard as G
 from thornwall.operators.analyze import analyze
+from thornwall.sources import manifest
 
 
-def stream_analyze(content: DataFrame, config: ScanConfig = DEFAULT) -> DataFrame:
-    """``analyze`` over a stream; stateless, so it keeps up by adding tasks."""
-    return analyze(content, config=config)
+def stream_analyze(content: DataFrame, config: ScanConfig = DEFAULT, segments: bool | str = True) -> DataFrame:
+    """``analyze`` over a stream; stateless, so it keeps up by adding tasks. ``segments="count"`` gives their number only."""
+    return analyze(content, config=config, segments=segments)
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -73,24 +78,84 @@ def read_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
-def run_stats(stats: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def run_stats(stats: DataFrame, path: str, checkpoint: str, late: str = "10 minutes", every: int = 10) -> DataFrame:
     """Run windowed statistics over what has arrived and read the totals of all windows.
 
     Update mode: a batch writes the windows it changed, under its own number, so windows still open count too, state
-    of windows behind the watermark is dropped, and a batch that is repeated replaces what it wrote.
+    of windows behind the watermark is dropped, and a batch that is repeated replaces what it wrote. Every ``every``
+    batches ``compact_stats`` merges them. ``late`` is that of ``stream_stats``.
     """
+    writer = stats.writeStream.outputMode("update").foreachBatch(stats_writer(path, late, every))
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return read_stats(stats.sparkSession, path)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = stats.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return read_stats(stats.sparkSession, path)
+def stats_writer(path: str, late: str, every: int) -> Callable[[DataFrame, int], None]:
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if (number + 1) % every == 0:
+            compact_stats(batch.sparkSession, path, number, late)
 
+    return write
 
-def read_stats(spark: SparkSession, path: str) -> DataFrame:
-    """The last totals of each window."""
-    rows = spark.read.parquet(path)
+
+_NOTHING = {"closed": [], "open": None, "through": -1}
+#: Folders of closed windows that are merged into one.
+_CLOSED = 8
+
+
+def _open_rows(spark: SparkSession, path: str, state: dict, through: int | None = None) -> DataFrame | None:
+    """The last totals of each window that may still change, up to a batch."""
+    parts = [spark.read.parquet(f"{path}/{state['open']}").withColumn("batch", F.lit(-1))] if state["open"] else []
+    for name in manifest.names(spark, path):
+        if name.startswith("batch=") and state["through"] < int(name[6:]) and (through is None or int(name[6:]) <= through):
+            parts.append(spark.read.parquet(f"{path}/{name}").withColumn("batch", F.lit(int(name[6:]))))
+    if not parts:
+        return None
+    rows = reduce(DataFrame.unionByName, parts)
     names = [c for c in rows.columns if c not in ("batch", "window_start", "window_end")]
     last = F.max_by(F.struct(*names), "batch").alias("last")
     return rows.groupBy("window_start", "window_end").agg(last).select("window_start", "window_end", "last.*")
+
+
+def compact_stats(spark: SparkSession, path: str, through: int, late: str) -> None:
+    """Merge the batches up to one: windows that can't change any more go to folders that are not read again until a reader
+    comes, the others to one folder. Both count from the moment ``stats.json`` names them; only then the batches go.
+
+    A window is closed if it ends ``late`` before the start of the latest window: later rows for it lie behind the
+    watermark. Folders of closed windows are merged when there are many, so their number is bounded.
+    """
+    state = manifest.get(spark, f"{path}/stats.json") or _NOTHING
+    rows = _open_rows(spark, path, state, through)
+    if rows is None:
+        return
+    rows = rows.persist()
+    latest = rows.agg(F.max("window_start")).first()[0]
+    done = F.col("window_end") <= F.lit(latest) - F.expr(f"interval {late}")
+    done = F.coalesce(done, F.lit(False))
+    new = {"closed": list(state["closed"]), "open": f"open-{uuid.uuid4().hex}", "through": through}
+    rows.where(~done).write.parquet(f"{path}/{new['open']}")
+    if not rows.where(done).isEmpty():
+        new["closed"].append(f"closed-{uuid.uuid4().hex}")
+        rows.where(done).write.parquet(f"{path}/{new['closed'][-1]}")
+    if len(new["closed"]) > _CLOSED:
+        merged = f"closed-{uuid.uuid4().hex}"
+        spark.read.parquet(*[f"{path}/{name}" for name in new["closed"]]).write.parquet(f"{path}/{merged}")
+        new["closed"] = [merged]
+    rows.unpersist()
+    manifest.put(spark, f"{path}/stats.json", new)
+    kept = {*new["closed"], new["open"], "stats.json"}
+    for name in manifest.names(spark, path):
+        if name.startswith(("open-", "closed-")) and name not in kept or name.startswith("batch=") and int(name[6:]) <= through:
+            manifest.remove(spark, f"{path}/{name}")
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The last totals of each window: closed ones as they are, the others from the open folder and later batches."""
+    state = manifest.get(spark, f"{path}/stats.json") or _NOTHING
+    rows = _open_rows(spark, path, state)
+    parts = [spark.read.parquet(*[f"{path}/{name}" for name in state["closed"]])] if state["closed"] else []
+    parts += [rows] if rows is not None else []
+    if not parts:
+        raise ValueError(f"no statistics are stored in {path}")
+    return reduce(DataFrame.unionByName, parts)
