@@ -6,7 +6,6 @@ import pytest
 from tests.llm.conftest import SCHEMA, prose, row
 from tests.oracle_check import compare, connect
 from thornwall.llm import chunks
-from thornwall.llm.common import looked_up
 from thornwall.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -75,15 +74,6 @@ def test_chunks_follow_the_content():
     assert b"".join(chunks.chunks(flat)) == flat and max(map(len, chunks.chunks(flat))) <= chunks.MOST
 
 
-def test_a_hot_key_is_spread(spark):
-    rows = spark.range(4000).selectExpr("id", "case when id % 3 = 0 then 'hot' else 'k' || (id % 1500) end as key")
-    groups = rows.groupBy("key").agg({"*": "count"}).toDF("key", "many").selectExpr("key", "many", "'v' || key as value")
-    joined = looked_up(rows, groups, "key", "id", hot=16)
-    assert joined.count() == 4000 and joined.where("value = 'v' || key").count() == 4000
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
-
-
 def test_copies_beyond_one_task(spark):
     rng = random.Random(4)
     long = prose(rng, 5000)

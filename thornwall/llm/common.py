@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thornwall.config import shared_folder
+from thornwall.operators.keyed import free_name, looked_up  # noqa: F401
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -26,37 +27,12 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, or with underscores before it where ``df`` has such a column (in any case of letters)."""
-    taken = {column.lower() for column in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` stored with a number for each row, and the name of that column, which none of them has."""
     name = free_name(docs, "row")
     return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def looked_up(rows: DataFrame, groups: DataFrame, key: str, spread: str, hot: int = 1024) -> DataFrame:
-    """``rows`` with the columns of ``groups``, which has one row per ``key`` and counts its rows in ``many``; else nulls.
-
-    Fewer than ``hot`` keys can hold more than a ``hot``-th of all counted rows each: these are sent to every task. The
-    others meet by a shuffle in which no key is large; rows that have their group by then are spread by ``spread``.
-    """
-    total = groups.agg(F.sum("many")).first()[0] or 0
-    names = [name for name in groups.columns if name != key]
-    few = groups.where(F.col("many") > F.lit(total / hot)).select(key, *[F.col(n).alias(f"__hot_{n}") for n in names])
-    rest = groups.where(F.col("many") <= F.lit(total / hot)).withColumn("__salt", F.lit(0).cast("long"))
-    met = F.col("__hot_many").isNotNull()
-    joined = rows.join(F.broadcast(few), key, "left")
-    joined = joined.withColumn("__salt", F.when(met, F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
-    joined = joined.join(rest, [key, "__salt"], "left")
-    return joined.select(*rows.columns, *[F.coalesce(f"__hot_{n}", n).alias(n) for n in names])
-
-
 def text_bytes(column) -> list[bytes]:
     """An Arrow text column as UTF-8 bytes; null becomes the empty text."""
     return [value or b"" for value in column.cast("binary").to_pylist()]
