@@ -31,7 +31,9 @@ DECAY = 1.5
 #: Bytes of a word at most, and bytes that the pieces of a longer run share at least: those of the longest n-gram.
 PIECE, SHARED = 32, 5
 #: Windows scored at once, and words that a worker remembers.
-BATCH, MEMO = 4096, 200_000
+BATCH, MEMO = 1024, 100_000
+#: Rows whose texts are held as bytes at once.
+ROWS = 1024
 #: Words of a very long text that are scored at once.
 SECTION = STRIDE * BATCH
 
@@ -272,8 +274,15 @@ class Scorer:
             self.memo, self.table = {}, self.table[:0]
             new = sorted(set(words))
         if new:
-            self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.network.gates(self.network.inputs(new)[0])])
+            first = len(self.memo)
+            self.memo.update(zip(new, range(first, first + len(new)), strict=True))
+            if len(self.memo) > len(self.table):  # room for twice as many, so that growing seldom copies
+                grown = np.empty((2 * len(self.memo), 6 * HIDDEN), np.float32)
+                grown[:first] = self.table[:first]
+                self.table = grown
+            for at in range(0, len(new), BATCH):
+                own = new[at : at + BATCH]
+                self.table[first + at : first + at + len(own)] = self.network.gates(self.network.inputs(own)[0])
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
     def windows(self, words: list[bytes], spans: list[tuple[int, int]]) -> np.ndarray:
@@ -379,7 +388,7 @@ def _worst_windows(sample: DataFrame, network: Network) -> list[Window]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             labels = batch.column(1).to_pylist()
             rows = [
                 {"doc": doc, "place": place, "label": label, "words": words}
@@ -454,13 +463,19 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, per
     return train(labelled_sample(docs, labels, folds, fold, per_label), **options)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row from the text alone; null, empty and wordless texts score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(network)  # some hundred kB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             values = scorer.scores(text_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
@@ -487,7 +502,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             values = scorer.scores(text_bytes(batch.column(names.index(text_col))))
             yield batch.filter(pa.array([value < threshold for value in values], pa.bool_()))
 
