@@ -11,21 +11,38 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 #: Pieces that a worker remembers as the latest, besides as many older ones that have not come up since.
 MEMO = 600_000
-#: Characters of text whose pieces are held at once.
-HELD = 2_000_000
 
 _ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: One word of Latin letters, on which all agree: the pre-tokenizers keep it whole.
-_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A word of Latin letters and the ASCII punctuation after it: the pre-tokenizers keep both whole, and apart from each
+#: other where no apostrophe is among them.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Marks a piece that is encoded as it is; other pieces of byte-level tokenizers follow a space. No text has this character.
 _BARE = "\ud800"
 
 
+class Memo(dict):
+    """The ids of pieces, made where they are not known; the least used half goes once there are too many."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. ``path`` is a tokenizer file of the library."""
 
@@ -46,19 +63,15 @@ class Encoder:
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: 256 + n for n, b in enumerate(hidden)}
         self.before = chr(self.letters[32]) if self.spaces else ""
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.ends = {mark: self._whole([mark])[0] for mark in ".,"}
-        self.line = self._whole(["\n"])[0]
+        self.memo, self.marks = Memo(self._make), Memo(self._whole)
+        self.line = self._whole("\n")
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
+    def _whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str, before: str) -> bytes:
         """A word straight through the library's model, which is all that its pipeline would do with it."""
-        if not self.spaces:
-            word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
         ids = [token.id for token in self.tokenize(before + word)]
@@ -89,57 +102,27 @@ class Encoder:
             return piece
         return piece[1:] if piece[0] == _BARE else " " + piece
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Encode new pieces; a full stop or comma after a Latin letter is always a token of its own, as is a line end."""
-        memo, others = self.memo, []
-        for piece in pieces:
-            tail, body = b"", piece
-            if piece[-1] in ".," and len(piece) > 1 and piece[-2].isascii() and piece[-2].isalpha():
-                tail, body = self.ends[piece[-1]], piece[:-1]
-            ids = memo.get(body)
-            if ids is None:
-                head, word, before = b"", body, self.before
-                if self.spaces and body[0] in ("\n", _BARE):
-                    head, word, before = self.line if body[0] == "\n" else b"", body[1:], ""
-                if not _WORD.fullmatch(word):
-                    others.append((piece, body, tail))
-                    continue
-                memo[body] = ids = head + self._word(word, before)
-            if tail:
-                memo[piece] = ids + tail
-        bodies = [body for _, body, _ in others]
-        for (piece, body, tail), ids in zip(others, self._whole([self._text(body) for body in bodies]), strict=True):
-            memo[body] = ids
-            memo[piece] = ids + tail
+    def _make(self, piece: str) -> bytes:
+        """The ids of a new piece: of its word and of the punctuation after it, if it is of that kind."""
+        head, word, before = b"", piece, self.before
+        if self.spaces and piece[0] in ("\n", _BARE):
+            head, word, before = self.line if piece[0] == "\n" else b"", piece[1:], ""
+        found = _WORD.fullmatch(word)
+        if not found:
+            return self._whole(self._text(piece))
+        word, marks = found.groups()
+        if marks:
+            return self.memo[piece[: -len(marks)]] + self.marks[marks]
+        if not self.spaces and not word.islower():
+            return self.memo[word.lower()]
+        return head + self._word(word, before)
 
     def encode(self, texts: Iterable[str | None]) -> Iterable[bytes]:
         """The ids of each text, in order; null is the empty text."""
-        held: list[list[str] | bytes] = []
-        size = 0
+        known = self.memo.__getitem__
         for text in texts:
             pieces = self._pieces(text) if text else []
-            held.append(self._whole([text])[0] if pieces is None else pieces)
-            size += len(text or "")
-            if size > HELD:
-                yield from self._ids(held)
-                held, size = [], 0
-        yield from self._ids(held)
-
-    def _ids(self, held: list[list[str] | bytes]) -> Iterable[bytes]:
-        if len(self.memo) > MEMO:
-            self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
-        found = [x if isinstance(x, bytes) else [*map(memo.get, x)] for x in held]
-        new: dict[str, bytes | None] = {}
-        for x, own in zip(held, found, strict=True):
-            if isinstance(own, list):
-                new.update([(p, None) for p, ids in zip(x, own, strict=True) if ids is None])
-        memo.update((p, older[p]) for p in new if p in older)
-        self._learn([p for p in new if p not in memo])
-        for x, own in zip(held, found, strict=True):
-            if isinstance(own, list):
-                own = b"".join([memo[p] if ids is None else ids for p, ids in zip(x, own, strict=True)])
-            yield own
+            yield self._whole(text) if pieces is None else b"".join(map(known, pieces))
 
 
 #: The encoders of this worker by tokenizer file; they outlive a task with their memos.
