@@ -102,10 +102,11 @@ def some_of_each(rows: DataFrame, group: str, many: int, groups: int = 64) -> li
     if not counts:
         return []
     place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
-    low = F.lit(False)
-    for side, count in counts:
-        share = 1.0 if count <= 4 * many else (2 * many + 10 * many**0.5) / count
-        low = low | ((F.col("side") == side) & (F.col("place") < share))
+    shares = {side: (2 * many + 10 * many**0.5) / count for side, count in counts if count > 4 * many}
+    low = F.lit(True)
+    if shares:
+        bound = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col("side")]
+        low = F.col("place") < F.coalesce(bound, F.lit(2.0))
     order = Window.partitionBy("side").orderBy("place", "id")
     ranked = ids.withColumn("place", place).where(low).withColumn("n", F.row_number().over(order))
     return [(row.id, row.side) for row in ranked.where(F.col("n") <= many).select("id", "side").collect()]

@@ -1,7 +1,7 @@
 """Language of whole texts by bit-sliced Bloom filters.
 
-Every slot of the filter table holds a bit for each language, so one lookup returns all languages that contain an
-n-gram: the masks of its slots, and-ed. A text's n-grams are counted per language, the counts corrected for the share of
+Every slot of the filter table holds a bit for each language (in words of 64 where there are more), so one lookup returns
+all languages that contain an n-gram: the masks of its slots, and-ed. A text's n-grams are counted per language, the counts corrected for the share of
 n-grams that a filter lets through by chance, and the language with the largest corrected count is the answer.
 """
 
@@ -11,6 +11,7 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,15 @@ from thornwall.llm.common import some_of_each
 SIZES, PROBES = (3, 4), 3
 #: Characters counted at once.
 STEP = 1 << 20
+#: Languages of one table, the bits of its widest mask.
+WORD = 64
 SPACE = 32
 
 
+@cache
 def is_letter() -> np.ndarray:
     """Whether each code point is a letter; kept for the life of the worker."""
-    import builtins
-
-    if not hasattr(builtins, "_thornwall_letters"):
-        builtins._thornwall_letters = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
-    return builtins._thornwall_letters
+    return np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
 
 
 def _points(text: str) -> np.ndarray:
@@ -64,37 +64,38 @@ def grams(points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """The bit-sliced filters of up to 64 languages."""
+    """The bit-sliced filters of all languages: a table of masks for each ``WORD`` languages, over the same slots."""
 
     names: list[str]
-    table: np.ndarray
+    tables: list[np.ndarray]
     chance: np.ndarray
 
     @classmethod
     def of(cls, names: list[str], members: list[np.ndarray]) -> Filters:
         """``members`` are the n-grams of each language; the table has some 16 slots for each of the largest set."""
-        if len(names) > 64:
-            raise ValueError("at most 64 languages share a table")
-        kind = np.uint8 if len(names) <= 8 else np.uint16 if len(names) <= 16 else np.uint64
         slots = 1 << max(10, (16 * max(map(len, members), default=1)).bit_length())
-        table = np.zeros(slots, kind)
-        for bit, hashes in enumerate(members):
-            for probe in range(PROBES):
-                at = cls._slot(hashes, probe, slots)
-                table[at] |= kind(1 << bit)
-        filled = np.array([((table >> kind(bit)) & kind(1)).mean() for bit in range(len(names))])
-        return cls(names, table, filled**PROBES)
+        tables, chance = [], []
+        for first in range(0, len(names), WORD):
+            own = members[first : first + WORD]
+            kind = np.uint8 if len(own) <= 8 else np.uint16 if len(own) <= 16 else np.uint64
+            table = np.zeros(slots, kind)
+            for bit, hashes in enumerate(own):
+                for probe in range(PROBES):
+                    table[cls._slot(hashes, probe, slots)] |= kind(1 << bit)
+            tables.append(table)
+            chance += [((table >> kind(bit)) & kind(1)).mean() ** PROBES for bit in range(len(own))]
+        return cls(names, tables, np.array(chance))
 
     @staticmethod
     def _slot(hashes: np.ndarray, probe: int, slots: int) -> np.ndarray:
         return ((hashes * np.uint64(2 * probe + 1) + (hashes >> np.uint64(21 + 7 * probe))) >> np.uint64(7)) & np.uint64(slots - 1)
 
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """The languages that contain each n-gram, a bit for each."""
-        found = self.table[self._slot(hashes, 0, len(self.table))]
-        for probe in range(1, PROBES):
-            found = found & self.table[self._slot(hashes, probe, len(self.table))]
-        return found
+    def masks(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """The languages that contain each n-gram: for each ``WORD`` languages a mask with a bit for each."""
+        if not self.tables:
+            return []
+        places = [self._slot(hashes, probe, len(self.tables[0])) for probe in range(PROBES)]
+        return [np.bitwise_and.reduce([table[at] for at in places]) for table in self.tables]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, share of the evidence); ``und`` and 0 for a text without letters."""
@@ -104,10 +105,12 @@ class Filters:
         for at in range(0, len(text or ""), STEP):
             points = _points(text[at : at + STEP])
             letters = letters or bool((points != SPACE).any())
-            masks = self.masks(grams(points))
-            total += len(masks)
-            hits = [np.count_nonzero(masks & masks.dtype.type(1 << bit)) for bit in range(len(self.names))]
-            counts += np.array(hits, np.int64)
+            hashes = grams(points)
+            total += len(hashes)
+            masks = self.masks(hashes)
+            for n in range(len(self.names)):
+                mask = masks[n // WORD]
+                counts[n] += np.count_nonzero(mask & mask.dtype.type(1 << n % WORD))
         if not letters or not self.names:
             return "und", 0.0
         real = np.maximum(0, (counts - total * self.chance) / (1 - self.chance))
@@ -115,14 +118,15 @@ class Filters:
         return self.names[best], float(real[best] / real.sum()) if real.sum() else 0.0
 
 
-def learn(labelled: DataFrame, per_language: int = 400, min_share: float = 0.01) -> Filters:
+def learn(labelled: DataFrame, per_language: int = 400, min_share: float = 0.01, languages: int = 1024) -> Filters:
     """Filters from ``labelled`` (id, text, lang): at most ``per_language`` texts of each language.
 
     The texts with the smallest hash of their id are taken. A filter holds the n-grams that are in at least ``min_share`` of
-    its texts, and in two at least where there are ten or more. Null texts and languages teach nothing.
+    its texts, and in two at least where there are ten or more. Null texts and languages teach nothing. More than
+    ``languages`` of them raise ValueError, since their filters would not fit a worker.
     """
     known = labelled.where("id is not null and lang is not null and text is not null")
-    chosen = some_of_each(known.select("id", "lang"), "lang", per_language)
+    chosen = some_of_each(known.select("id", "lang"), "lang", per_language, languages)
     wanted = labelled.where(F.col("id").isin([i for i, _ in chosen]) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
