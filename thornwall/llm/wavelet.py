@@ -54,7 +54,7 @@ def encode_file(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, tok
         ends = np.cumsum([len(b) for b in small])
         out.append(struct.pack("<2Q", len(rest) - int(bits.sum()), len(blocks)))
         out += [ones.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *small]
-        rest = np.concatenate([rest[~bits], rest[bits]])
+        rest = np.concatenate([np.compress(~bits, rest), np.compress(bits, rest)])
     return b"".join(out)
 
 
@@ -151,10 +151,10 @@ class WaveletFile:
         for plane in range(len(self.planes) - 1, -1, -1):
             zeros, ones, _, _ = self.planes[plane]
             packed = [self._block(plane, n) for n in range(len(ones))]
-            bits = np.unpackbits(np.concatenate(packed or [np.zeros(0, np.uint8)]))[: self.size].astype(bool)
+            bits = np.unpackbits(np.concatenate(packed or [np.zeros(0, np.uint8)]))[: self.size]
             upper = np.empty_like(values)
-            upper[~bits] = values[:zeros]
-            upper[bits] = values[zeros:] | (1 << (len(self.planes) - 1 - plane))
+            upper[np.flatnonzero(bits == 0)] = values[:zeros]
+            upper[np.flatnonzero(bits)] = values[zeros:] | (1 << (len(self.planes) - 1 - plane))
             values = upper
         return values
 
