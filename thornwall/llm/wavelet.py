@@ -151,9 +151,9 @@ class WaveletFile:
         for plane in range(len(self.planes) - 1, -1, -1):
             zeros, ones, _, _ = self.planes[plane]
             packed = [self._block(plane, n) for n in range(len(ones))]
-            bits = np.unpackbits(np.concatenate(packed or [np.zeros(0, np.uint8)]))[: self.size]
+            bits = np.unpackbits(np.concatenate(packed or [np.zeros(0, np.uint8)]))[: self.size].view(bool)
             upper = np.empty_like(values)
-            upper[np.flatnonzero(bits == 0)] = values[:zeros]
+            upper[np.flatnonzero(~bits)] = values[:zeros]
             upper[np.flatnonzero(bits)] = values[zeros:] | (1 << (len(self.planes) - 1 - plane))
             values = upper
         return values
