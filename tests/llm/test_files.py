@@ -6,6 +6,7 @@ import pytest
 
 from thornwall.config import shared_folder
 from thornwall.llm import shards, warc
+from thornwall.llm.queries import QUERIES
 from thornwall.llm.shards import shard_by_bytes
 
 
@@ -89,6 +90,18 @@ def test_shards_are_minimax(spark, odd, sf, monkeypatch, ladder, many):
         assert all(len(s) == 1 for s in place.values())
 
 
+def test_the_queries_give_what_plain_code_gives(spark, sf):
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(str(tuple(r)) for r in QUERIES["op8_warc"](spark, sf).select(columns).collect()) == expected(pages, 0)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got, loads = QUERIES["op9_shards"](spark, sf).collect(), {}
+    assert sorted((r.doc_id, r.size) for r in got) == sorted((i, len((t or "").encode()) + 8) for i, t in rows)
+    for r in got:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    assert set(loads) <= set(range(24)) and max(loads.values()) == smallest_capacity(groups(rows), 24)
+
+
 def test_shards_of_few_and_no_rows(spark, none):
     assert shard_by_bytes(none).count() == 0
     same = spark.createDataFrame([(i, "same") for i in range(50)], "doc_id long, text string").repartition(4)
