@@ -464,13 +464,21 @@ def build() -> dict[str, str]:
         "as stripped from pgs"
     )
     sql["html_extract"] = (
-        f"with {PAGES}, {_ALL_TEXT}, {_SCRIPTS}, {_indicator_hits('txt')} select page_id, {visible('html')} as visible_text, "
+        f"with {PAGES}, {_ALL_TEXT}, {_SCRIPTS}, {_indicator_hits('txt')}, r as (select page_id, {_B64} as rs from pgs), "
+        "e as (select page_id, unnest(range(len(rs))) as no, unnest(rs) as run from r), "
+        "runs as (select page_id, string_agg(concat_ws(':', case when length(run) > 50 then concat(substring(run, 1, 50), '...') else run end, "
+        "length(run), case when length(rtrim(run, '=')) % 4 = 1 or length(run) % 4 <> 0 then '[Unable to decode]' "
+        "else try(substring(decode(from_base64(run)), 1, 100)) end), '|' order by no) as found from e group by page_id), "
+        "scripts as (select page_id, string_agg(concat_ws(':', substring(body, 1, 200), array_to_string(found, ' ')), '|' order by pos) as found "
+        "from bad where len(found) > 0 group by page_id), "
+        f"hits as (select page_id, string_agg(concat_ws(':', pattern, m[k], {_offset('g', 'm', 'k')}, severity), '|' order by no, k) as found "
+        "from each group by page_id) "
+        f"select page_id, {visible('html')} as visible_text, "
         f"array_to_string({_ALTS}, '|') as alt_texts, array_to_string({_styles('html')}, '|') as hidden_content, "
-        f"len({_styles('html')}) > 0 as has_hidden_divs, "
-        "coalesce(b.n, 0) > 0 as has_suspicious_scripts, cast(coalesce(b.n, 0) as integer) as n_scripts, "
-        f"cast(len({_B64}) as integer) as n_base64, cast(coalesce(i.n, 0) as integer) as n_indicators from pgs "
-        "left join (select page_id, count(*) as n from bad where len(found) > 0 group by page_id) b using (page_id) "
-        "left join (select page_id, count(*) as n from each group by page_id) i using (page_id)"
+        f"len({_styles('html')}) > 0 as has_hidden_divs, scripts.found is not null as has_suspicious_scripts, "
+        "coalesce(scripts.found, '') as suspicious_scripts, coalesce(runs.found, '') as base64_content, "
+        "coalesce(hits.found, '') as injection_indicators from pgs "
+        "left join scripts using (page_id) left join runs using (page_id) left join hits using (page_id)"
     )
 
     sql["html_extract_dom"] = (

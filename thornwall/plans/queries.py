@@ -380,7 +380,15 @@ def html_strip_dangerous(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """All that is read from a page, each list in its order as one text."""
     df = HO.extract(pages(spark, sf))
+    # as in html_base64, a preview with replacement characters has no SQL form
+    preview = lambda b: F.when(~F.contains(b["decoded_preview"], F.lit("\ufffd")), b["decoded_preview"])
+    lists = {
+        "suspicious_scripts": lambda x: F.concat_ws(":", x["snippet"], F.array_join(x["patterns_found"], " ")),
+        "base64_content": lambda x: F.concat_ws(":", x["preview"], x["length"].cast("string"), preview(x)),
+        "injection_indicators": lambda x: F.concat_ws(":", x["pattern"], x["matched_text"], x["position"].cast("string"), x["severity"]),
+    }
     return df.select(
         "page_id",
         "visible_text",
@@ -388,9 +396,7 @@ def html_extract(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join("hidden_content", "|").alias("hidden_content"),
         "has_hidden_divs",
         "has_suspicious_scripts",
-        F.size("suspicious_scripts").alias("n_scripts"),
-        F.size("base64_content").alias("n_base64"),
-        F.size("injection_indicators").alias("n_indicators"),
+        *[F.array_join(F.transform(name, shown), "|").alias(name) for name, shown in lists.items()],
     )
 
 
