@@ -37,7 +37,7 @@ def test_recall_of_the_query(spark):
 
 
 def test_a_full_walk_is_exact_with_ties_and_crowded_cells(spark, monkeypatch):
-    for name, value in (("GROUP", 64), ("RUN", 8), ("STEP", 3)):
+    for name, value in (("GROUP", 64), ("STEP", 3)):
         monkeypatch.setattr(ann, name, value)
     rng = np.random.default_rng(6)
     vectors = np.concatenate([np.tile(rng.normal(size=6), (300, 1)), rng.integers(-2, 3, (300, 6)).astype(float) + 0.5])
@@ -66,6 +66,19 @@ def test_one_vector_of_another_length_leaves_the_others(spark):
     for r in ann.nearest(table, k=5, every=20, cells=4, share=1.0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, pytest.approx(r.score)))
     assert got == slow_nearest(ids, vectors, 5, 20)
+    counted = {r.length: (r.vectors, r.searched) for r in ann.left_out(table).collect()}
+    assert counted == {2: (1, False), 6: (80, True), 9: (1, False)} and ann.left_out(table.limit(0)).count() == 0
+
+
+def test_each_entry_is_sent_once(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    plan = ann.nearest(table, every=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "CoGroup" not in plan
+
+
+def test_cells_grow_with_the_square_root():
+    assert [ann.cells_for(n, 64) for n in (0, 500, 10_000, 160_000, 10**9)] == [64, 64, 64, 128, 1138]
+    assert ann.cells_for(10**9, 64) ** 2 / 10**4.5 < 1.01 * ann.cells_for(10**4, 64) ** 2 / 10**2
 
 
 def test_the_walk_goes_by_rising_sums():
@@ -135,3 +148,41 @@ def test_documents_shorter_than_an_item_are_compared_whole(spark):
     assert {i: set(r.item_ids) for i, r in got.items()} == {i: slow_items(t, items) for i, t in rows}
     assert got[1].similarity == pytest.approx(25 / 26) and got[1].start_word == 0 and got[301].similarity == pytest.approx(0.8)
     assert not got[18].contaminated and not got[402].contaminated
+
+
+def test_the_index_finds_all_within_the_radius_and_selects():
+    rng = np.random.default_rng(11)
+    own = rng.integers(0, 2**32, (300, decontam.BLOCKS), dtype=np.uint32)
+    own[7] = own[8]
+    prints = np.concatenate([own[rng.integers(0, 300, 400)], rng.integers(0, 2**32, (400, decontam.BLOCKS), dtype=np.uint32)])
+    for n in range(400):  # up to 100 bits changed
+        for bit in rng.permutation(decontam.BITS)[: n // 4]:
+            prints[n, bit // 32] ^= np.uint32(1 << int(bit % 32))
+    prints = np.concatenate([prints, prints[:5]])
+    kinds, item_kinds = rng.integers(0, 3, len(prints)), rng.integers(0, 3, 300)
+    apart = np.bitwise_count(prints[:, None] ^ own).sum(-1)
+    same = kinds[:, None] == item_kinds
+    for radius in (0, 3, 9, 72, 100):
+        assert sum(b + 1 for b in decontam.limits(radius)) >= radius + 1
+        got = decontam.Blocks(prints, kinds).within(radius, decontam.Blocks(own, item_kinds))
+        assert set(zip(*(x.tolist() for x in got), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero((apart <= radius) & same)), strict=True))
+        assert len(got[0]) == len(set(zip(*(x.tolist() for x in got), strict=True)))
+    passed = np.zeros((400, 300), bool)
+    for block, limit in enumerate(decontam.limits(72)):
+        passed |= np.bitwise_count(prints[400:800, block, None] ^ own[:, block]) <= limit
+    assert passed.mean() < 0.05
+
+
+def test_similar_windows_lie_within_the_radius():
+    rng = random.Random(12)
+    distances = []
+    while len(distances) < 1500:
+        words = prose(rng, rng.randint(13, 80), 5000).encode().split()
+        edited = list(words)
+        edited[-max(1, (len(words) - 4) // 9) :] = prose(rng, max(1, (len(words) - 4) // 9), 5000).encode().split()
+        bags = [[b" ".join(w[i : i + 5]) for i in range(len(w) - 4)] for w in (words, edited)]
+        both = len(set(bags[0]) & set(bags[1]))
+        if both >= 0.8 * (len(bags[0]) + len(bags[1]) - both):
+            marks = [decontam._prints(decontam._bits(bag).sum(0, dtype=np.int64), len(bag)) for bag in bags]
+            distances.append(int(np.bitwise_count(marks[0] ^ marks[1]).sum()))
+    assert max(distances) <= 72 and 25 < np.mean(distances) < 45

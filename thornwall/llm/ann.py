@@ -2,9 +2,9 @@
 
 Both halves of the vectors are quantised on their own; a pair of centroids names a cell. A query walks the cells in
 the order of summed distance (the inner products with the two centroids, negated) with a heap, until the cells hold
-enough entries, and those entries are reranked with exact scores. Entries are grouped into tasks of at most
-``GROUP`` rows, a crowded cell being split over several, and queries into runs of about ``RUN``, so no task depends on
-how full a cell is.
+enough entries, and those entries are reranked with exact scores. Entries are grouped into at most ``GROUP`` rows, a
+crowded cell being split over several, so no task depends on how full a cell is. Each entry moves once: a task holds the
+entries of one group at a time and streams the queries that visit it, which follow them in the sorted partition.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from thornwall.llm.common import parts, written
 
-GROUP, RUN, STEP = 16384, 4096, 256
+GROUP, STEP = 16384, 256
 
 
 def vectors_of(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -80,6 +80,21 @@ def _best(scores: np.ndarray, queries: np.ndarray, entries: np.ndarray, ids: np.
         yield n, ids[chosen][order], exact[order]
 
 
+def cells_for(rows: int, least: int) -> int:
+    """Centroids per half: by the fourth root, so that their pairs grow with the square root of the rows.
+
+    64 up to 10,000 rows, 1,138 for a thousand million.
+    """
+    return max(least, round(6.4 * rows**0.25))
+
+
+def left_out(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(length, vectors, searched): how many valid vectors each length has, and whether ``nearest`` searches them."""
+    lengths = vectors_of(table, id_col, vector_col).groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("vectors"))
+    most = lengths.agg(F.max(F.struct("vectors", "length"))["length"].alias("most"))
+    return lengths.join(most, F.col("length") == F.col("most"), "left").select("length", "vectors", F.col("most").isNotNull().alias("searched"))
+
+
 def nearest(
     table: DataFrame,
     k: int = 20,
@@ -92,12 +107,13 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with an id divisible by ``every`` its k nearest others found.
 
-    ``cells`` centroids per half are fitted on ``sample`` rows at most (those with the smallest hash of the id); all
-    rows are indexed. A query looks through cells that hold ``share`` of all rows, and 4 k at least: vectors
+    ``cells`` centroids per half, more from 10,000 rows on (``cells_for``), are fitted on ``sample`` rows at most (those
+    with the smallest hash of the id); all rows are indexed. A query looks through cells that hold ``share`` of all rows, and 4 k at least: vectors
     without much structure, as here, need that for a recall of 0.9. Scores are inner products of the original vectors
     in double precision. Vectors of another length than the commonest (of equally
-    common ones the largest) take no part. Rows of one id are
-    one entry each, and none of them is a candidate of a query with that id.
+    common ones the largest) take no part; ``left_out`` counts them. Rows of one id are
+    one entry each, and none of them is a candidate of a query with that id. Equal scores rank by the smaller id. An empty
+    table has an empty result.
     """
     spark = table.sparkSession
     valid = vectors_of(table, id_col, vector_col)
@@ -110,7 +126,8 @@ def nearest(
     half = size // 2
     valid = valid.where(F.size("vector") == size)
     fitted = np.array([r.vector for r in valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").collect()])
-    centres = [centroids(x, min(cells, max(1, len(x) // 4))) for x in (fitted[:, :half], fitted[:, half:])]
+    many = cells_for(some[0]['count'], cells)
+    centres = [centroids(x, min(many, max(1, len(x) // 4))) for x in (fitted[:, :half], fitted[:, half:])]
     wide = len(centres[1])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,17 +146,21 @@ def nearest(
     # Cells are laid end to end and cut into groups; a crowded cell spans several, its entries dealt by id.
     begin = np.cumsum(counts) - counts
     first, last = begin // GROUP, (begin + np.maximum(counts, 1) - 1) // GROUP
-    runs = max(1, -(-total // every // RUN))
+    fields = ["task", "kind", "vec_id", "vector", "cell", "cells"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries go to a group of their cell, once per run of queries."""
+        """Each entry goes to one group of its cell."""
         for batch in batches:
             cell, ids = batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy()
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             group = first[cell] + (mixed.astype(np.int64) % (last[cell] - first[cell] + 1))
-            for run in range(runs):
-                columns = [pa.array(group * runs + run), batch.column("vec_id"), batch.column("vector"), batch.column("cell")]
-                yield pa.RecordBatch.from_arrays(columns, names=["task", "vec_id", "vector", "cell"])
+            columns = [pa.array(group), pa.array(np.zeros(len(cell), np.int32)), batch.column("vec_id"), batch.column("vector"), batch.column("cell")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(cell), pa.binary())], names=fields)
+
+    def laid(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=fields)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A query goes to every group that holds one of its cells, with the list of those cells."""
@@ -152,42 +173,51 @@ def nearest(
                 for cell in found.tolist():
                     for group in range(first[cell], last[cell] + 1):
                         lists.setdefault(int(group), []).append(cell)
-                run = (query // every) % runs
-                out += [(g * runs + run, query, raw, np.array(c, np.int32).tobytes()) for g, c in lists.items()]
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["task", "query_id", "query", "cells"]
-            )
-
-    def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if queries.num_rows and rows.num_rows:
-            rows = rows.sort_by("vec_id")
-            ids, cell = rows["vec_id"].to_numpy(), rows["cell"].to_numpy()
-            held = np.frombuffer(b"".join(rows["vector"].to_pylist())).reshape(-1, size)
-            names, place = np.unique(cell, return_inverse=True)
-            for at in range(0, queries.num_rows, STEP):
-                part = queries.slice(at, STEP)
-                vectors = np.frombuffer(b"".join(part["query"].to_pylist())).reshape(-1, size)
-                query_ids = part["query_id"].to_numpy()
-                visits = np.zeros((len(vectors), len(names)), bool)
-                for n, raw in enumerate(part["cells"].to_pylist()):
-                    visits[n] = np.isin(names, np.frombuffer(raw, np.int32))
-                scores = vectors @ held.T
-                scores[~visits[:, place] | (query_ids[:, None] == ids)] = -np.inf
-                for n, best, exact in _best(scores, vectors, held, ids, k):
-                    out[0].append(np.full(len(best), query_ids[n]))
-                    out[1].append(best)
-                    out[2].append(exact)
-        columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2]})
-
-    queries = entries.where(F.col("vec_id") % every == 0).mapInArrow(asked, "task long, query_id long, query binary, cells binary")
-    many = max(1, min(4 * parts(spark), int(last.max() + 1) * runs))
-    left = queries.repartition(many, "task").groupBy("task")
-    right = entries.mapInArrow(dealt, "task long, vec_id long, vector binary, cell long").repartition(many, "task").groupBy("task")
-    found = left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score double")
+                out += [(g, 1, query, raw, None, np.array(c, np.int32).tobytes()) for g, c in lists.items()]
+                if len(out) > STEP:
+                    yield laid(out)
+                    out = []
+            yield laid(out)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group, its entries before its queries."""
+        group, entries_of, held, ids, names, place = None, [], None, None, None, None
+        for batch in batches:
+            task, kind = batch.column("task").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(task) != 0) | (np.diff(kind) != 0)) + 1
+            for at, end in zip([0, *cuts], [*cuts, len(task)], strict=True):
+                if at == end:
+                    continue
+                if task[at] != group:
+                    group, entries_of, held = task[at], [], None
+                if kind[at] == 0:
+                    entries_of.append(batch.slice(at, end - at))
+                    continue
+                if not entries_of and held is None:
+                    continue
+                if held is None:
+                    rows = pa.Table.from_batches(entries_of)
+                    ids, held = rows["vec_id"].to_numpy(), np.frombuffer(b"".join(rows["vector"].to_pylist())).reshape(-1, size)
+                    names, place = np.unique(rows["cell"].to_numpy(), return_inverse=True)
+                    entries_of = []
+                for start in range(at, end, STEP):
+                    part = batch.slice(start, min(end, start + STEP) - start)
+                    vectors = np.frombuffer(b"".join(part["vector"].to_pylist())).reshape(-1, size)
+                    query_ids = part["vec_id"].to_numpy()
+                    visits = np.zeros((len(vectors), len(names)), bool)
+                    for n, raw in enumerate(part["cells"].to_pylist()):
+                        visits[n] = np.isin(names, np.frombuffer(raw, np.int32))
+                    scores = vectors @ held.T
+                    scores[~visits[:, place] | (query_ids[:, None] == ids)] = -np.inf
+                    best = list(_best(scores, vectors, held, ids, k))
+                    columns = [np.repeat(query_ids, [len(b) for _, b, _ in best]), *(np.concatenate([b[i] for b in best]) for i in (1, 2))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+    moved = "task long, kind int, vec_id long, vector binary, cell long, cells binary"
+    queries = entries.where(F.col("vec_id") % every == 0).mapInArrow(asked, moved)
+    many = max(1, min(4 * parts(spark), int(last.max() + 1)))
+    both = entries.mapInArrow(dealt, moved).unionByName(queries).repartition(many, "task")
+    found = both.sortWithinPartitions("task", "kind", "vec_id").mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows per group
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
