@@ -87,6 +87,27 @@ def test_files_become_content(spark, tmp_path):
     assert [r.name for r in C.read_files(spark, str(tmp_path), "text", "*.bin").collect()] == ["x.bin"]  # y.bin is empty
 
 
+def test_tasks_list_files_in_many_folders(spark, tmp_path, monkeypatch):
+    rows = spark.range(300).select(F.concat("id", F.when(F.col("id") % 2 == 0, ".txt").otherwise(".png")).alias("name"), F.col("id").cast("string").cast("binary").alias("content"))
+    folder = tmp_path / "a b%20c"
+    C.write_files(rows, str(folder), folders=7)
+    assert len(list(folder.iterdir())) == 7 and C.folders_for(10 * C.FILES) == 11
+    (folder / "deep" / "er").mkdir(parents=True)
+    (folder / "deep" / "er" / "ü.txt").write_bytes(b"x")
+    for hidden in (folder / ".h.txt", folder / "_no" / "z.txt"):
+        hidden.parent.mkdir(exist_ok=True)
+        hidden.write_bytes(b"x")
+    monkeypatch.setattr(C, "READ_BYTES", 5)
+    found = C.read_files(spark, str(folder), "text", "*.{txt,md}")
+    assert "binaryFile" not in found._jdf.queryExecution().toString()  # whose listing the driver holds
+    expected = {f"{i}.txt": str(i) for i in range(0, 300, 2)} | {"ü.txt": "x"}
+    got = found.collect()
+    assert {r.name: r.content for r in got} == expected and len(got) == len(expected)
+    assert all(r.path.startswith(f"file:{folder}/") and r.path.endswith(f"/{r.name}") for r in got)
+    several = C.read_files(spark, f"{folder}/d*", "text")  # a pattern: Spark's reader
+    assert [(r.name, r.length) for r in several.collect()] == [("ü.txt", 1)]
+
+
 def test_sink_round_trip_prunes_partitions(spark, tmp_path):
     texts = spark.createDataFrame([("a", "jailbreak"), ("b", "hi")], "id string, text string")
     path = str(tmp_path / "out")

@@ -197,7 +197,7 @@ def text_extract(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def file_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """A file per document, with invalid UTF-8 at both ends or, every second one, with a genuine U+FFFD, read as text; and
-    a file with the plain bytes, read as an image. The files of both kinds lie in one folder."""
+    a file with the plain bytes, read as an image. The files of both kinds lie in the same folders."""
     broken = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"), F.unhex(F.lit("C3")))
     sound = F.encode(F.concat("text", F.lit("\ufffd")), "UTF-8")
     files = raw_documents(spark, sf).withColumn("text", F.coalesce("text", F.lit(""))).select(
@@ -205,12 +205,12 @@ def file_ingest(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("doc_id") % 2 == 0, broken).otherwise(sound).alias("content"),
         F.encode("text", "UTF-8").alias("image"),
     )
-    folder = f"{shared_folder(spark)}/files"
+    folder, folders = f"{shared_folder(spark)}/files", C.folders_for(2 * files.count())
     for kind, column in (("txt", "content"), ("png", "image")):
-        C.write_files(files.select(F.concat("doc_id", F.lit(f".{kind}")).alias("name"), F.col(column).alias("content")), folder)
+        C.write_files(files.select(F.concat("doc_id", F.lit(f".{kind}")).alias("name"), F.col(column).alias("content")), folder, folders=folders)
     number = F.split("name", "[.]")[0].cast("long").alias("doc_id")
     texts, images = C.read_files(spark, folder, "text", "*.txt"), C.read_files(spark, folder, "image", "*.png")
-    images = images.select(number, F.col("content").alias("image"))
+    images = images.select(number, F.col("content").alias("image")).hint("merge")
     return texts.select(number, F.col("content").alias("text_content")).join(images, "doc_id", "left").select(
         "doc_id", "text_content", F.coalesce("image", F.lit("")).alias("image_content")  # an empty file has no row
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,6 +16,11 @@ from thornwall.functions.text import content_hash, decode_bytes, encode_base64
 from thornwall.operators import html as html_operators
 from thornwall.operators import ocr
 
+#: Files in a folder of those that are written spread out, and files or bytes that one task opens.
+FILES, BYTES = 2_000, 1 << 26
+#: Bytes of opened files that leave a task together.
+READ_BYTES = 1 << 23
+
 # name -> type of the extracted content; a source fills what its type has, the rest stays null
 SCHEMA = {
     "content_id": "string",
@@ -146,6 +152,82 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _local(folder: str) -> str:
+    """A folder as pyarrow names it: local ones without their scheme, so that no character of theirs is read as an escape."""
+    return "/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:/") else folder
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, length, modified) of the files in a folder and those below it, or of a single file.
+
+    Tasks list the folders, a level of them at a time, so the driver holds no file; files of one folder are listed by one
+    task. What starts with ``_`` or ``.`` is passed over, as Spark's readers do.
+    """
+    root = _local(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSelector, FileSystem, FileType
+
+        system, base = FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                at = f"{base.rstrip('/')}/{folder}".rstrip("/")
+                top = system.get_file_info(at)
+                alone = top.type == FileType.File
+                found = [top] if alone else system.get_file_info(FileSelector(at))
+                for start in range(0, len(found), 10_000):
+                    shown = [i for i in found[start : start + 10_000] if not i.base_name.startswith((".", "_"))]
+                    shown = [i for i in shown if not i.base_name.endswith("._COPYING_")]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(["" if alone else i.path[len(base.rstrip("/")) + 1 :] for i in shown], pa.string()),
+                            pa.array([i.base_name for i in shown], pa.string()),
+                            pa.array([i.size if i.type == FileType.File else None for i in shown], pa.int64()),
+                            pa.array([(i.mtime_ns or 0) // 10**6 * 1000 for i in shown], pa.int64()),
+                        ],
+                        names=["below", "name", "length", "micros"],
+                    )
+
+    levels, folders = [], spark.createDataFrame([("",)], "below string")
+    while not folders.isEmpty():
+        level = stored(folders.mapInArrow(run, "below string, name string, length long, micros long"), "listed")
+        levels.append(level.where(F.col("length").isNotNull()))
+        folders = level.where(F.col("length").isNull()).select("below")
+        folders = folders.repartition(1 + folders.count() // 16, "below")
+    whole = F.when(F.col("below") == "", F.lit(path)).otherwise(F.concat(F.lit(path.rstrip("/") + "/"), F.col("below")))
+    return union(*levels).select(whole.alias("path"), "name", "length", F.timestamp_micros("micros").alias("modified"))
+
+
+def _opened(files: DataFrame, path: str) -> DataFrame:
+    """The listed files of a folder with their bytes in ``content``, opened by tasks of about FILES files or BYTES bytes."""
+    root = _local(path)
+    columns = [*files.columns, "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        system, base = FileSystem.from_uri(root)
+
+        def made(rows: pa.RecordBatch, held: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(held, pa.binary())], names=columns)
+
+        for batch in batches:
+            first, size, held = 0, 0, []
+            for n, file in enumerate(batch.column(0)):
+                with system.open_input_file(base + file.as_py()[len(path) :]) as opened:
+                    held.append(opened.read())
+                size += len(held[-1])
+                if size >= READ_BYTES:
+                    yield made(batch.slice(first, n + 1 - first), held)
+                    first, size, held = n + 1, 0, []
+            if held:
+                yield made(batch.slice(first), held)
+
+    many, total = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    dealt = files.repartition(1 + max(many // FILES, total // BYTES), "path")
+    return dealt.mapInArrow(run, "path string, name string, length long, modified timestamp, content binary")
+
+
 def read_files(
     spark: SparkSession,
     path: str,
@@ -158,44 +240,79 @@ def read_files(
 
     (path, name, content, content_type, length, modified). ``glob`` filters names; ``largest`` (bytes) and ``since`` (time of
     change) are decided from the listing, so files beyond them are not opened. Folders below ``path`` are read too. Files
-    without a byte have no row: Spark passes over them.
+    without a byte have no row.
+
+    Tasks list and open the files (``list_files``); Spark's estimate of the result counts names and not contents, so joins
+    need a hint against broadcasts. A path that names several by a pattern, or lies in a store that only
+    Spark reads, goes to Spark's own reader, whose listing the driver holds.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path)
+    by_spark = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = by_spark.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = system.makeQualified(by_spark).toString()
+    if _readable(whole) and system.exists(by_spark):
+        files = list_files(spark, whole).where("length > 0")
+        if glob is not None:
+            matched = spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+            files = files.where(F.col("name").rlike(rf"(?s)\A(?:{matched})\z"))
+    else:
+        whole = None
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        if glob is not None:
+            reader = reader.option("pathGlobFilter", glob)
+        files = reader.load(path).withColumnRenamed("modificationTime", "modified")
     if largest is not None:
         files = files.where(F.col("length") <= largest)
     if since is not None:
-        files = files.where(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
+        files = files.where(F.col("modified") >= F.lit(since).cast("timestamp"))
+    if whole is not None:
+        files = _opened(files, whole)
     return file_content(files, content_type).select(
         "path",
         F.element_at(F.split("path", "/"), -1).alias("name"),
         "content",
         F.lit(content_type).alias("content_type"),
         "length",
-        F.col("modificationTime").alias("modified"),
+        "modified",
     )
 
 
-def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+def _readable(path: str) -> bool:
+    """Whether pyarrow opens the store of a qualified path."""
+    from pyarrow.fs import FileSystem
+
+    try:
+        FileSystem.from_uri(_local(path))
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content", folders: int | None = None) -> DataFrame:
     """One file per row, its bytes in ``content``; returns (name, length) of what was written.
 
     Files are written by the tasks under their own names, so a repeated task writes the same file again. Null content
-    is an empty file; names have to be unique and without folders.
+    is an empty file; names have to be unique and without folders. ``folders`` spreads them over as many folders in
+    ``folder``, by their names; see ``folders_for``.
     """
+    root = _local(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
-        uri = "file://" + folder.removeprefix("file:") if folder.startswith("file:/") and not folder.startswith("file://") else folder
-        system, base = FileSystem.from_uri(uri)
+        system, base = FileSystem.from_uri(root)
+        made = set()
         for batch in batches:
             sizes = []
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with system.open_output_stream(f"{base}/{file}", compression=None) as out:
-                    out.write(data or b"")
-                sizes.append(len(data or b""))
+            for file, data in zip(batch.column(0), batch.column(1), strict=True):
+                file, data, at = file.as_py(), data.as_py() or b"", base
+                if folders is not None:
+                    at = f"{base}/{zlib.crc32(str(file).encode()) % folders:06d}"
+                    if at not in made:
+                        system.create_dir(at)
+                        made.add(at)
+                with system.open_output_stream(f"{at}/{file}", compression=None) as out:
+                    out.write(data)
+                sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "length"])
 
     files = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
@@ -204,6 +321,11 @@ def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "
     return stored(rows, "written")
 
 
+def folders_for(files: int) -> int:
+    """Into how many folders so many files go, for tasks to list them."""
+    return 1 + files // FILES
+
+
 def file_content(files: DataFrame, content_type: str = "image") -> DataFrame:
     """Replace the ``content`` bytes of a file table by its content string."""
     raw = F.col("content")
