@@ -1,3 +1,7 @@
+import tracemalloc
+
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +121,20 @@ def test_escaping_reads_its_table_as_plain_text(spark):
     ).first()
     assert row.compat == "a b\n` ` `< |x| ><|y|>\r"
     assert row.intended == "a\\nb ` ` `<\\|x\\| >< |y| > "
+
+
+def test_custom_patterns_of_python_in_slices(spark):
+    texts = ["".join("xy"[(i + k) % 2] * (k % 3) for k in range(3000)) for i in range(300)] + [None, "", "yxy"]
+    batch = (pa.array(texts, pa.string()), pa.array([["(?P<w>x)", "y{1,2}"]] * len(texts)))
+    tracemalloc.start()
+    found = [n for rows in S._replaced(iter([batch]), listed=False) for n in pc.struct_field(rows, "modified").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and len(found) == len(texts)
+    assert found[-3:] == [None, 0, 3] and sum(n or 0 for n in found) > 300_000
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    counted = S.sanitize(df, custom_patterns=["(?P<w>x)", "y{1,2}"], segments=False)
+    listed = S.sanitize(df, custom_patterns=["(?P<w>x)", "y{1,2}"])
+    got = {r.i: (r.sanitized_content, r.segments_modified) for r in counted.collect()}
+    also = {r.i: (r.sanitized_content, r.n) for r in listed.select("i", "sanitized_content", F.size("sanitized_segments").alias("n")).collect()}
+    assert got == also and got[len(texts) - 1][1] == 3

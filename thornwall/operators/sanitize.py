@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import logging
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.pandas.types import from_arrow_type
 
 from thornwall.config import DEFAULT, ScanConfig
 from thornwall.functions import rules as R
 from thornwall.functions.matching import computed_once, contains_all_sql, quoted, spans_sql, with_folded
+from thornwall.functions.slices import slices
 from thornwall.functions.text import head
 from thornwall.operators.detect import score
 
@@ -49,22 +51,15 @@ def valid_patterns(patterns: list[str]) -> list[str]:
     return usable
 
 
-_CUSTOM = (
-    StructType()
-    .add("text", StringType())
-    .add(
-        "segments",
-        ArrayType(
-            StructType()
-            .add("original", StringType())
-            .add("sanitized", StringType())
-            .add("start", IntegerType())
-            .add("end", IntegerType())
-            .add("action", StringType())
-            .add("reason", StringType())
-        ),
-    )
+_NAMES = ("original", "sanitized", "start", "end", "action", "reason")
+_ARROW = pa.struct(
+    [
+        ("text", pa.string()),
+        ("modified", pa.int32()),
+        ("segments", pa.list_(pa.struct([(n, pa.int32() if n in ("start", "end") else pa.string()) for n in _NAMES]))),
+    ]
 )
+_CUSTOM = from_arrow_type(_ARROW)
 
 
 @lru_cache(maxsize=1024)
@@ -79,24 +74,37 @@ def _change(text: str, span: tuple[int, int]) -> tuple:
     return (text[slice(*span)], R.CUSTOM_MARKER, *span, "replaced", "Custom pattern match")
 
 
-def _filtered(text: str, patterns) -> tuple[str, list[tuple]]:
-    """Text with the matches of each pattern in turn replaced, and the replacements in the order of the result."""
-    changes: list[tuple] = []
+def _filtered(text: str, patterns, listed: bool) -> dict:
+    """Text with the matches of each pattern in turn replaced, their number, and the replacements in the order of the result."""
+    modified, changes = 0, []
     for pattern in filter(None, map(_compiled, patterns)):
         spans = [match.span() for match in pattern.finditer(text)]
-        changes.extend(_change(text, span) for span in spans[::-1])
+        modified += len(spans)
+        if listed:
+            changes.extend(dict(zip(_NAMES, _change(text, span))) for span in spans[::-1])
         if spans:
             text = pattern.sub(lambda _: R.CUSTOM_MARKER, text)
-    return text, changes
+    return {"text": text, "modified": modified, "segments": changes if listed else None}
+
 
+def _replaced(batches: Iterator[tuple[pa.Array, pa.Array]], listed: bool) -> Iterator[pa.Array]:
+    """The rows of ``_filtered``, a slice at a time: the replacements of all rows of a batch would be many times its size."""
+    for texts, patterns in batches:
+        for first, many in slices(texts):
+            rows = zip(texts.slice(first, many).to_pylist(), patterns.slice(first, many).to_pylist(), strict=True)
+            yield pa.array([None if t is None or p is None else _filtered(t, p, listed) for t, p in rows], _ARROW)
 
-@F.pandas_udf(_CUSTOM)
-def _custom(text: pd.Series, patterns: pd.Series) -> pd.DataFrame:
+
+@F.arrow_udf(_CUSTOM)
+def _custom(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Patterns that Python has to run: those of single rows, and those outside what Java is trusted with."""
-    rows = [(None, None) if t is None or p is None else _filtered(t, p) for t, p in zip(text, patterns)]
-    names = _CUSTOM["segments"].dataType.elementType.names
-    listed = [c and [dict(zip(names, change)) for change in c] for _, c in rows]
-    return pd.DataFrame({"text": [t for t, _ in rows], "segments": listed}, dtype=object)
+    return _replaced(batches, listed=True)
+
+
+@F.arrow_udf(_CUSTOM)
+def _custom_counts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """As ``_custom``, with the number of the replacements and not the replacements."""
+    return _replaced(batches, listed=False)
 
 
 def sanitize(
@@ -164,10 +172,10 @@ def sanitize(
     last = stage
     if in_python is not None:
         wanted = active & (F.size(in_python) > 0)
-        df = df.withColumn(_T + "custom", _custom(F.when(wanted, stage), in_python))
+        df = df.withColumn(_T + "custom", (_custom if segments else _custom_counts)(F.when(wanted, stage), in_python))
         custom = F.col(_T + "custom")
         last = F.coalesce(custom["text"], stage)
-        counts.append(F.coalesce(F.size(custom["segments"]), F.lit(0)))
+        counts.append(F.coalesce(custom["modified"], F.lit(0)))
         if segments:
             lists.append(F.coalesce(custom["segments"], F.array().cast(SEGMENT_TYPE)))
 
