@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -101,6 +102,22 @@ def test_most_attacks_are_ruled_out(monkeypatch):
     assert (best >= 0.999).all() and known.compared < 0.1 * 2000 * len(units[::7])
 
 
+def test_memory_of_a_batch_against_the_attacks_is_bounded():
+    rng = np.random.default_rng(4)
+    units = rng.normal(size=(6000, 64))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    known = N.Attacks(np.arange(500), units[:500] + 0.001, units[:500:100])
+    tracemalloc.start()
+    best, found = known.nearest(units, 0.4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert known.compared > 0.05 * 6000 * 500  # pairs compared in full
+    assert peak < 60e6
+    scores = np.round(units @ known.units.T, 12)
+    hit = scores.max(1) >= 0.4
+    assert np.array_equal(found >= 0, hit) and np.array_equal(found[hit], known.ids[scores.argmax(1)][hit])
+
+
 def test_the_learnt_classifier(spark, tmp_path):
     rng = random.Random(6)
     words = [f"w{n}" for n in range(300)]

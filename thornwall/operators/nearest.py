@@ -22,6 +22,8 @@ from thornwall.config import stored
 PIVOTS, BLOCK = 8, 512
 #: Bytes of attack vectors in one pass over the vectors.
 PASS_BYTES = 1 << 26
+#: Vectors that meet a block at a time, and numbers of the pairs of them that are compared in full at a time.
+ROWS, PAIR_FLOATS = 512, 1 << 20
 #: What rounding may add to a distance or a similarity.
 SLACK = 1e-9
 
@@ -61,6 +63,10 @@ class Attacks:
 
     def nearest(self, units: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(similarity, id) of the nearest attack of each row at ``least`` or more; -1 where there is none."""
+        parts = [self._nearest(units[n : n + ROWS], least) for n in range(0, len(units), ROWS)] or [self._nearest(units, least)]
+        return np.concatenate([b for b, _ in parts]), np.concatenate([f for _, f in parts])
+
+    def _nearest(self, units: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         best, found = np.full(len(units), -1.0), np.full(len(units), -1, np.int64)
         reach = np.sqrt(max(0.0, 2 - 2 * least)) + SLACK**0.5
         far = self.distances(units)
@@ -77,7 +83,9 @@ class Attacks:
                 i, j = np.divmod(np.arange(bound.size), bound.shape[1])
                 values = (units[rows] @ self.units[block].T).ravel()
             else:
-                values = (units[rows[i]] * self.units[block][j]).sum(1)
+                own, step = self.units[block], max(1, PAIR_FLOATS // units.shape[1])
+                cuts = range(0, max(1, len(i)), step)
+                values = np.concatenate([(units[rows[i[c : c + step]]] * own[j[c : c + step]]).sum(1) for c in cuts])
             self.compared += len(i)
             values = np.round(values, 12)  # equal vectors are equally near wherever they lie
             kept = np.flatnonzero(values >= least)
