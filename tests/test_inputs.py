@@ -221,3 +221,20 @@ def test_pluggable_model(spark):
     broken = spark.createDataFrame([("boom!",), ("a!!",)], "text string").coalesce(1)
     got = [r.model_probability for r in M.with_model_probability(broken, _CountsExclamations).collect()]
     assert got == [0.0, 0.2]  # one bad text costs only itself
+
+
+def test_a_model_gets_texts_in_slices_of_bounded_size(spark):
+    rows = [(i, "e" * (20_000 if i % 3 else 0) if i % 7 else None) for i in range(900)] + [(900, "e" * 3_000_000), (901, "x")]
+    df = spark.createDataFrame(rows, "i int, text string").coalesce(1)
+
+    def load():
+        return lambda texts: [float(sum(map(len, texts)))] * len(texts)
+
+    got = {r.i: r.model_probability for r in M.with_model_probability(df, load).collect()}
+    assert len(got) == len(rows)
+    assert max(v for i, v in got.items() if i < 899) < (1 << 20) + 20_000
+
+    def empty():
+        return lambda texts: [float(not any(texts))] * len(texts)
+
+    assert M.with_model_probability(df.limit(0), empty).count() == 0

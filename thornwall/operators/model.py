@@ -5,12 +5,14 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from thornwall.functions import rules as R
+from thornwall.functions.slices import slices
 
 log = logging.getLogger(__name__)
 
@@ -28,21 +30,25 @@ def with_model_probability(
 ) -> DataFrame:
     """Add a classifier's risk probability.
 
-    ``load`` runs once per Python worker task and returns the predictor, which gets batches of texts. A model with
+    ``load`` runs once per Python worker task and returns the predictor, which gets texts in batches of about a
+    megabyte (``SLICE_BYTES``). A model with
     a limit on its input states it as ``max_tokens``; text is then cut before it leaves the JVM. Where a batch fails,
     its texts are tried one by one, and only those that fail alone score 0. Null reads as empty text.
     """
 
-    @F.pandas_udf(DoubleType())
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(DoubleType())
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = load()
         for batch in batches:
-            texts = batch.fillna("").tolist()
-            try:
-                values = list(predict(texts))
-            except Exception:
-                values = [alone(predict, text) for text in texts]
-            yield pd.Series(values, index=batch.index, dtype="float64")
+            for first, many in slices(batch):
+                texts = [text or "" for text in batch.slice(first, many).to_pylist()]
+                try:
+                    values = list(predict(texts))
+                except Exception:
+                    values = [alone(predict, text) for text in texts]
+                if len(values) != many:
+                    raise ValueError(f"the model gave {len(values)} values for {many} texts")
+                yield pa.array(np.asarray(values, "float64"), from_pandas=True)
 
     def alone(predict: Predictor, text: str) -> float:
         try:
