@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tests import brute
 from thornwall.config import ScanConfig
 from thornwall.functions import html as H
+from thornwall.functions import slices as slicing
 from thornwall.operators import characters as CH
 from thornwall.operators import learned as L
 from thornwall.operators import nearest as N
@@ -55,6 +56,20 @@ def test_texts_of_one_piece_need_no_shuffle(spark):
     assert "Python" not in short
 
 
+def test_characters_are_counted_by_tasks_for_keys_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(slicing, "SLICE_BYTES", 200)
+    texts = ["aab", "é😀😀\n\0", None, "", "z" * 5000, "\U0010ffff"]
+    rows = [(i % 3 or None, f"k{i % 2}", (i % 2, None), texts[i % 6] and texts[i % 6] * (1 + i % 4)) for i in range(120)]
+    df = spark.createDataFrame(rows, "a int, b string, c struct<x:int,y:string>, t string").repartition(5)
+    found = CH.character_counts(df, "t", "a", "b", "c")
+    assert "regexp_extract_all" not in plan(found)  # a scan of the text for each of its characters
+    expected = Counter()
+    for a, b, c, t in rows:
+        expected.update((a, b, c, x) for x in t or "")
+    got = found.collect()
+    assert {(r.a, r.b, tuple(r.c), r.character): r.n for r in got} == expected and len(got) == len(expected)
+
+
 def slow_nearest(rows, attacks, least):
     out = {}
     for i, x in rows:
